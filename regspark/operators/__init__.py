@@ -10,7 +10,7 @@ from regspark.operators.manifest import (
     ingest_plan, route_archives,
 )
 from regspark.operators.dims import (
-    bounded_broadcast, lookup, lookup_dimensions, segment_of, segment_counts,
+    bounded_broadcast, lookup, lookup_dimensions, segment_of, segment_counts, load_dimension,
 )
 
 __all__ = [n for n in dir() if not n.startswith("_")]

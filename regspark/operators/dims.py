@@ -62,3 +62,10 @@ def segment_counts(df: DataFrame, by: list[str], distinct_col: str | None = None
     if distinct_col:
         aggs.append(F.countDistinct(distinct_col).alias("k"))
     return df.groupBy(*by).agg(*aggs)
+
+
+def load_dimension(spark, paths, dialect=None) -> DataFrame:
+    """A dimension file as ``(code, description)`` strings (headerless ``;`` text)."""
+    from regspark.schemas import DIMENSION_SCHEMA, REGISTRY
+    from regspark.sources.delimited import read_delimited
+    return read_delimited(spark, paths, DIMENSION_SCHEMA, dialect or REGISTRY)

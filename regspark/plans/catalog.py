@@ -23,7 +23,18 @@ from regspark.operators.manifest import (
 )
 from regspark.plans.analogues import companies, establishments, partners, table
 from regspark.plans.company_partners import company_partner_counts, company_partners
+from regspark.plans.staging import PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text
+from regspark.schemas import COMMA_HEADERLESS, REGISTRY, SEMICOLON_WITH_HEADER
+from regspark.session import staging_path
 from regspark.sinks.reports import preview, schema_report
+from regspark.sinks.writers import EXPORT_DIALECT, csv_to_parquet, export_csv, write_parquet, write_shards
+from regspark.sources.archives import first_member_per_archive, read_archive_lines, read_archives
+from regspark.sources.delimited import (
+    read_delimited, read_positional, read_split_malformed, read_with_header, rename_positional,
+)
+from regspark.sources.shards import scan_shards, scan_snapshots
+from regspark.operators.dims import load_dimension
+from regspark.streaming.incremental import ingest_new_shards
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -255,6 +266,169 @@ def q_clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                       C.blank_to_null("prio_txt").alias("priority"))
 
 
+# --- text scans (registry text written from the tables by Spark) --------------------------
+
+def _part_schema(spark: SparkSession, sf_dir: str):
+    return table(spark, sf_dir, "part").schema
+
+
+def q_scan_headerless_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``;`` separated, headerless, latin1 shards read with an explicit schema."""
+    root = stage_registry(spark, sf_dir, "headerless", tables=("part",))
+    return read_delimited(spark, f"{root}/*/*", _part_schema(spark, sf_dir))
+
+
+def q_scan_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard whose name contains the keyword, in any case, across snapshots."""
+    root = stage_registry(spark, sf_dir, "shards")
+    return scan_shards(spark, root, "part", _part_schema(spark, sf_dir), with_source=False)
+
+
+def q_scan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All snapshots in one scan; the snapshot label comes from the path."""
+    root = stage_registry(spark, sf_dir, "snapshots")
+    tables = scan_snapshots(spark, root, {"part": ("Part", _part_schema(spark, sf_dir))})
+    return tables["part"].drop("source_file")
+
+
+def q_scan_optional_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table absent from the folder yields an empty frame of its schema, not an error."""
+    root = stage_registry(spark, sf_dir, "optional")
+    schema = table(spark, sf_dir, "supplier").schema
+    present = scan_shards(spark, root, "Supplier", schema, optional=True, with_source=False)
+    absent = scan_shards(spark, root, "Socios", schema, optional=True, with_source=False)
+    return union_shards([present, absent])
+
+
+def q_rename_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional ``_c0..`` columns renamed to the table's names, then typed."""
+    root = stage_registry(spark, sf_dir, "positional", tables=("part",))
+    schema = _part_schema(spark, sf_dir)
+    raw = read_positional(spark, f"{root}/*/*", n_cols=len(schema.fields))
+    named = rename_positional(raw, [f.name for f in schema.fields])
+    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def q_scan_positional_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headerless ``,`` text read as positional string columns (one partitioned scan)."""
+    root = staging_path(spark, "comma")
+    stage_text(table(spark, sf_dir, "customer"), "Customer", "c_nationkey", root, COMMA_HEADERLESS)
+    return read_positional(spark, f"{root}/*/*", COMMA_HEADERLESS, n_cols=5)
+
+
+def q_scan_latin1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``;`` latin1 text with a header row and quoted line breaks (multiLine)."""
+    docs = table(spark, sf_dir, "documents")
+    dialect = SEMICOLON_WITH_HEADER.with_(multi_line=True)
+    root = staging_path(spark, "latin1")
+    docs.repartition(8).write.options(**dialect.write_options()).csv(root)
+    return read_with_header(spark, root, dialect, schema=docs.schema)
+
+
+def _malformed_customer(spark: SparkSession, sf_dir: str):
+    """Customer lines; BUILDING rows carry one field too many."""
+    c = table(spark, sf_dir, "customer")
+    fields = [F.concat(F.lit('"'), F.col(x).cast("string"), F.lit('"')) for x in c.columns]
+    line = F.concat_ws(";", *fields)
+    line = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(line, F.lit(';"extra"'))).otherwise(line)
+    root = staging_path(spark, "malformed")
+    c.select(line.alias("value")).write.text(root)
+    return read_split_malformed(spark, root, c.schema)
+
+
+def q_scan_skip_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _malformed_customer(spark, sf_dir)[0]
+
+
+def q_bad_row_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _malformed_customer(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+def q_load_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coded dimension (nation) as headerless ``code;description`` text."""
+    n = table(spark, sf_dir, "nation")
+    root = staging_path(spark, "dimension")
+    n.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("description")) \
+        .write.options(**REGISTRY.write_options()).csv(root)
+    return load_dimension(spark, root)
+
+
+# --- sinks ------------------------------------------------------------------------------------
+
+def q_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer with a snapshot label, written partitioned by snapshot and read back."""
+    c = label_shards(table(spark, sf_dir, "customer"), "Customer", "c_nationkey").drop("shard_name")
+    path = write_parquet(c, staging_path(spark, "parquet"))
+    return spark.read.parquet(path).select(*c.columns)
+
+
+def _convert(spark: SparkSession, sf_dir: str):
+    root = stage_registry(spark, sf_dir, "convert-src")
+    out = staging_path(spark, "convert-out")
+    tables = {"part": ("Part", _part_schema(spark, sf_dir)),
+              "supplier": ("Supplier", table(spark, sf_dir, "supplier").schema),
+              "socios": ("Socios", table(spark, sf_dir, "supplier").schema)}
+    return csv_to_parquet(spark, root, out, tables), out
+
+
+def q_csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _convert(spark, sf_dir)
+    cols = [f.name for f in _part_schema(spark, sf_dir).fields] + ["snapshot"]
+    return spark.read.parquet(f"{out}/part").select(*cols)
+
+
+def q_conversion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, _ = _convert(spark, sf_dir)
+    return status.select("table_name", "status", "n_rows")
+
+
+def q_export_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship result exported as CSV with a header (distributed), read back."""
+    joined = q_company_partner_join(spark, sf_dir)
+    path = export_csv(joined, staging_path(spark, "export"))
+    return read_with_header(spark, path, EXPORT_DIALECT, schema=joined.schema)
+
+
+# --- archives ---------------------------------------------------------------------------------
+
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    root = stage_registry(spark, sf_dir, "zip-src", tables=("part",))
+    return stage_archives(spark, root)
+
+
+def q_scan_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every CSV member of every readable archive (corrupt ones set aside)."""
+    good, _ = read_archives(spark, _archives(spark, sf_dir), _part_schema(spark, sf_dir),
+                            member_suffix=".csv")
+    return good.drop("archive", "member")
+
+
+def q_zip_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = read_archives(spark, _archives(spark, sf_dir), _part_schema(spark, sf_dir),
+                           member_suffix=".csv")
+    return bad.select(L.base_name("archive").alias("archive_name"),
+                      F.regexp_extract("error", r"^(\w+)", 1).alias("error_class"))
+
+
+def q_first_member_per_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_archive_lines(spark, _archives(spark, sf_dir))
+    return first_member_per_archive(lines).select(L.base_name("archive").alias("archive_name"), "member")
+
+
+# --- streaming ----------------------------------------------------------------------------------
+
+def q_incremental_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards landing in two batches, picked up by an availableNow stream, run three times."""
+    part = table(spark, sf_dir, "part")
+    landing, sink, ckpt = (staging_path(spark, n) for n in ("landing", "sink", "stream-ckpt"))
+    labelled = label_shards(part, "Part", PART_SNAPSHOT_COL)
+    for snap in ("2023-05", "2025-01"):
+        write_shards(labelled.where(F.col("snapshot") == snap), landing, mode="append")
+        ingest_new_shards(spark, f"{landing}/*/*/*.csv", part.schema, sink, ckpt)
+    ingest_new_shards(spark, f"{landing}/*/*/*.csv", part.schema, sink, ckpt)  # nothing new
+    return spark.read.parquet(sink).select(*part.columns, "snapshot")
+
+
 QUERIES = {
     "company_partner_join": q_company_partner_join,
     "joined_row_count": q_joined_row_count,
@@ -285,4 +459,22 @@ QUERIES = {
     "lookup_dimensions": q_lookup_dimensions,
     "segment_counts": q_segment_counts,
     "clean_fields": q_clean_fields,
+    "scan_headerless_csv": q_scan_headerless_csv,
+    "scan_shards": q_scan_shards,
+    "scan_snapshots": q_scan_snapshots,
+    "scan_optional_input": q_scan_optional_input,
+    "rename_positional": q_rename_positional,
+    "scan_positional_columns": q_scan_positional_columns,
+    "scan_latin1_csv": q_scan_latin1_csv,
+    "scan_skip_bad_rows": q_scan_skip_bad_rows,
+    "bad_row_rejects": q_bad_row_rejects,
+    "load_dimension": q_load_dimension,
+    "parquet_roundtrip": q_parquet_roundtrip,
+    "csv_to_parquet": q_csv_to_parquet,
+    "conversion_status": q_conversion_status,
+    "export_joined": q_export_joined,
+    "scan_zip_archives": q_scan_zip_archives,
+    "zip_rejects": q_zip_rejects,
+    "first_member_per_archive": q_first_member_per_archive,
+    "incremental_shards": q_incremental_shards,
 }

@@ -93,6 +93,14 @@ _URL_ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _URL_SCHEME = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
 _BASE_PATH = r"regexp_replace(url, '[?#].*$', '')"
 
+_PART_SNAP = "select *, case when p_size % 2 = 0 then '2023-05' else '2025-01' end as snapshot from part"
+_CUST_SNAP = ("select *, case when c_nationkey % 2 = 0 then '2023-05' else '2025-01' end as snapshot "
+              "from customer")
+# one archive per (snapshot, shard) of part; shard = p_size mod 10, snapshot = its parity
+_PART_ARCHIVES = ("select distinct concat('Part', cast(p_size % 10 as varchar), '-', "
+                  "case when p_size % 2 = 0 then '2023-05' else '2025-01' end, '.zip') as archive_name, "
+                  "cast(p_size % 10 as integer) as shard from part")
+
 ORACLES: dict[str, str] = {
     "company_partner_join": JOINED,
     "joined_row_count": f"select count(*) as n_rows from ({JOINED}) t",
@@ -164,4 +172,28 @@ ORACLES: dict[str, str] = {
         group by r_name, c_mktsegment""",
     "clean_fields": """select o_orderkey, cast(o_totalprice as decimal(18, 2)) as total,
           cast(o_orderdate as date) as order_date, o_orderpriority as priority from orders""",
+    "scan_headerless_csv": "select * from part",
+    "scan_shards": "select * from part",
+    "scan_snapshots": _PART_SNAP,
+    "scan_optional_input": "select * from supplier",
+    "rename_positional": "select * from part",
+    "scan_positional_columns": """select cast(c_custkey as varchar) as _c0, c_name as _c1,
+          cast(c_nationkey as varchar) as _c2, cast(c_acctbal as varchar) as _c3, c_mktsegment as _c4
+        from customer""",
+    "scan_latin1_csv": "select * from documents",
+    "scan_skip_bad_rows": "select * from customer where c_mktsegment <> 'BUILDING'",
+    "bad_row_rejects": "select count(*) as n_rejected from customer where c_mktsegment = 'BUILDING'",
+    "load_dimension": "select cast(n_nationkey as varchar) as code, n_name as description from nation",
+    "parquet_roundtrip": _CUST_SNAP,
+    "csv_to_parquet": _PART_SNAP,
+    "conversion_status": """select 'part' as table_name, 'ok' as status, count(*) as n_rows from part
+        union all select 'supplier', 'ok', count(*) from supplier
+        union all select 'socios', 'failed', cast(null as bigint)""",
+    "export_joined": JOINED,
+    "scan_zip_archives": "select * from part",
+    "zip_rejects": f"""select replace(archive_name, '.zip', '-truncated.zip') as archive_name,
+          'BadZipFile' as error_class from ({_PART_ARCHIVES}) a where shard = 9""",
+    "first_member_per_archive": f"""select archive_name, concat('Part', cast(shard as varchar), '.csv') as member
+        from ({_PART_ARCHIVES}) a""",
+    "incremental_shards": _PART_SNAP,
 }
