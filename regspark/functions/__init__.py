@@ -6,7 +6,7 @@ from regspark.functions.links import (
     starts_with_any, ends_with, contains_keyword, is_present,
 )
 from regspark.functions.names import (
-    archive_name, local_archive_name, output_prefix, parquet_name, snapshot_label,
+    archive_name, local_archive_name, output_prefix, parquet_name, snapshot_label, capitalized,
     compact_snapshot, type_tag, strip_char,
 )
 from regspark.functions.clean import (

@@ -32,6 +32,12 @@ def type_tag(c, length: int = 4) -> Column:
     return F.lower(F.substring(_col(c), 1, length))
 
 
+def capitalized(c) -> Column:
+    """First character upper-cased, the rest lower-cased: ``'click'`` -> ``'Click'``."""
+    c = _col(c)
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+
+
 def archive_name(table_type, shard) -> Column:
     """``<Type><shard>.zip`` as published: ``Empresas3.zip``."""
     return F.concat(_col(table_type), _col(shard).cast("string"), F.lit(".zip"))

@@ -190,13 +190,13 @@ def q_archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_archives(events: DataFrame) -> DataFrame:
     """Archive names of events: ``<Type><user_id mod 10>.zip`` (shard = user hash bucket)."""
-    return events.select(N.archive_name(F.initcap("event_type"), F.pmod("user_id", F.lit(10)))
+    return events.select(N.archive_name(N.capitalized("event_type"), F.pmod("user_id", F.lit(10)))
                          .alias("archive_name"))
 
 
 def _manifest_inputs(spark: SparkSession, sf_dir: str):
     ev = table(spark, sf_dir, "events")
-    wanted = wanted_manifest(ev.select(F.initcap("event_type").alias("table_type")))
+    wanted = wanted_manifest(ev.select(N.capitalized("event_type").alias("table_type")))
     listing = _event_archives(ev.where(F.col("value") > 200))
     present = _event_archives(ev.where(F.col("value") > 300))
     return wanted, listing, present
@@ -205,7 +205,7 @@ def _manifest_inputs(spark: SparkSession, sf_dir: str):
 def q_wanted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     from regspark.schemas import DIMENSION_NAMES
-    return wanted_manifest(ev.select(F.initcap("event_type").alias("table_type")),
+    return wanted_manifest(ev.select(N.capitalized("event_type").alias("table_type")),
                            dimensions=DIMENSION_NAMES)
 
 
