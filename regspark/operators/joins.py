@@ -52,11 +52,15 @@ def hot_keys(right: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_00
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
               how: str = "inner", *, hot_rows: int | None = None, salt_buckets: int = 64,
-              max_hot_keys: int = 10_000) -> DataFrame:
+              max_hot_keys: int = 10_000, hot_source: DataFrame | None = None) -> DataFrame:
     """``left ⋈ right`` on ``left_key == right_key`` for ``how`` in inner / left.
 
     Output columns: all of ``left`` then all of ``right``.  With ``hot_rows`` set,
-    right-side hot keys are salted as described in the module docstring.
+    right-side hot keys are salted as described in the module docstring.  Hot keys are
+    counted on ``hot_source`` when given — any frame whose per-key counts bound the
+    right side's from above, e.g. the right side *before* deduplication, which spares
+    the detection pass a dedup shuffle.  A key counted too high is merely salted; the
+    answer stays exact.
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -65,7 +69,7 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     out_cols = [l[c] for c in left.columns] + [r[c] for c in right.columns]
     if hot_rows is None:
         return l.join(r, l[_LK] == r[_RK], how).select(*out_cols)
-    keys = hot_keys(right, right_key, hot_rows, max_hot_keys)
+    keys = hot_keys(hot_source if hot_source is not None else right, right_key, hot_rows, max_hot_keys)
     if not keys:
         return l.join(r, l[_LK] == r[_RK], how).select(*out_cols)
 

@@ -23,8 +23,10 @@ from regspark.operators.manifest import (
 )
 from regspark.plans.analogues import companies, establishments, partners, table
 from regspark.plans.company_partners import company_partner_counts, company_partners
-from regspark.plans.staging import PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text
-from regspark.schemas import COMMA_HEADERLESS, REGISTRY, SEMICOLON_WITH_HEADER
+from regspark.plans.staging import (
+    PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text, write_lines,
+)
+from regspark.schemas import COMMA_HEADERLESS, COMMA_WITH_HEADER, REGISTRY, SEMICOLON_WITH_HEADER
 from regspark.session import staging_path
 from regspark.sinks.reports import preview, schema_report
 from regspark.sinks.writers import EXPORT_DIALECT, csv_to_parquet, export_csv, write_parquet, write_shards
@@ -300,6 +302,15 @@ def q_scan_optional_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_shards([present, absent])
 
 
+def q_union_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each snapshot read as its own frame, concatenated by column name."""
+    root = stage_registry(spark, sf_dir, "union", tables=("part",))
+    schema = _part_schema(spark, sf_dir)
+    frames = [scan_shards(spark, root, "Part", schema, snapshot=s).drop("source_file")
+              for s in ("2023-05", "2025-01")]
+    return union_shards(frames)
+
+
 def q_rename_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional ``_c0..`` columns renamed to the table's names, then typed."""
     root = stage_registry(spark, sf_dir, "positional", tables=("part",))
@@ -326,14 +337,13 @@ def q_scan_latin1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _malformed_customer(spark: SparkSession, sf_dir: str):
-    """Customer lines; BUILDING rows carry one field too many."""
+    """Customer as ``,`` text with a header row; BUILDING rows carry one field too many."""
     c = table(spark, sf_dir, "customer")
     fields = [F.concat(F.lit('"'), F.col(x).cast("string"), F.lit('"')) for x in c.columns]
-    line = F.concat_ws(";", *fields)
-    line = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(line, F.lit(';"extra"'))).otherwise(line)
-    root = staging_path(spark, "malformed")
-    c.select(line.alias("value")).write.text(root)
-    return read_split_malformed(spark, root, c.schema)
+    line = F.concat_ws(",", *fields)
+    line = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(line, F.lit(',"extra"'))).otherwise(line)
+    root = write_lines(c.select(line.alias("line")), staging_path(spark, "malformed"), ",".join(c.columns))
+    return read_split_malformed(spark, root, c.schema, COMMA_WITH_HEADER)
 
 
 def q_scan_skip_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,6 +473,7 @@ QUERIES = {
     "scan_shards": q_scan_shards,
     "scan_snapshots": q_scan_snapshots,
     "scan_optional_input": q_scan_optional_input,
+    "union_shards": q_union_shards,
     "rename_positional": q_rename_positional,
     "scan_positional_columns": q_scan_positional_columns,
     "scan_latin1_csv": q_scan_latin1_csv,

@@ -27,6 +27,15 @@ def _snap_key(snapshot_col: str, key) -> "F.Column":
     return F.concat(F.col(snapshot_col), F.lit("\u0001"), key)
 
 
+def _renamed(name: str, renamed_df: DataFrame, suffix: str) -> str:
+    """Name of ``name`` after :func:`rename_collisions` (suffixed when it collided)."""
+    for _ in range(len(renamed_df.columns) + 1):
+        if name in renamed_df.columns:
+            return name
+        name += suffix
+    raise KeyError(name)
+
+
 def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
                      name_left: str = "razao_emp", name_right: str = "fantasia",
                      key_left: str = "cnpj", key_right: str = "cnpj_soc",
@@ -40,6 +49,7 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
     so several snapshots are processed in one run.  Right-side names that collide with
     the left side get ``collision_suffix``.
     """
+    raw_socios = socios
     if dedup:
         empre, esta, socios = dedup_full_row(empre), dedup_full_row(esta), dedup_full_row(socios)
     skew = {"hot_rows": hot_rows, "salt_buckets": salt_buckets}
@@ -48,17 +58,24 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
         empre = empre.withColumn("__name_key", _snap_key(snapshot_col, F.col(name_left)))
         esta = esta.withColumn("__name_key", _snap_key(snapshot_col, F.col(name_right)))
         esta = esta.withColumnRenamed(snapshot_col, "__snap_esta")
-        first = name_join(empre, esta, "__name_key", "__name_key", **skew) \
+        first = name_join(empre, esta, "__name_key", "__name_key") \
             .drop("__name_key").drop("__snap_esta")
         # both sides now carry the snapshot; compare it with the prefix in one key
         socios = rename_collisions(first, socios, collision_suffix)
-        snap_r = snapshot_col if snapshot_col in socios.columns else snapshot_col + collision_suffix
+        snap_r = _renamed(snapshot_col, socios, collision_suffix)
+        rk_name = _renamed(key_right, socios, collision_suffix)
         lk = _snap_key(snapshot_col, prefix_key(key_left, prefix_len, key_width))
-        rk = _snap_key(snap_r, prefix_key(key_right, prefix_len, key_width))
-        return equi_join(first, socios, lk, rk, "left", **skew).drop(snap_r)
-    first = name_join(empre, esta, name_left, name_right, **skew)
+        rk = _snap_key(snap_r, prefix_key(rk_name, prefix_len, key_width))
+        # hot keys are counted before dedup: an upper bound, one shuffle fewer
+        hot_src = raw_socios.select(F.col(snapshot_col).alias(snap_r), F.col(key_right).alias(rk_name))
+        return equi_join(first, socios, lk, rk, "left", hot_source=hot_src, **skew).drop(snap_r)
+    # inner name join: AQE splits skewed partitions of either side on its own
+    first = name_join(empre, esta, name_left, name_right)
     socios = rename_collisions(first, socios, collision_suffix)
-    return prefix_left_join(first, socios, key_left, key_right, prefix_len, key_width, **skew)
+    rk_name = _renamed(key_right, socios, collision_suffix)
+    hot_src = raw_socios.select(F.col(key_right).alias(rk_name))
+    return prefix_left_join(first, socios, key_left, rk_name, prefix_len, key_width,
+                            hot_source=hot_src, **skew)
 
 
 def company_partner_counts(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,

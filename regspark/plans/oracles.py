@@ -176,6 +176,7 @@ ORACLES: dict[str, str] = {
     "scan_shards": "select * from part",
     "scan_snapshots": _PART_SNAP,
     "scan_optional_input": "select * from supplier",
+    "union_shards": _PART_SNAP,
     "rename_positional": "select * from part",
     "scan_positional_columns": """select cast(c_custkey as varchar) as _c0, c_name as _c1,
           cast(c_nationkey as varchar) as _c2, cast(c_acctbal as varchar) as _c3, c_mktsegment as _c4

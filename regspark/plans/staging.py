@@ -54,6 +54,19 @@ def stage_registry(spark: SparkSession, sf_dir: str, name: str = "registry",
     return root
 
 
+def write_lines(lines, path: str, header_line: str | None = None) -> str:
+    """Write one pre-formatted text column verbatim, each file starting with ``header_line``.
+
+    The line column is written as a single CSV field with a separator and quote that
+    never occur in it, so nothing is quoted or escaped.
+    """
+    col = lines.columns[0]
+    out = lines.select(F.col(col).alias(header_line or col))
+    (out.write.option("header", str(header_line is not None).lower()).option("sep", "\t")
+     .option("quote", "\u0001").option("escapeQuotes", "false").csv(path))
+    return path
+
+
 # --- archives ------------------------------------------------------------------------------
 
 def _local(path: str) -> str:
