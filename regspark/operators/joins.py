@@ -7,8 +7,8 @@ What it cannot split is a hot key on the right side of a left outer join (one pr
 that owns a third of all partners).  :func:`equi_join` handles that case explicitly:
 keys whose right-side row count exceeds ``hot_rows`` are salted — their right rows are
 spread over ``salt_buckets`` buckets by a content hash and the matching left rows are
-copied once per bucket — so no single task receives the whole hot group.  The result is
-exactly the plain join's result.
+copied once per bucket — so no single task receives the whole hot group.  Detection,
+tagging and the join are one plan; the result is exactly the plain join's result.
 """
 
 from __future__ import annotations
@@ -38,16 +38,32 @@ def rename_collisions(left: DataFrame, right: DataFrame, suffix: str = "_r") ->
     return right.select(*out)
 
 
-def hot_keys(right: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000) -> list:
-    """Keys owning more than ``hot_rows`` rows of ``right``.
+def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000,
+                  name: str = "__hot_key") -> DataFrame:
+    """Keys owning more than ``hot_rows`` rows of ``source``, heaviest first.
 
-    Map-side partial counting keeps the shuffle at one row per key and task.  At most
-    ``max_keys`` of the heaviest keys are returned (a proven bound on what reaches the
-    driver); lighter keys stay on the regular join path, which is still exact.
+    Map-side partial counting keeps the shuffle at one row per key and task, and the
+    ``limit`` proves the frame holds at most ``max_keys`` rows, so it may be broadcast.
+    Keys beyond the limit stay on the regular join path, which is still exact.
     """
-    counts = (right.select(key.alias("k")).where(F.col("k").isNotNull())
-              .groupBy("k").count().where(F.col("count") > hot_rows))
-    return [r["k"] for r in counts.orderBy(F.desc("count")).limit(max_keys).collect()]
+    counts = (source.select(key.alias(name)).where(F.col(name).isNotNull())
+              .groupBy(name).count().where(F.col("count") > hot_rows))
+    return counts.orderBy(F.desc("count"), F.col(name)).limit(max_keys).select(name)
+
+
+def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000) -> list:
+    """The hot keys as a (bounded) Python list, for inspection and tests."""
+    return [r[0] for r in hot_key_frame(source, key, hot_rows, max_keys).collect()]
+
+
+def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, flag: str) -> DataFrame:
+    """Add boolean ``flag``: is this row's key in the (broadcast, bounded) hot set.
+
+    Both sides join the identical broadcast frame, so Spark builds it once and reuses it.
+    """
+    h = F.broadcast(hot.select(F.col(hot.columns[0]).alias("__hot_k"), F.lit(True).alias("__hot")))
+    out = df.join(h, F.col(key_col) == F.col("__hot_k"), "left").drop("__hot_k")
+    return out.withColumn(flag, F.coalesce(F.col("__hot"), F.lit(False))).drop("__hot")
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
@@ -55,39 +71,41 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
               max_hot_keys: int = 10_000, hot_source: DataFrame | None = None) -> DataFrame:
     """``left ⋈ right`` on ``left_key == right_key`` for ``how`` in inner / left.
 
-    Output columns: all of ``left`` then all of ``right``.  With ``hot_rows`` set,
-    right-side hot keys are salted as described in the module docstring.  Hot keys are
-    counted on ``hot_source`` when given — any frame whose per-key counts bound the
-    right side's from above, e.g. the right side *before* deduplication, which spares
-    the detection pass a dedup shuffle.  A key counted too high is merely salted; the
-    answer stays exact.
+    Output columns: all of ``left`` then all of ``right``.
+
+    With ``hot_rows`` set, right-side keys with more rows than that are salted inside the
+    same plan (no driver round trip): the bounded hot-key frame is broadcast to tag both
+    sides; a hot right row goes to bucket ``xxhash64(row) mod salt_buckets`` (a
+    deterministic salt, so a retried task rebuilds the same buckets), a hot left row is
+    copied into every bucket, and cold rows use bucket 0.  The join runs on
+    ``(key, bucket)``.  For a left join, the null-padded copies of hot left rows are
+    dropped: every hot key has partners, so each hot row still meets all of them exactly
+    once.  Hot keys are counted on ``hot_source`` when given — any frame whose per-key
+    counts bound the right side's from above (e.g. the right side before dedup).
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
-    l = left.withColumn(_LK, left_key)
-    r = right.withColumn(_RK, right_key)
-    out_cols = [l[c] for c in left.columns] + [r[c] for c in right.columns]
+    # positional temp names: both sides may share column names, and the hot-key frame
+    # derives from the right side, so nothing below relies on DataFrame-bound columns
+    ln = [f"__l{i}" for i in range(len(left.columns))]
+    rn = [f"__r{i}" for i in range(len(right.columns))]
+    l = left.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(left.columns, ln)], left_key.alias(_LK))
+    r = right.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(right.columns, rn)], right_key.alias(_RK))
+    out_cols = ([F.col(n).alias(c) for c, n in zip(left.columns, ln)]
+                + [F.col(n).alias(c) for c, n in zip(right.columns, rn)])
     if hot_rows is None:
-        return l.join(r, l[_LK] == r[_RK], how).select(*out_cols)
-    keys = hot_keys(hot_source if hot_source is not None else right, right_key, hot_rows, max_hot_keys)
-    if not keys:
-        return l.join(r, l[_LK] == r[_RK], how).select(*out_cols)
-
-    l_hot = F.coalesce(F.col(_LK).isin(keys), F.lit(False))
-    r_hot = F.coalesce(F.col(_RK).isin(keys), F.lit(False))
-    lc, rc = l.where(~l_hot), r.where(~r_hot)
-    cold = lc.join(rc, lc[_LK] == rc[_RK], how) \
-        .select(*([lc[c] for c in left.columns] + [rc[c] for c in right.columns]))
-
-    # deterministic salt (content hash): a retried task rebuilds the same buckets
-    rh = r.where(r_hot).withColumn(
-        _SALT, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), F.lit(salt_buckets)))
-    lh = l.where(l_hot).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    # every left row of a hot key has partners, so the hot part is an inner join even
-    # for a left outer join; buckets without partners simply emit nothing
-    hot = lh.join(rh, (lh[_LK] == rh[_RK]) & (lh[_SALT] == rh[_SALT]), "inner") \
-        .select(*([lh[c] for c in left.columns] + [rh[c] for c in right.columns]))
-    return cold.union(hot)
+        return l.join(r, F.col(_LK) == F.col(_RK), how).select(*out_cols)
+
+    hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows, max_hot_keys)
+    lt = _tag_hot(l, _LK, hot, "__hot_l").withColumn(_SALT, F.explode(
+        F.when(F.col("__hot_l"), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))))
+    rt = _tag_hot(r, _RK, hot, "__hot_r").withColumn(_SALT + "_r", F.when(
+        F.col("__hot_r"), F.pmod(F.xxhash64(*[F.col(n) for n in rn]), F.lit(salt_buckets)).cast("int"))
+        .otherwise(F.lit(0)))
+    j = lt.join(rt, (F.col(_LK) == F.col(_RK)) & (F.col(_SALT) == F.col(_SALT + "_r")), how)
+    if how != "inner":
+        j = j.where(~(F.col("__hot_l") & F.col(_RK).isNull()))
+    return j.select(*out_cols)
 
 
 def name_join(left: DataFrame, right: DataFrame, left_col: str = "razao_emp",

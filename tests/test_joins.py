@@ -56,7 +56,11 @@ def test_salted_join_equals_plain_join(spark):
         salted = equi_join(left, right, F.col("k"), F.col("rk"), how, hot_rows=50, salt_buckets=7)
         assert salted.count() == plain.count()
         assert rows(salted) == rows(plain)
-    assert "Union" in plan(equi_join(left, right, F.col("k"), F.col("rk"), "left", hot_rows=50))
+    p = plan(equi_join(left, right, F.col("k"), F.col("rk"), "left", hot_rows=50))
+    # one plan: hot-key tagging by broadcast, salt copies by explode, no driver round trip
+    assert "Generate" in p and "BroadcastHashJoin" in p and "Union" not in p
+    from regspark.operators.joins import hot_keys
+    assert hot_keys(right, F.col("rk"), 50) == [0]
 
 
 def test_rename_collisions_suffixes_right_side(spark):
