@@ -46,9 +46,9 @@ def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, max_keys: int =
     ``limit`` proves the frame holds at most ``max_keys`` rows, so it may be broadcast.
     Keys beyond the limit stay on the regular join path, which is still exact.
     """
-    counts = (source.select(key.alias(name)).where(F.col(name).isNotNull())
-              .groupBy(name).count().where(F.col("count") > hot_rows))
-    return counts.orderBy(F.desc("count"), F.col(name)).limit(max_keys).select(name)
+    counts = source.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")) \
+        .where(F.col(name).isNotNull() & (F.col("__n") > hot_rows))
+    return counts.orderBy(F.desc("__n"), F.col(name)).limit(max_keys).select(name)
 
 
 def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000) -> list:
@@ -56,14 +56,16 @@ def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_0
     return [r[0] for r in hot_key_frame(source, key, hot_rows, max_keys).collect()]
 
 
-def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, flag: str) -> DataFrame:
-    """Add boolean ``flag``: is this row's key in the (broadcast, bounded) hot set.
+def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, flag: str, salt: Column) -> DataFrame:
+    """Add boolean ``flag`` (key in the broadcast, bounded hot set) and the salt column.
 
     Both sides join the identical broadcast frame, so Spark builds it once and reuses it.
     """
     h = F.broadcast(hot.select(F.col(hot.columns[0]).alias("__hot_k"), F.lit(True).alias("__hot")))
-    out = df.join(h, F.col(key_col) == F.col("__hot_k"), "left").drop("__hot_k")
-    return out.withColumn(flag, F.coalesce(F.col("__hot"), F.lit(False))).drop("__hot")
+    cols = [c for c in df.columns]
+    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
+    return df.join(h, F.col(key_col) == F.col("__hot_k"), "left") \
+        .select(*cols, is_hot.alias(flag), salt(is_hot))
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
@@ -97,11 +99,11 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
         return l.join(r, F.col(_LK) == F.col(_RK), how).select(*out_cols)
 
     hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows, max_hot_keys)
-    lt = _tag_hot(l, _LK, hot, "__hot_l").withColumn(_SALT, F.explode(
-        F.when(F.col("__hot_l"), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))))
-    rt = _tag_hot(r, _RK, hot, "__hot_r").withColumn(_SALT + "_r", F.when(
-        F.col("__hot_r"), F.pmod(F.xxhash64(*[F.col(n) for n in rn]), F.lit(salt_buckets)).cast("int"))
-        .otherwise(F.lit(0)))
+    every_bucket = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+    lt = _tag_hot(l, _LK, hot, "__hot_l", lambda h: F.explode(
+        F.when(h, every_bucket).otherwise(F.array(F.lit(0)))).alias(_SALT))
+    row_bucket = F.pmod(F.xxhash64(*[F.col(n) for n in rn]), F.lit(salt_buckets)).cast("int")
+    rt = _tag_hot(r, _RK, hot, "__hot_r", lambda h: F.when(h, row_bucket).otherwise(F.lit(0)).alias(_SALT + "_r"))
     j = lt.join(rt, (F.col(_LK) == F.col(_RK)) & (F.col(_SALT) == F.col(_SALT + "_r")), how)
     if how != "inner":
         j = j.where(~(F.col("__hot_l") & F.col(_RK).isNull()))

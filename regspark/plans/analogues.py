@@ -20,8 +20,16 @@ from regspark.functions.keys import padded_key
 KEY_WIDTH = 8
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the relation (file listing, footer schema) is resolved once per session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def companies(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:

@@ -401,9 +401,16 @@ def q_export_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- archives ---------------------------------------------------------------------------------
 
+_ARCHIVES: dict[tuple, str] = {}
+
+
 def _archives(spark: SparkSession, sf_dir: str) -> str:
-    root = stage_registry(spark, sf_dir, "zip-src", tables=("part",))
-    return stage_archives(spark, root)
+    """Part shards packed as zips (plus one truncated archive); written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ARCHIVES:
+        root = stage_registry(spark, sf_dir, "zip-src", tables=("part",))
+        _ARCHIVES[key] = stage_archives(spark, root)
+    return _ARCHIVES[key]
 
 
 def q_scan_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,16 +41,27 @@ def stage_text(df: DataFrame, table_name: str, col: str, root: str,
     return write_shards(labelled, root, dialect=dialect, mode="append")
 
 
+_STAGED: dict[tuple, str] = {}
+
+
 def stage_registry(spark: SparkSession, sf_dir: str, name: str = "registry",
                    dialect: Dialect = REGISTRY, tables: tuple = ("part", "supplier")) -> str:
-    """``part`` (shards ``Part0..9``) and ``supplier`` (``Supplier0..9``) as registry text."""
+    """``part`` (shards ``Part0..9``) and ``supplier`` (``Supplier0..9``) as registry text.
+
+    The text is input data, like the Parquet tables it comes from: it is written once per
+    session (and per table set / dialect) and shared by the queries that scan it.
+    """
     from regspark.plans.analogues import table
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(tables), dialect)
+    if key in _STAGED:
+        return _STAGED[key]
     root = staging_path(spark, name)
     cols = {"part": ("Part", "p_size"), "supplier": ("Supplier", "s_nationkey"),
             "customer": ("Customer", "c_nationkey"), "nation": ("Nation", "n_nationkey")}
     for t in tables:
         label, col = cols[t]
         stage_text(table(spark, sf_dir, t), label, col, root, dialect)
+    _STAGED[key] = root
     return root
 
 

@@ -78,9 +78,9 @@ def scan_shards(spark: SparkSession, root: str, keyword: str, schema: T.StructTy
     df = df.select("*", F.col("_metadata.file_path").alias("source_file")) \
         .withColumn("snapshot", snapshot_from_path("source_file"))
     if first:
-        # one row per snapshot: a bounded (≤ number of snapshots) broadcast side
+        # one row per snapshot; AQE broadcasts it at run time from its measured size
         firsts = df.groupBy("snapshot").agg(F.min("source_file").alias("source_file"))
-        df = df.join(F.broadcast(firsts), ["snapshot", "source_file"], "left_semi")
+        df = df.join(firsts, ["snapshot", "source_file"], "left_semi")
     cols = [f.name for f in schema.fields] + extra
     return df.select(*cols)
 

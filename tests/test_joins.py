@@ -111,3 +111,28 @@ def test_company_partners_by_snapshot(spark):
     out = company_partners(e2, es2, so2, snapshot_col="snapshot")
     per = {r["snapshot"]: r["count"] for r in out.groupBy("snapshot").count().collect()}
     assert per == {"2023-05": 8, "2025-01": 5}
+
+
+from hypothesis import given, settings, HealthCheck, strategies as st
+
+_names = st.sampled_from(["ALFA", "BETA", "beta", "GAMA", None])
+_keys = st.sampled_from(["12345670", "12345678", "55555550", "7777777A", None])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(e=st.lists(st.tuples(st.sampled_from(["1", "2", "3"]), _names), max_size=8),
+       es=st.lists(st.tuples(_keys, _names, st.sampled_from(["c1", "c2"])), max_size=10),
+       so=st.lists(st.tuples(_keys, st.sampled_from(["p1", "p2", "p3"])), max_size=12))
+def test_counts_and_salting_agree_with_the_join(spark, e, es, so):
+    empre = spark.createDataFrame(e, "cnpj_emp string, razao_emp string")
+    esta = spark.createDataFrame(es, "cnpj string, fantasia string, cnae string")
+    socios = spark.createDataFrame(so, "cnpj_soc string, nome_socio string")
+    joined = company_partners(empre, esta, socios)
+    salted = company_partners(empre, esta, socios, hot_rows=1, salt_buckets=3)
+    assert rows(salted) == rows(joined)
+    by = {r["cnae"]: (r["n"], r["n_m"]) for r in company_partner_counts(empre, esta, socios, group_by=["cnae"]).collect()}
+    want = {}
+    for r in joined.collect():
+        n, m = want.get(r["cnae"], (0, 0))
+        want[r["cnae"]] = (n + 1, m + (r["cnpj_soc"] is not None))
+    assert by == want
