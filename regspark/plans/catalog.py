@@ -32,7 +32,8 @@ from regspark.sinks.reports import preview, schema_report
 from regspark.sinks.writers import EXPORT_DIALECT, csv_to_parquet, export_csv, write_parquet, write_shards
 from regspark.sources.archives import first_member_per_archive, read_archive_lines, read_archives
 from regspark.sources.delimited import (
-    read_delimited, read_positional, read_split_malformed, read_with_header, rename_positional,
+    read_delimited, read_inferred, read_positional, read_split_malformed, read_with_header,
+    rename_positional,
 )
 from regspark.sources.shards import scan_shards, scan_snapshots
 from regspark.operators.dims import load_dimension
@@ -280,6 +281,17 @@ def q_scan_headerless_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, f"{root}/*/*", _part_schema(spark, sf_dir))
 
 
+def q_scan_inferred_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headerless shards read the way the registry scripts do: inferred types, then toDF.
+
+    Inference turns the key into an ``int`` (zero padding would be lost); kept for
+    parity, while every other reader uses explicit schemas.
+    """
+    root = stage_registry(spark, sf_dir, "headerless", tables=("part",))
+    names = [f.name for f in _part_schema(spark, sf_dir).fields]
+    return read_inferred(spark, f"{root}/*/*", names)
+
+
 def q_scan_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shard whose name contains the keyword, in any case, across snapshots."""
     root = stage_registry(spark, sf_dir, "shards")
@@ -477,6 +489,7 @@ QUERIES = {
     "segment_counts": q_segment_counts,
     "clean_fields": q_clean_fields,
     "scan_headerless_csv": q_scan_headerless_csv,
+    "scan_inferred_csv": q_scan_inferred_csv,
     "scan_shards": q_scan_shards,
     "scan_snapshots": q_scan_snapshots,
     "scan_optional_input": q_scan_optional_input,

@@ -173,6 +173,8 @@ ORACLES: dict[str, str] = {
     "clean_fields": """select o_orderkey, cast(o_totalprice as decimal(18, 2)) as total,
           cast(o_orderdate as date) as order_date, o_orderpriority as priority from orders""",
     "scan_headerless_csv": "select * from part",
+    "scan_inferred_csv": """select cast(p_partkey as integer) as p_partkey, p_name, p_brand, p_type, p_size,
+          p_retailprice from part""",
     "scan_shards": "select * from part",
     "scan_snapshots": _PART_SNAP,
     "scan_optional_input": "select * from supplier",
