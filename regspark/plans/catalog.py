@@ -74,6 +74,24 @@ def q_join_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                             hot_rows=HOT_ROWS)
 
 
+# partners of a third of all suppliers share one key prefix; far above this threshold
+SKEW_HOT_ROWS = 16
+
+
+def q_skewed_partner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship with one partner-key prefix owning about a third of all partners.
+
+    Suppliers of nations 0-7 all get key ``00000001``, so prefix ``0000000`` is hot and
+    the left join takes the salted path (the result must not change).
+    """
+    s = table(spark, sf_dir, "supplier")
+    skewed = s.select(F.when(F.col("s_nationkey") < 8, F.lit("00000001"))
+                      .otherwise(padded_key("s_suppkey", 8)).alias("cnpj_soc"),
+                      F.col("s_name").alias("nome_socio"))
+    return company_partners(companies(spark, sf_dir), establishments(spark, sf_dir), skewed,
+                            hot_rows=SKEW_HOT_ROWS, salt_buckets=8)
+
+
 def q_name_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_join(dedup_full_row(companies(spark, sf_dir)),
                      dedup_full_row(establishments(spark, sf_dir)))
@@ -463,6 +481,7 @@ QUERIES = {
     "joined_row_count": q_joined_row_count,
     "joined_counts_by_cnae": q_joined_counts_by_cnae,
     "join_by_snapshot": q_join_by_snapshot,
+    "skewed_partner_join": q_skewed_partner_join,
     "name_inner_join": q_name_inner_join,
     "prefix_left_join": q_prefix_left_join,
     "prefix_match_counts": q_prefix_match_counts,

@@ -25,6 +25,16 @@ select * from empre join esta on razao_emp = fantasia
 left join soc on substring(cnpj, 1, 7) = substring(cnpj_soc, 1, 7)
 """
 
+JOINED_SKEWED = f"""
+with empre as ({_EMPRE.format(snap='')}),
+     esta as ({_ESTA.format(snap='')}),
+     soc as (select distinct case when s_nationkey < 8 then '00000001'
+                                  else lpad(cast(s_suppkey as varchar), 8, '0') end as cnpj_soc,
+                             s_name as nome_socio from supplier)
+select * from empre join esta on razao_emp = fantasia
+left join soc on substring(cnpj, 1, 7) = substring(cnpj_soc, 1, 7)
+"""
+
 JOINED_BY_SNAPSHOT = f"""
 with empre as ({_EMPRE.format(snap=_snap('p_size'))}),
      esta as ({_ESTA.format(snap=_snap('p_size'))}),
@@ -106,6 +116,7 @@ ORACLES: dict[str, str] = {
     "joined_row_count": f"select count(*) as n_rows from ({JOINED}) t",
     "joined_counts_by_cnae": f"select cnae, count(*) as n, count(cnpj_soc) as n_m from ({JOINED}) t group by cnae",
     "join_by_snapshot": JOINED_BY_SNAPSHOT,
+    "skewed_partner_join": JOINED_SKEWED,
     "name_inner_join": f"""with empre as ({_EMPRE.format(snap='')}), esta as ({_ESTA.format(snap='')})
         select * from empre join esta on razao_emp = fantasia""",
     "prefix_left_join": """select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice

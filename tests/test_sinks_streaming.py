@@ -69,3 +69,29 @@ def test_preview_and_schema_report(spark):
     rep = schema_report({"empre": df})
     r = rep.where(F.col("column_name") == "ent_fed_resp").first()
     assert (r["position"], r["data_type"], r["n_rows"], r["n_non_null"]) == (7, "string", 20, 0)
+
+
+def test_read_pages_then_links(spark, tmp_path):
+    from regspark.functions.links import extract_links, resolve_link
+    from regspark.sources.pages import read_pages
+    d = tmp_path / "pages"
+    d.mkdir()
+    (d / "index.html").write_text('<a href="2023-05/">a</a>\n<a href="2025-01/">b</a><a href="../">up</a>')
+    (d / "skip.txt").write_text('<a href="nope/">x</a>')
+    links = extract_links(read_pages(spark, str(d)))
+    hrefs = sorted(r["href"] for r in links.where(F.col("href").startswith("20")).collect())
+    assert hrefs == ["2023-05/", "2025-01/"]
+    base = "https://host/dados/"
+    got = links.select(resolve_link(F.lit(base), "href").alias("u")).where(F.col("u").endswith("2025-01/"))
+    assert got.first()["u"] == "https://host/dados/2025-01/"
+
+
+def test_staging_lives_under_the_session_checkpoint_root(spark):
+    from regspark.session import checkpoint_root, cut_lineage, staging_path
+    root = checkpoint_root(spark)
+    p1, p2 = staging_path(spark, "x"), staging_path(spark, "x")
+    assert p1.startswith(root) and p2.startswith(root) and p1 != p2
+    df = spark.range(5).withColumn("v", F.col("id") * 2)
+    cut = cut_lineage(df, name="t")
+    assert sorted(r["v"] for r in cut.collect()) == [0, 2, 4, 6, 8]
+    assert "Range" not in cut._jdf.queryExecution().optimizedPlan().toString()
