@@ -39,16 +39,20 @@ def rename_collisions(left: DataFrame, right: DataFrame, suffix: str = "_r") ->
 
 
 def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000,
-                  name: str = "__hot_key") -> DataFrame:
-    """Keys owning more than ``hot_rows`` rows of ``source``, heaviest first.
-
-    Map-side partial counting keeps the shuffle at one row per key and task, and the
-    ``limit`` proves the frame holds at most ``max_keys`` rows, so it may be broadcast.
-    Keys beyond the limit stay on the regular join path, which is still exact.
+                  name: str = "__hot_key", max_buckets: int = 4096) -> DataFrame:
+    """Keys owning more than ``hot_rows`` rows of ``source``, with a bucket count each.
+
+    ``buckets = min(max_buckets, ceil(rows / hot_rows))``, so a salted bucket holds about
+    ``hot_rows`` right rows whatever the key's size.  Map-side partial counting keeps the
+    shuffle at one row per key and task, and the ``limit`` proves the frame holds at most
+    ``max_keys`` rows, so it may be broadcast.  Keys beyond the limit stay on the regular
+    join path, which is still exact.
     """
     counts = source.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")) \
         .where(F.col(name).isNotNull() & (F.col("__n") > hot_rows))
-    return counts.orderBy(F.desc("__n"), F.col(name)).limit(max_keys).select(name)
+    buckets = F.least(F.lit(max_buckets), F.ceil(F.col("__n") / F.lit(hot_rows))).cast("int")
+    return counts.orderBy(F.desc("__n"), F.col(name)).limit(max_keys) \
+        .select(name, buckets.alias("__buckets"))
 
 
 def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000) -> list:
@@ -56,34 +60,33 @@ def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_0
     return [r[0] for r in hot_key_frame(source, key, hot_rows, max_keys).collect()]
 
 
-def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, flag: str, salt: Column) -> DataFrame:
-    """Add boolean ``flag`` (key in the broadcast, bounded hot set) and the salt column.
+def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, salt) -> DataFrame:
+    """Add the salt column computed from the key's bucket count (null when not hot).
 
     Both sides join the identical broadcast frame, so Spark builds it once and reuses it.
     """
-    h = F.broadcast(hot.select(F.col(hot.columns[0]).alias("__hot_k"), F.lit(True).alias("__hot")))
-    cols = [c for c in df.columns]
-    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
+    h = F.broadcast(hot.select(F.col(hot.columns[0]).alias("__hot_k"), "__buckets"))
     return df.join(h, F.col(key_col) == F.col("__hot_k"), "left") \
-        .select(*cols, is_hot.alias(flag), salt(is_hot))
+        .select(*df.columns, F.col("__buckets").isNotNull().alias("__hot"), salt(F.col("__buckets")))
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
-              how: str = "inner", *, hot_rows: int | None = None, salt_buckets: int = 64,
+              how: str = "inner", *, hot_rows: int | None = None, salt_buckets: int = 4096,
               max_hot_keys: int = 10_000, hot_source: DataFrame | None = None) -> DataFrame:
     """``left ⋈ right`` on ``left_key == right_key`` for ``how`` in inner / left.
 
     Output columns: all of ``left`` then all of ``right``.
 
     With ``hot_rows`` set, right-side keys with more rows than that are salted inside the
-    same plan (no driver round trip): the bounded hot-key frame is broadcast to tag both
-    sides; a hot right row goes to bucket ``xxhash64(row) mod salt_buckets`` (a
-    deterministic salt, so a retried task rebuilds the same buckets), a hot left row is
-    copied into every bucket, and cold rows use bucket 0.  The join runs on
-    ``(key, bucket)``.  For a left join, the null-padded copies of hot left rows are
-    dropped: every hot key has partners, so each hot row still meets all of them exactly
-    once.  Hot keys are counted on ``hot_source`` when given — any frame whose per-key
-    counts bound the right side's from above (e.g. the right side before dedup).
+    same plan (no driver round trip): the bounded hot-key frame, which carries
+    ``b = min(salt_buckets, ceil(rows / hot_rows))`` per key, is broadcast to tag both
+    sides; a hot right row goes to bucket ``xxhash64(row) mod b`` (a deterministic salt,
+    so a retried task rebuilds the same buckets), a hot left row is copied into each of
+    the ``b`` buckets, and cold rows use bucket 0.  The join runs on ``(key, bucket)``.
+    For a left join, the null-padded copies of hot left rows are dropped: every hot key
+    has partners, so each hot row still meets all of them exactly once.  Hot keys are
+    counted on ``hot_source`` when given — any frame whose per-key counts bound the right
+    side's from above (e.g. the right side before dedup).
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -98,12 +101,14 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     if hot_rows is None:
         return l.join(r, F.col(_LK) == F.col(_RK), how).select(*out_cols)
 
-    hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows, max_hot_keys)
-    every_bucket = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
-    lt = _tag_hot(l, _LK, hot, "__hot_l", lambda h: F.explode(
-        F.when(h, every_bucket).otherwise(F.array(F.lit(0)))).alias(_SALT))
-    row_bucket = F.pmod(F.xxhash64(*[F.col(n) for n in rn]), F.lit(salt_buckets)).cast("int")
-    rt = _tag_hot(r, _RK, hot, "__hot_r", lambda h: F.when(h, row_bucket).otherwise(F.lit(0)).alias(_SALT + "_r"))
+    hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows,
+                        max_hot_keys, max_buckets=salt_buckets)
+    lt = _tag_hot(l, _LK, hot, lambda b: F.explode(
+        F.when(b.isNotNull(), F.sequence(F.lit(0), b - 1)).otherwise(F.array(F.lit(0)))).alias(_SALT))
+    lt = lt.withColumnRenamed("__hot", "__hot_l")
+    row_hash = F.xxhash64(*[F.col(n) for n in rn])
+    rt = _tag_hot(r, _RK, hot, lambda b: F.when(b.isNotNull(), F.pmod(row_hash, b).cast("int"))
+                  .otherwise(F.lit(0)).alias(_SALT + "_r")).drop("__hot")
     j = lt.join(rt, (F.col(_LK) == F.col(_RK)) & (F.col(_SALT) == F.col(_SALT + "_r")), how)
     if how != "inner":
         j = j.where(~(F.col("__hot_l") & F.col(_RK).isNull()))

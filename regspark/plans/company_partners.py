@@ -42,7 +42,7 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
                      prefix_len: int = 7, key_width: int | None = None,
                      snapshot_col: str | None = None, dedup: bool = True,
                      collision_suffix: str = "_soc", hot_rows: int | None = None,
-                     salt_buckets: int = 64) -> DataFrame:
+                     salt_buckets: int = 4096) -> DataFrame:
     """The joined rows: companies + establishments + partners (left, unmatched kept).
 
     ``snapshot_col`` (present in all three inputs) adds snapshot equality to both joins,

@@ -40,12 +40,18 @@ def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
 
 def build_session(master: str | None = None, app: str = "regspark",
                   shuffle_partitions: int | None = None,
-                  conf: dict[str, str] | None = None) -> SparkSession:
-    """Create (or reuse) a session with AQE, skew-join splitting and UTC time."""
+                  conf: dict[str, str] | None = None,
+                  sizing: tuple[int, int, int] | None = None) -> SparkSession:
+    """Create (or reuse) a session with AQE, skew-join splitting and UTC time.
+
+    ``sizing = (input_bytes, executors, cores_per_executor)`` applies :func:`scale_conf`.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if sizing:
+        settings.update(scale_conf(*sizing))
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect

@@ -1,6 +1,5 @@
 """Driver contract and Spark-vs-DuckDB parity of every registered query on sf0.001."""
 
-import os
 
 import duckdb
 import pytest

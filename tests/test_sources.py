@@ -2,8 +2,6 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import plan, rows
 from regspark.schemas import EMPRE_COLUMNS, REGISTRY, string_schema
