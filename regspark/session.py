@@ -19,15 +19,18 @@ DEFAULT_CONF = {
 
 
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
-               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+               target_partition_bytes: int = 256 << 20,
+               max_partitions: int = 100_000) -> dict[str, str]:
     """Shuffle / scan settings sized for the data instead of Spark's fixed defaults.
 
     Initial shuffle partitions give ~``target_partition_bytes`` per partition of the
     input (AQE coalesces small ones and splits skewed ones at run time), never fewer
-    than two waves of the cluster's cores.
+    than two waves of the cluster's cores and at most ``max_partitions`` (beyond that
+    the driver's map-output tracking dominates; shuffled data is usually far smaller
+    than raw input after column pruning).
     """
     cores = max(1, executors * cores_per_executor)
-    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    parts = min(max_partitions, max(2 * cores, -(-input_bytes // target_partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
