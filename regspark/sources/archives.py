@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,27 @@ LINES_SCHEMA = T.StructType([
 _COLS = [f.name for f in LINES_SCHEMA.fields]
 
 
+def _records(text, quote: str | None):
+    """Yield records from a text stream; with ``quote``, a line break inside a quoted
+    field continues the record (doubled-quote escapes keep the quote count even)."""
+    if not quote:
+        for line in text:
+            yield line.rstrip("\r\n")
+        return
+    buf: list[str] = []
+    quotes = 0
+    for line in text:
+        buf.append(line)
+        quotes += line.count(quote)
+        if quotes % 2 == 0:
+            yield "".join(buf).rstrip("\r\n")
+            buf, quotes = [], 0
+    if buf:
+        yield "".join(buf).rstrip("\r\n")
+
+
 def _unzip_lines(member_suffix: str | None, encoding: str, first_member_only: bool,
-                 batch_rows: int):
+                 batch_rows: int, quote: str | None = None):
     def run(batches):
         rows: list[tuple] = []
         for pdf in batches:
@@ -45,13 +65,13 @@ def _unzip_lines(member_suffix: str | None, encoding: str, first_member_only: bo
                         for m in members:
                             with zf.open(m) as raw:
                                 text = io.TextIOWrapper(raw, encoding=encoding, newline="")
-                                for i, line in enumerate(text):
-                                    rows.append((path, m, i, line.rstrip("\r\n"), None))
+                                for i, line in enumerate(_records(text, quote)):
+                                    rows.append((path, m, i, line, None))
                                     if len(rows) >= batch_rows:
                                         yield pd.DataFrame(rows, columns=_COLS)
                                         rows = []
-                except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, EOFError,
-                        UnicodeDecodeError, KeyError) as e:
+                except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, OSError, EOFError,
+                        UnicodeDecodeError, KeyError, NotImplementedError, RuntimeError) as e:
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
         if rows:
             yield pd.DataFrame(rows, columns=_COLS)
@@ -60,18 +80,27 @@ def _unzip_lines(member_suffix: str | None, encoding: str, first_member_only: bo
 
 def read_archive_lines(spark: SparkSession, path: str, member_suffix: str | None = None,
                        encoding: str = REGISTRY.encoding, first_member_only: bool = False,
-                       batch_rows: int = 10_000, glob_filter: str = "*.zip") -> DataFrame:
-    """``(archive, member, line_no, line, error)`` for every line of every member."""
+                       batch_rows: int = 10_000, glob_filter: str = "*.zip",
+                       multi_line_quote: str | None = None) -> DataFrame:
+    """``(archive, member, line_no, line, error)`` for every record of every member.
+
+    With ``multi_line_quote`` (the dialect's quote character), a record continues across
+    line breaks inside quoted fields; otherwise every physical line is a record.
+    """
     bins = (spark.read.format("binaryFile").option("pathGlobFilter", glob_filter)
             .load(path).select("path", "content"))
-    fn = _unzip_lines(member_suffix, encoding, first_member_only, batch_rows)
+    fn = _unzip_lines(member_suffix, encoding, first_member_only, batch_rows, multi_line_quote)
     return bins.mapInPandas(fn, LINES_SCHEMA)
 
 
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(good_lines, rejected_archives)``; rejects carry the archive and its error."""
-    good = lines.where(F.col("error").isNull())
+    """``(good_lines, rejected_archives)``; rejects carry the archive and its error.
+
+    An archive that fails part-way (a damaged member) is rejected whole: its lines read
+    before the failure are removed by an anti join against the (small) reject set.
+    """
     bad = lines.where(F.col("error").isNotNull()).select("archive", "error")
+    good = lines.where(F.col("error").isNull()).join(bad.select("archive"), "archive", "left_anti")
     return good, bad
 
 
@@ -99,7 +128,8 @@ def read_archives(spark: SparkSession, path: str, schema: T.StructType,
                   first_member_only: bool = False,
                   spread_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed rows of every archive member plus the rejected archives."""
-    lines = read_archive_lines(spark, path, member_suffix, dialect.encoding, first_member_only)
+    lines = read_archive_lines(spark, path, member_suffix, dialect.encoding, first_member_only,
+                               multi_line_quote=dialect.quote if dialect.multi_line else None)
     good, bad = split_rejects(lines)
     return parse_lines(good, schema, dialect, dialect.header, spread_partitions=spread_partitions), bad
 

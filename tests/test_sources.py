@@ -110,3 +110,36 @@ def test_zip_archives_members_and_rejects(spark, tmp_path):
     assert firsts == {"Empresas0.zip": "K.EMPRECSV.csv", "Empresas1.zip": "a.txt"}
     # the unzip is the one Python stage; parsing stays JVM-side (from_csv)
     assert "MapInPandas" in plan(good) and "BatchEvalPython" not in plan(good)
+
+
+def test_zip_members_with_quoted_line_breaks(spark, tmp_path):
+    d = tmp_path / "mz"
+    d.mkdir()
+    text = '"1";"linha um\ndois";"x ""q"""\n"2";"simples";""\n'
+    (d / "Docs0.zip").write_bytes(_zip_bytes([("docs.csv", text)]))
+    schema = string_schema(["id", "txt", "extra"])
+    good, _ = read_archives(spark, str(d), schema, REGISTRY.with_(multi_line=True))
+    got = sorted((r["id"], r["txt"], r["extra"]) for r in good.collect())
+    assert got == [("1", "linha um\ndois", 'x "q"'), ("2", "simples", None)]
+    flat, _ = read_archives(spark, str(d), schema)  # physical lines: the record splits
+    assert flat.count() == 3
+
+
+def test_archive_failing_midway_is_rejected_whole(spark, tmp_path):
+    d = tmp_path / "half"
+    d.mkdir()
+    big = "\n".join(f'"{i:08d}";"NOME {i}"' for i in range(20000))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("a.csv", big)
+        zf.writestr("b.csv", big)
+    data = bytearray(buf.getvalue())
+    # damage the middle of the second member's compressed stream, keep the directory intact
+    info = zipfile.ZipFile(io.BytesIO(bytes(data))).getinfo("b.csv")
+    mid = info.header_offset + 60 + info.compress_size // 2
+    data[mid:mid + 64] = b"\x00" * 64
+    (d / "Half0.zip").write_bytes(bytes(data))
+    (d / "Good0.zip").write_bytes(_zip_bytes([("g.csv", '"1";"x"')]))
+    good, bad = read_archives(spark, str(d), string_schema(["id", "nome"]))
+    assert [r["archive"].split("/")[-1] for r in bad.collect()] == ["Half0.zip"]
+    assert {r["archive"].split("/")[-1] for r in good.collect()} == {"Good0.zip"}
