@@ -7,7 +7,7 @@ from regspark.operators.joins import (
 from regspark.operators.counts import row_count, row_counts, union_shards
 from regspark.operators.manifest import (
     wanted_facts, wanted_dimensions, wanted_manifest, manifest_available, manifest_missing,
-    ingest_plan, route_archives,
+    ingest_plan, route_archives, snapshots_available,
 )
 from regspark.operators.dims import (
     bounded_broadcast, lookup, lookup_dimensions, segment_of, segment_counts, load_dimension,

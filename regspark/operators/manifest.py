@@ -33,11 +33,46 @@ def wanted_dimensions(spark: SparkSession, names: list[str] = DIMENSION_NAMES) -
 
 
 def wanted_manifest(table_types: DataFrame, type_col: str = "table_type",
-                    shards: int = SHARDS_PER_TABLE, dimensions: list[str] | None = None) -> DataFrame:
+                    shards: int = SHARDS_PER_TABLE, dimensions: list[str] | None = None,
+                    snapshots: list[str] | None = None, base_url: str | None = None) -> DataFrame:
+    """Every wanted archive; with ``snapshots`` (the wanted dated folders, a parameter)
+    one copy per snapshot with its local file name (shard kept) and, given ``base_url``,
+    its remote URL.
+    """
     facts = wanted_facts(table_types, type_col, shards)
-    if not dimensions:
-        return facts
-    return facts.unionByName(wanted_dimensions(table_types.sparkSession, dimensions))
+    wanted = facts.unionByName(wanted_dimensions(table_types.sparkSession, dimensions)) \
+        if dimensions else facts
+    if not snapshots:
+        return wanted
+    per_snapshot = [wanted.withColumn("snapshot", F.lit(snapshot_label_of(s))) for s in snapshots]
+    out = per_snapshot[0]
+    for df in per_snapshot[1:]:
+        out = out.unionByName(df)
+    local = F.concat(F.regexp_replace("archive_name", r"\.zip$", ""), F.lit("-"), F.col("snapshot"),
+                     F.lit(".zip"))
+    out = out.withColumn("local_name", local)
+    if base_url:
+        out = out.withColumn("url", F.concat(F.lit(base_url.rstrip("/") + "/"), F.col("snapshot"),
+                                             F.lit("/"), F.col("archive_name")))
+    return out
+
+
+def snapshot_label_of(folder: str) -> str:
+    """``'2025-01/'`` -> ``'2025-01'``."""
+    return folder.strip("/")
+
+
+def snapshots_available(wanted: list[str] | DataFrame, listing: DataFrame,
+                        listing_col: str = "href") -> DataFrame:
+    """Wanted dated folders with a flag: does the listing offer them (``'20…/'`` links)."""
+    spark = listing.sparkSession
+    if isinstance(wanted, list):
+        wanted = spark.createDataFrame([(snapshot_label_of(w),) for w in wanted], "snapshot string")
+    offered = (listing.select(F.btrim(F.col(listing_col), F.lit("/")).alias("snapshot"))
+               .where(F.col("snapshot").rlike(r"^20\d{2}-\d{2}$")).distinct()
+               .withColumn("listed", F.lit(True)))
+    return wanted.join(offered, "snapshot", "left") \
+        .select("snapshot", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 def _names(df: DataFrame, col: str) -> DataFrame:

@@ -230,6 +230,13 @@ def q_wanted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                            dimensions=DIMENSION_NAMES)
 
 
+def q_wanted_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted archives per wanted snapshot folder, with local names and URLs."""
+    ev = table(spark, sf_dir, "events")
+    return wanted_manifest(ev.select(N.capitalized("event_type").alias("table_type")),
+                           snapshots=["2023-05/", "2025-01/"], base_url="https://host/dados/")
+
+
 def q_manifest_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted, listing, _ = _manifest_inputs(spark, sf_dir)
     return manifest_available(wanted, listing)
@@ -500,6 +507,7 @@ QUERIES = {
     "path_parts": q_path_parts,
     "archive_names": q_archive_names,
     "wanted_manifest": q_wanted_manifest,
+    "wanted_by_snapshot": q_wanted_by_snapshot,
     "manifest_available": q_manifest_available,
     "manifest_missing": q_manifest_missing,
     "ingest_plan": q_ingest_plan,

@@ -167,6 +167,10 @@ ORACLES: dict[str, str] = {
           trim(p_brand, '#') as brand_trim
         from part""",
     "wanted_manifest": f"select * from {_WANTED_ALL}",
+    "wanted_by_snapshot": f"""select w.*, s.snapshot,
+          concat(replace(w.archive_name, '.zip', ''), '-', s.snapshot, '.zip') as local_name,
+          concat('https://host/dados/', s.snapshot, '/', w.archive_name) as url
+        from {_WANTED} w, (select unnest(['2023-05', '2025-01']) as snapshot) s""",
     "manifest_available": f"select * from {_WANTED} w where archive_name in (select archive_name from {_LISTING})",
     "manifest_missing": f"select * from {_WANTED} w where archive_name not in (select archive_name from {_LISTING})",
     "ingest_plan": f"""select w.*, case when p.archive_name is not null then 'extract'

@@ -98,3 +98,15 @@ def test_manifest_and_plan(spark):
     assert actions["Socios0.zip"] == "missing"
     routes = {r["archive_name"]: r["route"] for r in route_archives(wanted).collect()}
     assert routes["Cnaes.zip"] == "dimension" and routes["Socios1.zip"] == "data"
+
+
+def test_snapshot_manifest_and_listing(spark):
+    from regspark.operators.manifest import snapshots_available
+    types = spark.createDataFrame([("Socios",)], "table_type string")
+    w = wanted_manifest(types, shards=2, snapshots=["2023-05/", "2025-01/"], base_url="https://h/d/")
+    got = sorted((r["snapshot"], r["local_name"], r["url"]) for r in w.collect())
+    assert got[0] == ("2023-05", "Socios0-2023-05.zip", "https://h/d/2023-05/Socios0.zip")
+    assert len(got) == 4
+    listing = spark.createDataFrame([("2024-12/",), ("2025-01/",), ("../",), ("Socios0.zip",)], "href string")
+    flags = {r["snapshot"]: r["listed"] for r in snapshots_available(["2023-05/", "2025-01/"], listing).collect()}
+    assert flags == {"2023-05": False, "2025-01": True}
