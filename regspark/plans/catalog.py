@@ -21,7 +21,7 @@ from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
 )
-from regspark.plans.analogues import companies, establishments, partners, table
+from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table
 from regspark.plans.company_partners import company_partner_counts, company_partners
 from regspark.plans.staging import (
     PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text, write_lines,
@@ -37,7 +37,7 @@ from regspark.sources.delimited import (
 )
 from regspark.sources.shards import scan_shards, scan_snapshots
 from regspark.operators.dims import load_dimension
-from regspark.streaming.incremental import ingest_new_shards
+from regspark.streaming.incremental import ingest_new_archives, ingest_new_shards
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -483,6 +483,20 @@ def q_incremental_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select(*part.columns, "snapshot")
 
 
+def q_incremental_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives landing in two batches, unpacked once each by an availableNow stream."""
+    part = table(spark, sf_dir, "part")
+    landing = staging_path(spark, "zip-landing")
+    sink, ckpt = staging_path(spark, "zip-sink"), staging_path(spark, "zip-ckpt")
+    for snap in ("2023-05", "2025-01"):
+        text = staging_path(spark, f"zip-text-{snap}")
+        stage_text(part.where(snapshot_of_size(PART_SNAPSHOT_COL) == snap), "Part", PART_SNAPSHOT_COL, text)
+        stage_archives(spark, text, landing)
+        ingest_new_archives(spark, landing, part.schema, sink, ckpt)
+    ingest_new_archives(spark, landing, part.schema, sink, ckpt)  # nothing new
+    return spark.read.parquet(f"{sink}/good").select(*part.columns)
+
+
 QUERIES = {
     "company_partner_join": q_company_partner_join,
     "joined_row_count": q_joined_row_count,
@@ -535,4 +549,5 @@ QUERIES = {
     "zip_rejects": q_zip_rejects,
     "first_member_per_archive": q_first_member_per_archive,
     "incremental_shards": q_incremental_shards,
+    "incremental_archives": q_incremental_archives,
 }

@@ -214,4 +214,5 @@ ORACLES: dict[str, str] = {
     "first_member_per_archive": f"""select archive_name, concat('Part', cast(shard as varchar), '.csv') as member
         from ({_PART_ARCHIVES}) a""",
     "incremental_shards": _PART_SNAP,
+    "incremental_archives": "select * from part",
 }

@@ -1,5 +1,5 @@
 """Streaming: incremental shard ingestion."""
 
-from regspark.streaming.incremental import shard_stream, ingest_new_shards
+from regspark.streaming.incremental import shard_stream, ingest_new_shards, ingest_new_archives
 
-__all__ = ["shard_stream", "ingest_new_shards"]
+__all__ = ["shard_stream", "ingest_new_shards", "ingest_new_archives"]

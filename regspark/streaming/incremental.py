@@ -42,3 +42,39 @@ def ingest_new_shards(spark: SparkSession, source_glob: str, schema: T.StructTyp
     if q.exception() is not None:
         raise q.exception()
     return q.lastProgress or {}
+
+
+def ingest_new_archives(spark: SparkSession, archive_dir: str, schema: T.StructType,
+                        sink_path: str, checkpoint_path: str, dialect: Dialect = REGISTRY,
+                        member_suffix: str | None = ".csv",
+                        max_files_per_trigger: int | None = None) -> dict:
+    """Unpack and load zip archives not seen before (a ``binaryFile`` file-source stream).
+
+    Every micro-batch is split into rows and rejected archives (whole-archive rejection,
+    as in batch reads) and written to ``<sink>/good/batch=<id>`` and
+    ``<sink>/rejects/batch=<id>`` with overwrite: a batch replayed after a failure
+    rewrites the same folder, so the result stays exactly-once.  Read ``<sink>/good``.
+    """
+    from regspark.sources.archives import LINES_SCHEMA, _unzip_lines, parse_lines, split_rejects
+
+    r = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip")
+         .schema("path string, modificationTime timestamp, length bigint, content binary"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    bins = r.load(archive_dir).select("path", "content")
+    fn = _unzip_lines(member_suffix, dialect.encoding, False, 10_000,
+                      dialect.quote if dialect.multi_line else None)
+    lines = bins.mapInPandas(fn, LINES_SCHEMA)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_rejects(batch)
+        rows = parse_lines(good, schema, dialect, dialect.header)
+        rows.write.mode("overwrite").parquet(f"{sink_path}/good/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{sink_path}/rejects/batch={batch_id}")
+
+    q = (lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return q.lastProgress or {}

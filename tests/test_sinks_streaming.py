@@ -95,3 +95,30 @@ def test_staging_lives_under_the_session_checkpoint_root(spark):
     cut = cut_lineage(df, name="t")
     assert sorted(r["v"] for r in cut.collect()) == [0, 2, 4, 6, 8]
     assert "Range" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_incremental_archive_ingest_is_idempotent(spark, tmp_path):
+    import io
+    import zipfile
+    from regspark.streaming.incremental import ingest_new_archives
+
+    def zbytes(text):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as zf:
+            zf.writestr("x.csv", text)
+        return buf.getvalue()
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    sink, ckpt = str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    schema = string_schema(["id", "v"])
+    (landing / "A0.zip").write_bytes(zbytes('"1";"a"\n"2";"b"\n'))
+    (landing / "Bad0.zip").write_bytes(b"not a zip")
+    ingest_new_archives(spark, str(landing), schema, sink, ckpt)
+    (landing / "A1.zip").write_bytes(zbytes('"3";"c"\n'))
+    ingest_new_archives(spark, str(landing), schema, sink, ckpt)
+    ingest_new_archives(spark, str(landing), schema, sink, ckpt)  # nothing new
+    good = spark.read.parquet(f"{sink}/good")
+    assert sorted(r["id"] for r in good.collect()) == ["1", "2", "3"]
+    rejects = spark.read.parquet(f"{sink}/rejects")
+    assert [r["archive"].split("/")[-1] for r in rejects.collect()] == ["Bad0.zip"]
