@@ -2,9 +2,9 @@
 
 ``binaryFile`` lists and reads the archives (one row per archive, one task per archive
 since zip is not splittable); a ``mapInPandas`` step — the only Python stage of the
-library — unpacks members and emits their text lines in bounded Arrow batches; the lines
-are then parsed JVM-side with ``from_csv``.  A corrupt archive becomes a row with an
-``error`` and never fails the job.
+library — verifies each archive, unpacks its members and emits their text records in
+bounded Arrow batches; the records are then parsed JVM-side with ``from_csv``.  A corrupt
+archive becomes one row with an ``error`` (and no lines) and never fails the job.
 """
 
 from __future__ import annotations
@@ -51,28 +51,39 @@ def _records(text, quote: str | None):
 
 def _unzip_lines(member_suffix: str | None, encoding: str, first_member_only: bool,
                  batch_rows: int, quote: str | None = None):
+    """Per archive: verify every member's CRC first (``testzip``), then emit records.
+
+    Verifying before emitting makes rejection whole-archive without buffering lines and
+    without a second pass over the data; bytes that do not decode become U+FFFD, as in
+    Spark's own text scans.
+    """
     def run(batches):
         rows: list[tuple] = []
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                        members = sorted(i.filename for i in zf.infolist() if not i.is_dir())
-                        if member_suffix:
-                            members = [m for m in members if m.lower().endswith(member_suffix.lower())]
-                        if first_member_only:
-                            members = members[:1]
-                        for m in members:
-                            with zf.open(m) as raw:
-                                text = io.TextIOWrapper(raw, encoding=encoding, newline="")
-                                for i, line in enumerate(_records(text, quote)):
-                                    rows.append((path, m, i, line, None))
-                                    if len(rows) >= batch_rows:
-                                        yield pd.DataFrame(rows, columns=_COLS)
-                                        rows = []
+                    zf = zipfile.ZipFile(io.BytesIO(content))
+                    damaged = zf.testzip()
+                    if damaged is not None:
+                        raise zipfile.BadZipFile(f"bad CRC in member {damaged}")
                 except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, OSError, EOFError,
-                        UnicodeDecodeError, KeyError, NotImplementedError, RuntimeError) as e:
+                        KeyError, NotImplementedError, RuntimeError) as e:
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                with zf:
+                    members = sorted(i.filename for i in zf.infolist() if not i.is_dir())
+                    if member_suffix:
+                        members = [m for m in members if m.lower().endswith(member_suffix.lower())]
+                    if first_member_only:
+                        members = members[:1]
+                    for m in members:
+                        with zf.open(m) as raw:
+                            text = io.TextIOWrapper(raw, encoding=encoding, errors="replace", newline="")
+                            for i, line in enumerate(_records(text, quote)):
+                                rows.append((path, m, i, line, None))
+                                if len(rows) >= batch_rows:
+                                    yield pd.DataFrame(rows, columns=_COLS)
+                                    rows = []
         if rows:
             yield pd.DataFrame(rows, columns=_COLS)
     return run
@@ -96,11 +107,11 @@ def read_archive_lines(spark: SparkSession, path: str, member_suffix: str | None
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good_lines, rejected_archives)``; rejects carry the archive and its error.
 
-    An archive that fails part-way (a damaged member) is rejected whole: its lines read
-    before the failure are removed by an anti join against the (small) reject set.
+    Archives are verified before any of their lines is emitted, so a damaged archive has
+    an error row and no lines: the split is two filters over one pass.
     """
+    good = lines.where(F.col("error").isNull())
     bad = lines.where(F.col("error").isNotNull()).select("archive", "error")
-    good = lines.where(F.col("error").isNull()).join(bad.select("archive"), "archive", "left_anti")
     return good, bad
 
 

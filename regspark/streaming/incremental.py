@@ -67,10 +67,14 @@ def ingest_new_archives(spark: SparkSession, archive_dir: str, schema: T.StructT
     lines = bins.mapInPandas(fn, LINES_SCHEMA)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_rejects(batch)
-        rows = parse_lines(good, schema, dialect, dialect.header)
-        rows.write.mode("overwrite").parquet(f"{sink_path}/good/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{sink_path}/rejects/batch={batch_id}")
+        batch = batch.persist()  # written twice; unpack each archive once
+        try:
+            good, bad = split_rejects(batch)
+            rows = parse_lines(good, schema, dialect, dialect.header)
+            rows.write.mode("overwrite").parquet(f"{sink_path}/good/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{sink_path}/rejects/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     q = (lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
