@@ -7,8 +7,8 @@ What it cannot split is a hot key on the right side of a left outer join (one pr
 that owns a third of all partners).  :func:`equi_join` handles that case explicitly:
 keys whose right-side row count exceeds ``hot_rows`` are salted — their right rows are
 spread over ``salt_buckets`` buckets by a content hash and the matching left rows are
-copied once per bucket — so no single task receives the whole hot group.  Detection,
-tagging and the join are one plan; the result is exactly the plain join's result.
+copied once per bucket — so no single task receives the whole hot group.  The result is
+exactly the plain join's result, and without hot keys the plan is the plain join.
 """
 
 from __future__ import annotations
@@ -60,16 +60,6 @@ def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_0
     return [r[0] for r in hot_key_frame(source, key, hot_rows, max_keys).collect()]
 
 
-def _tag_hot(df: DataFrame, key_col: str, hot: DataFrame, salt) -> DataFrame:
-    """Add the salt column computed from the key's bucket count (null when not hot).
-
-    Both sides join the identical broadcast frame, so Spark builds it once and reuses it.
-    """
-    h = F.broadcast(hot.select(F.col(hot.columns[0]).alias("__hot_k"), "__buckets"))
-    return df.join(h, F.col(key_col) == F.col("__hot_k"), "left") \
-        .select(*df.columns, F.col("__buckets").isNotNull().alias("__hot"), salt(F.col("__buckets")))
-
-
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
               how: str = "inner", *, hot_rows: int | None = None, salt_buckets: int = 4096,
               max_hot_keys: int = 10_000, hot_source: DataFrame | None = None) -> DataFrame:
@@ -77,16 +67,18 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
 
     Output columns: all of ``left`` then all of ``right``.
 
-    With ``hot_rows`` set, right-side keys with more rows than that are salted inside the
-    same plan (no driver round trip): the bounded hot-key frame, which carries
-    ``b = min(salt_buckets, ceil(rows / hot_rows))`` per key, is broadcast to tag both
-    sides; a hot right row goes to bucket ``xxhash64(row) mod b`` (a deterministic salt,
-    so a retried task rebuilds the same buckets), a hot left row is copied into each of
-    the ``b`` buckets, and cold rows use bucket 0.  The join runs on ``(key, bucket)``.
-    For a left join, the null-padded copies of hot left rows are dropped: every hot key
-    has partners, so each hot row still meets all of them exactly once.  Hot keys are
-    counted on ``hot_source`` when given — any frame whose per-key counts bound the right
-    side's from above (e.g. the right side before dedup).
+    With ``hot_rows`` set, right-side keys with more rows than that are salted.  One small
+    job counts keys (only the key column is read; map-side partial counts) and returns
+    at most ``max_hot_keys`` ``(key, b)`` pairs with ``b = min(salt_buckets,
+    ceil(rows / hot_rows))``.  Without hot keys the plan is the plain join.  Otherwise
+    both sides look their key up in a constant map (no extra join or scan): a hot right
+    row goes to bucket ``xxhash64(row) mod b`` (a deterministic salt, so a retried task
+    rebuilds the same buckets), a hot left row is copied into each of the ``b``
+    buckets, cold rows use bucket 0, and the join runs on ``(key, bucket)``.  For a left
+    join, the null-padded copies of hot left rows are dropped: every hot key has
+    partners, so each hot row still meets all of them exactly once.  Hot keys are counted
+    on ``hot_source`` when given — any frame whose per-key counts bound the right side's
+    from above (e.g. the right side before dedup).
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -98,17 +90,21 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     r = right.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(right.columns, rn)], right_key.alias(_RK))
     out_cols = ([F.col(n).alias(c) for c, n in zip(left.columns, ln)]
                 + [F.col(n).alias(c) for c, n in zip(right.columns, rn)])
+    plain = l.join(r, F.col(_LK) == F.col(_RK), how)
     if hot_rows is None:
-        return l.join(r, F.col(_LK) == F.col(_RK), how).select(*out_cols)
-
+        return plain.select(*out_cols)
     hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows,
-                        max_hot_keys, max_buckets=salt_buckets)
-    lt = _tag_hot(l, _LK, hot, lambda b: F.explode(
-        F.when(b.isNotNull(), F.sequence(F.lit(0), b - 1)).otherwise(F.array(F.lit(0)))).alias(_SALT))
-    lt = lt.withColumnRenamed("__hot", "__hot_l")
+                        max_hot_keys, max_buckets=salt_buckets).collect()  # <= max_hot_keys rows
+    if not hot:
+        return plain.select(*out_cols)
+
+    buckets = F.map_from_arrays(F.lit([h[0] for h in hot]), F.lit([int(h[1]) for h in hot]))
+    lb, rb = F.try_element_at(buckets, F.col(_LK)), F.try_element_at(buckets, F.col(_RK))
+    lt = l.select("*", lb.isNotNull().alias("__hot_l"), F.explode(
+        F.when(lb.isNotNull(), F.sequence(F.lit(0), lb - 1)).otherwise(F.array(F.lit(0)))).alias(_SALT))
     row_hash = F.xxhash64(*[F.col(n) for n in rn])
-    rt = _tag_hot(r, _RK, hot, lambda b: F.when(b.isNotNull(), F.pmod(row_hash, b).cast("int"))
-                  .otherwise(F.lit(0)).alias(_SALT + "_r")).drop("__hot")
+    rt = r.select("*", F.when(rb.isNotNull(), F.pmod(row_hash, rb).cast("int"))
+                  .otherwise(F.lit(0)).alias(_SALT + "_r"))
     j = lt.join(rt, (F.col(_LK) == F.col(_RK)) & (F.col(_SALT) == F.col(_SALT + "_r")), how)
     if how != "inner":
         j = j.where(~(F.col("__hot_l") & F.col(_RK).isNull()))
