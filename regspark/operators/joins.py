@@ -45,8 +45,8 @@ def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, max_keys: int =
     ``buckets = min(max_buckets, ceil(rows / hot_rows))``, so a salted bucket holds about
     ``hot_rows`` right rows whatever the key's size.  Map-side partial counting keeps the
     shuffle at one row per key and task, and the ``limit`` proves the frame holds at most
-    ``max_keys`` rows, so it may be broadcast.  Keys beyond the limit stay on the regular
-    join path, which is still exact.
+    ``max_keys`` rows, so it may be collected.  Keys beyond the limit (lighter than every
+    key kept) stay on the regular join path, which is still exact.
     """
     counts = source.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")) \
         .where(F.col(name).isNotNull() & (F.col("__n") > hot_rows))
