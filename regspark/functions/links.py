@@ -9,20 +9,39 @@ from pyspark.sql import functions as F
 
 from regspark.functions.keys import _col
 
-# --- fixed values: patterns -----------------------------------------------------------
-ANCHOR_HREF = r'<a[^>]*href="([^"]*)"'
+# --- fixed values: patterns and entities ------------------------------------------------
+# an <a> tag's href, any case, with a double-quoted, single-quoted or bare value
+ANCHOR_HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+QUOTED_VALUE = r"""^("[^"]*"|'[^']*')$"""
 URL_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
+# the five XML entities, decoded in this order (&amp; last)
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 # ---------------------------------------------------------------------------------------
 
 
+def attribute_value(c) -> Column:
+    """A raw attribute value without its quotes, XML entities decoded."""
+    c = _col(c)
+    inner = F.regexp_replace(c, r"""^["']|["']$""", "")
+    v = F.when(c.rlike(QUOTED_VALUE), inner).otherwise(c)
+    for entity, ch in HTML_ENTITIES:
+        v = F.replace(v, F.lit(entity), F.lit(ch))
+    return v
+
+
 def extract_links(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None,
                   out_col: str = "href") -> DataFrame:
-    """One row per anchor ``href`` of each page; null and empty links are dropped."""
+    """One row per anchor ``href`` of each page; null and empty links are dropped.
+
+    Tags match in any case; values may be double-quoted, single-quoted or bare; the five
+    XML entities are decoded (``&amp;`` -> ``&``), as an HTML parser would.
+    """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF), 1)
-    out = pages.select(*keep, F.explode(hrefs).alias(out_col))
+    raw = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF), 1)
+    out = pages.select(*keep, F.explode(raw).alias(out_col))
+    out = out.select(*keep, attribute_value(out_col).alias(out_col))
     return out.where(is_present(out_col))
 
 

@@ -45,8 +45,14 @@ left join soc on substring(esta.cnpj, 1, 7) = substring(soc.cnpj_soc, 1, 7)
              and empre.snapshot = soc.snapshot
 """
 
-_LINKS = """(select page_id, url, href from
-   (select page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) as href from pages)
+_HREF_RAW = r"""regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)"""
+_HREF_VALUE = r"""replace(replace(replace(replace(replace(
+       case when regexp_matches(raw, '^("[^"]*"|''[^'']*'')$')
+            then regexp_replace(raw, '^["'']|["'']$', '', 'g') else raw end,
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+_LINKS = f"""(select page_id, url, href from
+   (select page_id, url, {_HREF_VALUE} as href from
+      (select page_id, url, unnest({_HREF_RAW}) as raw from pages))
    where href is not null and href <> '')"""
 
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

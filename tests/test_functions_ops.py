@@ -37,7 +37,8 @@ def test_path_parts_and_link_extraction(spark):
     assert [tuple(r) for r in got] == [("h.com", "Empresas1.zip", "Empresas1", ".zip"), ("h.com", "", "", "")]
     html = '<a href="2025-01/">x</a><a name="n">no href</a><a class="c" href="">e</a><A href="/Socios0.zip">'
     links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
-    assert [r["href"] for r in links.collect()] == ["2025-01/"]  # empty dropped, tags are case-sensitive
+    # empty and missing hrefs dropped; tag names match in any case, as in HTML
+    assert [r["href"] for r in links.collect()] == ["2025-01/", "/Socios0.zip"]
     hrefs = spark.createDataFrame([("2025-01/",), ("Socios1.zip",), ("x.zip",), ("README",)], "h string")
     assert [r[0] for r in hrefs.where(L.starts_with_any("h", ["20", "Soc"])).collect()] == ["2025-01/", "Socios1.zip"]
     assert [r[0] for r in hrefs.where(L.ends_with("h", ".zip", negate=True)).collect()] == ["2025-01/", "README"]
@@ -110,3 +111,10 @@ def test_snapshot_manifest_and_listing(spark):
     listing = spark.createDataFrame([("2024-12/",), ("2025-01/",), ("../",), ("Socios0.zip",)], "href string")
     flags = {r["snapshot"]: r["listed"] for r in snapshots_available(["2023-05/", "2025-01/"], listing).collect()}
     assert flags == {"2023-05": False, "2025-01": True}
+
+
+def test_link_extraction_quote_styles_case_and_entities(spark):
+    html = ("<A HREF='Socios1.zip'>s</A> <a class=x href=Empresas0.zip>e</a> "
+            '<a href="q?x=1&amp;y=2">q</a> <abbr href="no">n</abbr> <a\nhref = "2025-01/" >d</a>')
+    links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
+    assert [r["href"] for r in links.collect()] == ["Socios1.zip", "Empresas0.zip", "q?x=1&y=2", "2025-01/"]
