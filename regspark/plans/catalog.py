@@ -23,6 +23,7 @@ from regspark.operators.manifest import (
 )
 from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table
 from regspark.plans.company_partners import company_partner_counts, company_partners
+from regspark.plans.registry_job import run_registry_job
 from regspark.plans.staging import (
     PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text, write_lines,
 )
@@ -497,8 +498,32 @@ def q_incremental_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/good").select(*part.columns)
 
 
+def q_registry_job_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole registry job from text shards found by keyword: scan → dedup → joins → Parquet.
+
+    Companies, establishments and partners are staged as ``Empresas<i>`` /
+    ``Estabelecimentos<i>`` / ``Socios<i>`` shards of snapshot 2025-01; the job finds them
+    with the keywords ``EMPRE`` / ``ESTA`` / ``SOC`` (any case) and writes its result
+    partitioned by snapshot.
+    """
+    root = staging_path(spark, "registry-job")
+    inputs = {"Empresas": companies(spark, sf_dir), "Estabelecimentos": establishments(spark, sf_dir),
+              "Socios": partners(spark, sf_dir)}
+    for label, df in inputs.items():
+        shard = F.pmod(F.xxhash64(*df.columns), F.lit(10)).cast("string")
+        write_shards(df.withColumn("snapshot", F.lit("2025-01"))
+                     .withColumn("shard_name", F.concat(F.lit(label), shard)), root, mode="append")
+    schemas = {name: df.schema for name, df in
+               zip(("empre", "esta", "socios"), inputs.values())}
+    out = run_registry_job(spark, root, staging_path(spark, "registry-job-out"), schemas=schemas,
+                           hot_rows=HOT_ROWS)
+    cols = [c for df in inputs.values() for c in df.columns] + ["snapshot"]
+    return out.select(*cols)
+
+
 QUERIES = {
     "company_partner_join": q_company_partner_join,
+    "registry_job_csv": q_registry_job_csv,
     "joined_row_count": q_joined_row_count,
     "joined_counts_by_cnae": q_joined_counts_by_cnae,
     "join_by_snapshot": q_join_by_snapshot,

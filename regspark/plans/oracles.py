@@ -119,6 +119,7 @@ _PART_ARCHIVES = ("select distinct concat('Part', cast(p_size % 10 as varchar),
 
 ORACLES: dict[str, str] = {
     "company_partner_join": JOINED,
+    "registry_job_csv": f"select *, '2025-01' as snapshot from ({JOINED}) t",
     "joined_row_count": f"select count(*) as n_rows from ({JOINED}) t",
     "joined_counts_by_cnae": f"select cnae, count(*) as n, count(cnpj_soc) as n_m from ({JOINED}) t group by cnae",
     "join_by_snapshot": JOINED_BY_SNAPSHOT,
