@@ -44,10 +44,9 @@ def wanted_manifest(table_types: DataFrame, type_col: str = "table_type",
         if dimensions else facts
     if not snapshots:
         return wanted
-    per_snapshot = [wanted.withColumn("snapshot", F.lit(snapshot_label_of(s))) for s in snapshots]
-    out = per_snapshot[0]
-    for df in per_snapshot[1:]:
-        out = out.unionByName(df)
+    # one generator over the (parameter) list: a single scan of the inputs, no cross join
+    labels = F.array(*[F.lit(snapshot_label_of(s)) for s in snapshots])
+    out = wanted.select("*", F.explode(labels).alias("snapshot"))
     local = F.concat(F.regexp_replace("archive_name", r"\.zip$", ""), F.lit("-"), F.col("snapshot"),
                      F.lit(".zip"))
     out = out.withColumn("local_name", local)
