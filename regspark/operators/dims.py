@@ -19,11 +19,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     return F.broadcast(df) if n <= max_rows else df
 
 
-def lookup(df: DataFrame, dim: DataFrame, code_col: str, out_col: str, dim_code: str = "code",
-           dim_desc: str = "description", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left-join a description for ``code_col``; unmatched codes keep a null description."""
-    d = bounded_broadcast(dim.select(F.col(dim_code).alias("__code"), F.col(dim_desc).alias(out_col)),
-                          max_rows)
+def lookup(df: DataFrame, dim: DataFrame, code_col: str, out_col: str | None = None,
+           dim_code: str = "code", dim_desc: str = "description",
+           max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           columns: dict[str, str] | None = None) -> DataFrame:
+    """Left-join descriptions for ``code_col``; unmatched codes keep nulls.
+
+    ``columns`` maps several dimension columns to output names (one join for all of
+    them); otherwise ``dim_desc`` becomes ``out_col``.
+    """
+    columns = columns or {dim_desc: out_col}
+    d = bounded_broadcast(dim.select(F.col(dim_code).alias("__code"),
+                                     *[F.col(k).alias(v) for k, v in columns.items()]), max_rows)
     return df.join(d, df[code_col] == d["__code"], "left").drop("__code")
 
 

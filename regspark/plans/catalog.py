@@ -16,7 +16,7 @@ from regspark.functions import names as N
 from regspark.functions.keys import padded_key, prefix_key
 from regspark.operators.counts import row_counts, union_shards
 from regspark.operators.dedup import dedup_effect, dedup_full_row
-from regspark.operators.dims import lookup_dimensions, segment_counts
+from regspark.operators.dims import lookup, segment_counts
 from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
@@ -260,17 +260,17 @@ def q_route_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dimensions, segments, cleaning --------------------------------------------------------
 
 def q_lookup_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer codes resolved through two small dimensions, each read once.
+
+    Region is first resolved into nation (a dimension of a dimension), then customer
+    looks up both names in one bounded-broadcast join.
+    """
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    out = lookup_dimensions(c, {"c_nationkey": (nation.select(F.col("n_nationkey").alias("code"),
-                                                              F.col("n_name").alias("description")),
-                                                "nation_name")})
-    out = out.join(nation.select(F.col("n_nationkey").alias("__nk"), "n_regionkey"),
-                   F.col("c_nationkey") == F.col("__nk"), "left").drop("__nk")
-    out = lookup_dimensions(out, {"n_regionkey": (region.select(F.col("r_regionkey").alias("code"),
-                                                                F.col("r_name").alias("description")),
-                                                  "region_name")})
+    nation = lookup(table(spark, sf_dir, "nation"), region, "n_regionkey", dim_code="r_regionkey",
+                    columns={"r_name": "region_name"})
+    out = lookup(c, nation, "c_nationkey", dim_code="n_nationkey",
+                 columns={"n_name": "nation_name", "region_name": "region_name"})
     return out.select("c_custkey", "nation_name", "region_name")
 
 
