@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from regspark.schemas import REGISTRY, Dialect
 from regspark.session import staging_path
 from regspark.sinks.writers import write_shards
+from regspark.sources.archives import _ship_by_value
 
 PART_SNAPSHOT_COL = "p_size"
 
@@ -130,3 +131,6 @@ def stage_archives(spark: SparkSession, text_root: str, out_dir: str | None = No
                            T.StructField("n_bytes", T.LongType())])
     files.mapInPandas(fn, schema).write.mode("overwrite").parquet(out_dir + "/_manifest")
     return out_dir
+
+
+_ship_by_value(__name__)

@@ -30,6 +30,14 @@ LINES_SCHEMA = T.StructType([
 _COLS = [f.name for f in LINES_SCHEMA.fields]
 
 
+def _ship_by_value(module_name: str) -> None:
+    """Pickle this module's task-side functions by value: executors run them without
+    needing the package installed or on their path."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def _records(text, quote: str | None):
     """Yield records from a text stream; with ``quote``, a line break inside a quoted
     field continues the record (doubled-quote escapes keep the quote count even)."""
@@ -149,3 +157,6 @@ def first_member_per_archive(lines: DataFrame) -> DataFrame:
     """``(archive, member)``: the first member (by name) of each readable archive."""
     return (lines.where(F.col("error").isNull())
             .groupBy("archive").agg(F.min("member").alias("member")))
+
+
+_ship_by_value(__name__)
