@@ -498,6 +498,22 @@ def q_incremental_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/good").select(*part.columns)
 
 
+_REGISTRY_TEXT: dict[tuple, str] = {}
+
+
+def _registry_text(spark: SparkSession, sf_dir: str, inputs: dict[str, DataFrame]) -> str:
+    """The three registry-shaped tables as shards of snapshot 2025-01 (written once per session)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REGISTRY_TEXT:
+        root = staging_path(spark, "registry-job")
+        for label, df in inputs.items():
+            shard = F.pmod(F.xxhash64(*df.columns), F.lit(10)).cast("string")
+            write_shards(df.withColumn("snapshot", F.lit("2025-01"))
+                         .withColumn("shard_name", F.concat(F.lit(label), shard)), root, mode="append")
+        _REGISTRY_TEXT[key] = root
+    return _REGISTRY_TEXT[key]
+
+
 def q_registry_job_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole registry job from text shards found by keyword: scan → dedup → joins → Parquet.
 
@@ -506,13 +522,9 @@ def q_registry_job_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the keywords ``EMPRE`` / ``ESTA`` / ``SOC`` (any case) and writes its result
     partitioned by snapshot.
     """
-    root = staging_path(spark, "registry-job")
     inputs = {"Empresas": companies(spark, sf_dir), "Estabelecimentos": establishments(spark, sf_dir),
               "Socios": partners(spark, sf_dir)}
-    for label, df in inputs.items():
-        shard = F.pmod(F.xxhash64(*df.columns), F.lit(10)).cast("string")
-        write_shards(df.withColumn("snapshot", F.lit("2025-01"))
-                     .withColumn("shard_name", F.concat(F.lit(label), shard)), root, mode="append")
+    root = _registry_text(spark, sf_dir, inputs)
     schemas = {name: df.schema for name, df in
                zip(("empre", "esta", "socios"), inputs.values())}
     out = run_registry_job(spark, root, staging_path(spark, "registry-job-out"), schemas=schemas,
