@@ -26,36 +26,58 @@ DEFAULT_SCHEMAS = {"empre": EMPRE_SCHEMA, "esta": ESTA_SCHEMA, "socios": SOCIOS_
 
 def load_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType] | None = None,
                 keywords: dict[str, str] | None = None, dialect: Dialect = REGISTRY,
-                archives: bool = False) -> dict[str, DataFrame]:
-    """``{empre, esta, socios}`` over every snapshot, each with a ``snapshot`` column."""
+                archives: bool = False, snapshots: list[str] | None = None) -> dict[str, DataFrame]:
+    """``{empre, esta, socios}`` over every (or the listed) snapshot, with a ``snapshot`` column."""
     schemas = schemas or DEFAULT_SCHEMAS
     keywords = keywords or TABLE_KEYWORDS
     out = {}
     for name, schema in schemas.items():
         kw = keywords[name]
         if archives:
-            from regspark.sources.shards import ci_glob
-            rows, _ = read_archives(spark, f"{root.rstrip('/')}/*/*{ci_glob(kw)}*", schema, dialect)
+            from regspark.sources.shards import shard_glob
+            rows, _ = read_archives(spark, shard_glob(root, kw, snapshots or "*"), schema, dialect)
             out[name] = rows.withColumn("snapshot", snapshot_from_path(F.col("archive"))) \
                 .drop("archive", "member")
         else:
-            out[name] = scan_shards(spark, root, kw, schema, dialect).drop("source_file")
+            out[name] = scan_shards(spark, root, kw, schema, dialect,
+                                    snapshot=snapshots or "*").drop("source_file")
     return out
 
 
+def done_snapshots(spark: SparkSession, out_path: str) -> set[str]:
+    """Snapshots already in a snapshot-partitioned output (partition values only; one row
+    per snapshot reaches the driver)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return {r[0] for r in spark.read.parquet(out_path).select("snapshot").distinct().collect()}
+    except AnalysisException:
+        return set()
+
+
 def run_registry_job(spark: SparkSession, root: str, out_path: str | None = None, *,
                      schemas: dict[str, T.StructType] | None = None,
                      keywords: dict[str, str] | None = None, dialect: Dialect = REGISTRY,
                      archives: bool = False, hot_rows: int | None = 1_000_000,
+                     snapshots: list[str] | None = None, incremental: bool = False,
                      **join_kw) -> DataFrame:
-    """Build the joined table for every snapshot; write it when ``out_path`` is given.
+    """Build the joined table per snapshot; write it when ``out_path`` is given.
 
-    Returns the joined DataFrame (read back from ``out_path`` when written).
+    ``snapshots`` (the wanted dated folders) restricts what is read.  With
+    ``incremental=True`` the wanted snapshots already present in ``out_path`` are skipped
+    and only the new ones are read, joined and appended as new partitions.  Returns the
+    joined DataFrame (the whole output, read back, when written).
     """
-    t = load_tables(spark, root, schemas, keywords, dialect, archives)
+    if incremental:
+        if out_path is None or not snapshots:
+            raise ValueError("incremental runs need out_path and the wanted snapshots")
+        have = done_snapshots(spark, out_path)
+        snapshots = [s.strip("/") for s in snapshots if s.strip("/") not in have]
+        if not snapshots:
+            return spark.read.parquet(out_path)
+    t = load_tables(spark, root, schemas, keywords, dialect, archives, snapshots)
     joined = company_partners(t["empre"], t["esta"], t["socios"], snapshot_col="snapshot",
                               hot_rows=hot_rows, **join_kw)
     if out_path is None:
         return joined
-    write_parquet(joined, out_path)
+    write_parquet(joined, out_path, mode="append" if incremental else "overwrite")
     return spark.read.parquet(out_path)

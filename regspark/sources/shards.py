@@ -33,9 +33,17 @@ def ci_glob(keyword: str) -> str:
     return "".join(out)
 
 
-def shard_glob(root: str, keyword: str, snapshot: str = "*") -> str:
-    """Glob of every shard whose name contains ``keyword`` (any case)."""
-    snap = snapshot if snapshot == "*" else f"*{snapshot}*"
+def shard_glob(root: str, keyword: str, snapshot: str | list[str] = "*") -> str:
+    """Glob of every shard whose name contains ``keyword`` (any case).
+
+    ``snapshot`` restricts the dated folders: one label, or a list (``{a,b}`` alternation),
+    so only those folders are listed and read.
+    """
+    if isinstance(snapshot, (list, tuple)):
+        labels = [s.strip("/") for s in snapshot]
+        snap = f"*{labels[0]}*" if len(labels) == 1 else "*{" + ",".join(labels) + "}*"
+    else:
+        snap = snapshot if snapshot == "*" else f"*{snapshot.strip('/')}*"
     return f"{root.rstrip('/')}/{snap}/*{ci_glob(keyword)}*"
 
 
@@ -51,7 +59,7 @@ def _empty(spark: SparkSession, schema: T.StructType, extra: list[str]) -> DataF
 
 
 def scan_shards(spark: SparkSession, root: str, keyword: str, schema: T.StructType | list[str],
-                dialect: Dialect = REGISTRY, snapshot: str = "*", optional: bool = False,
+                dialect: Dialect = REGISTRY, snapshot: str | list[str] = "*", optional: bool = False,
                 with_source: bool = True, first: bool = False,
                 options: dict | None = None) -> DataFrame:
     """All shards of one table (matched by keyword, any case) in one scan.

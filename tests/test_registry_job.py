@@ -61,3 +61,18 @@ def test_registry_job_from_text_and_zip(spark, tmp_path):
     from_zip = run_registry_job(spark, str(zip_root), archives=True)
     assert sorted(map(tuple, from_zip.select(*out.columns).collect())) == \
         sorted(map(tuple, out.select(*out.columns).collect()))
+
+
+def test_registry_job_incremental_by_snapshot(spark, tmp_path):
+    text_root = tmp_path / "text"
+    _write_text(text_root)
+    out = str(tmp_path / "inc")
+    first = run_registry_job(spark, str(text_root), out, snapshots=["2023-05/"], incremental=True)
+    assert {r[0] for r in first.select("snapshot").distinct().collect()} == {"2023-05"}
+    both = run_registry_job(spark, str(text_root), out, snapshots=["2023-05/", "2025-01/"],
+                            incremental=True)
+    per = {r["snapshot"]: r["count"] for r in both.groupBy("snapshot").count().collect()}
+    assert per == {"2023-05": 5, "2025-01": 5}
+    again = run_registry_job(spark, str(text_root), out, snapshots=["2023-05/", "2025-01/"],
+                             incremental=True)
+    assert again.count() == 10  # nothing new: nothing appended
