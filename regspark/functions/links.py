@@ -98,9 +98,12 @@ def resolve_link(base, link) -> Column:
     * absolute (``scheme:...``)  -> link
     * network-path (``//h/x``)   -> base scheme + link
     * root-relative (``/x``)     -> base origin + link
-    * empty                      -> base
-    * query / fragment only      -> base without its query/fragment + link
+    * empty                      -> base, unchanged (as ``urljoin`` does)
+    * query only (``?q``)        -> base without its query and fragment + link
+    * fragment only (``#f``)     -> base without its fragment + link
     * relative (``x``)           -> base directory + link
+
+    Dot segments (``./``, ``../``) are not normalised.
     """
     base, link = _col(base), _col(link)
     origin = F.regexp_extract(base, URL_ORIGIN, 1)
@@ -114,6 +117,7 @@ def resolve_link(base, link) -> Column:
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
         .when(link == "", base)
-        .when(link.rlike(r"^[?#]"), F.concat(base_path, link))
+        .when(link.startswith("?"), F.concat(base_path, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), link))
         .otherwise(F.concat(directory, link))
     )

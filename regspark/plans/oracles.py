@@ -152,7 +152,8 @@ ORACLES: dict[str, str] = {
           when starts_with(href, '//') then concat({_URL_SCHEME}, ':', href)
           when starts_with(href, '/') then concat({_URL_ORIGIN}, href)
           when href = '' then url
-          when regexp_matches(href, '^[?#]') then concat({_BASE_PATH}, href)
+          when starts_with(href, '?') then concat({_BASE_PATH}, href)
+          when starts_with(href, '#') then concat(regexp_replace(url, '#.*$', ''), href)
           when length({_BASE_PATH}) = length({_URL_ORIGIN}) then concat({_URL_ORIGIN}, '/', href)
           else concat(regexp_replace({_BASE_PATH}, '[^/]*$', ''), href) end as resolved
         from {_LINKS}""",

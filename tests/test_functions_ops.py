@@ -118,3 +118,28 @@ def test_link_extraction_quote_styles_case_and_entities(spark):
             '<a href="q?x=1&amp;y=2">q</a> <abbr href="no">n</abbr> <a\nhref = "2025-01/" >d</a>')
     links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
     assert [r["href"] for r in links.collect()] == ["Socios1.zip", "Empresas0.zip", "q?x=1&y=2", "2025-01/"]
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st
+from urllib.parse import urljoin
+
+_seg = st.sampled_from(["a", "b", "dados", "2025-01", "x.zip", "Socios1.zip"])
+_base = st.builds(lambda sch, host, segs, slash, q, f: f"{sch}://{host}/" + "/".join(segs) + ("/" if slash and segs else "")
+                  + ("?p=1" if q else "") + ("#top" if f else ""),
+                  st.sampled_from(["http", "https"]), st.sampled_from(["h.com", "m.h.org"]),
+                  st.lists(_seg, max_size=3), st.booleans(), st.booleans(), st.booleans())
+_link = st.one_of(
+    st.builds(lambda segs: "/".join(segs), st.lists(_seg, min_size=1, max_size=3)),
+    st.builds(lambda segs: "/" + "/".join(segs), st.lists(_seg, max_size=3)),
+    st.builds(lambda host, segs: f"//{host}/" + "/".join(segs), st.sampled_from(["cdn.net"]), st.lists(_seg, max_size=2)),
+    st.builds(lambda segs: "https://o.org/" + "/".join(segs), st.lists(_seg, max_size=2)),
+    st.sampled_from(["", "?q=2", "#frag", "2025-01/"]),
+)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(_base, _link), min_size=20, max_size=40))
+def test_resolve_link_agrees_with_urljoin(spark, pairs):
+    df = spark.createDataFrame(pairs, "base string, link string")
+    got = [r[0] for r in df.select(L.resolve_link("base", "link")).collect()]
+    assert got == [urljoin(b, k) for b, k in pairs]
