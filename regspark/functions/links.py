@@ -78,14 +78,20 @@ def base_name(c) -> Column:
     return F.regexp_extract(strip_query(c), r"([^/]*)$", 1)
 
 
-def stem(c) -> Column:
-    """Base name without its extension (``os.path.splitext(...)[0]``)."""
-    return F.regexp_replace(base_name(c), r"(?<=.)\.[^.]*$", "")
+# the last dot starts the extension only after a non-dot character (leading dots belong
+# to the name, as in os.path.splitext)
+_EXTENSION = r"^\.*[^.].*(\.[^.]*)$"
 
 
 def extension(c) -> Column:
-    """Extension including the dot, or empty."""
-    return F.regexp_extract(base_name(c), r"(?<=.)(\.[^.]*)$", 1)
+    """Extension including the dot, or empty (``os.path.splitext(...)[1]``)."""
+    return F.regexp_extract(base_name(c), _EXTENSION, 1)
+
+
+def stem(c) -> Column:
+    """Base name without its extension (``os.path.splitext(...)[0]``)."""
+    b = base_name(c)
+    return F.when(extension(c) == "", b).otherwise(F.regexp_replace(b, r"\.[^.]*$", ""))
 
 
 def url_host(c) -> Column:

@@ -157,16 +157,14 @@ ORACLES: dict[str, str] = {
           when length({_BASE_PATH}) = length({_URL_ORIGIN}) then concat({_URL_ORIGIN}, '/', href)
           else concat(regexp_replace({_BASE_PATH}, '[^/]*$', ''), href) end as resolved
         from {_LINKS}""",
-    "path_parts": r"""select page_id,
-          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) as host,
-          regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) as base_name,
-          case when regexp_matches(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '^.+\.[^.]*$')
-               then regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '\.[^.]*$', '')
-               else regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) end as stem,
-          case when regexp_matches(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '^.+\.[^.]*$')
-               then regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '(\.[^.]*)$', 1)
-               else '' end as extension
-        from pages""",
+    "path_parts": r"""select page_id, host, bn as base_name,
+          case when ext = '' then bn else regexp_replace(bn, '\.[^.]*$', '') end as stem,
+          ext as extension
+        from (select page_id, host, bn, regexp_extract(bn, '^\.*[^.].*(\.[^.]*)$', 1) as ext
+              from (select page_id,
+                           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) as host,
+                           regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) as bn
+                    from pages))""",
     "archive_names": """select p_partkey,
           concat(p_type, cast(p_size % 10 as varchar), '.zip') as archive_name,
           concat(p_type, cast(p_size % 10 as varchar), '-', '2025-01', '.zip') as local_name,

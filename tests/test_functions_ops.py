@@ -143,3 +143,18 @@ def test_resolve_link_agrees_with_urljoin(spark, pairs):
     df = spark.createDataFrame(pairs, "base string, link string")
     got = [r[0] for r in df.select(L.resolve_link("base", "link")).collect()]
     assert got == [urljoin(b, k) for b, k in pairs]
+
+
+import os.path as _osp
+
+_name = st.text(alphabet=".ab", min_size=0, max_size=6)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(names=st.lists(_name, min_size=20, max_size=40))
+def test_path_parts_agree_with_os_path(spark, names):
+    paths = [f"/d/{n}" for n in names]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [tuple(r) for r in df.select(L.base_name("p"), L.stem("p"), L.extension("p")).collect()]
+    want = [(_osp.basename(p), *_osp.splitext(_osp.basename(p))) for p in paths]
+    assert got == want
