@@ -16,9 +16,13 @@ def row_count(df: DataFrame, label: str | None = None, label_col: str = "table_n
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table_name, n_rows)`` for every table, as one unioned DataFrame."""
+    if not tables:
+        raise ValueError("row_counts needs at least one table")
     return reduce(DataFrame.union, [row_count(df, name) for name, df in tables.items()])
 
 
 def union_shards(frames: list[DataFrame], allow_missing_columns: bool = False) -> DataFrame:
     """Concatenate shards by column name (no row index to reset in Spark)."""
+    if not frames:
+        raise ValueError("union_shards needs at least one frame")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing_columns), frames)

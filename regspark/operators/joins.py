@@ -82,6 +82,8 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
+    if hot_rows is not None and (hot_rows < 1 or salt_buckets < 1):
+        raise ValueError("hot_rows and salt_buckets must be positive")
     # positional temp names: both sides may share column names, and the hot-key frame
     # derives from the right side, so nothing below relies on DataFrame-bound columns
     ln = [f"__l{i}" for i in range(len(left.columns))]
