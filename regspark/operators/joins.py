@@ -77,8 +77,10 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     buckets, cold rows use bucket 0, and the join runs on ``(key, bucket)``.  For a left
     join, the null-padded copies of hot left rows are dropped: every hot key has
     partners, so each hot row still meets all of them exactly once.  Hot keys are counted
-    on ``hot_source`` when given — any frame whose per-key counts bound the right side's
-    from above (e.g. the right side before dedup).
+    on ``hot_source`` when given: it must hold exactly the right side's keys, each with at
+    least as many rows (the right side before dedup qualifies; dedup never removes a key).
+    A key absent from the right side must not be counted hot, or its left rows would lose
+    their null-padded row.
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
