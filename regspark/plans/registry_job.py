@@ -26,8 +26,15 @@ DEFAULT_SCHEMAS = {"empre": EMPRE_SCHEMA, "esta": ESTA_SCHEMA, "socios": SOCIOS_
 
 def load_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType] | None = None,
                 keywords: dict[str, str] | None = None, dialect: Dialect = REGISTRY,
-                archives: bool = False, snapshots: list[str] | None = None) -> dict[str, DataFrame]:
-    """``{empre, esta, socios}`` over every (or the listed) snapshot, with a ``snapshot`` column."""
+                archives: bool = False, snapshots: list[str] | None = None,
+                spread_partitions: int | None = None) -> dict[str, DataFrame]:
+    """``{empre, esta, socios}`` over every (or the listed) snapshot, with a ``snapshot`` column.
+
+    A zip archive is one task; its lines are spread over ``spread_partitions`` tasks
+    (default: ``spark.sql.shuffle.partitions``) before parsing, so a large archive does
+    not serialise the parse and the map side of the dedup.  Text shards are splittable
+    and need no spreading.
+    """
     schemas = schemas or DEFAULT_SCHEMAS
     keywords = keywords or TABLE_KEYWORDS
     out = {}
@@ -35,7 +42,9 @@ def load_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType]
         kw = keywords[name]
         if archives:
             from regspark.sources.shards import shard_glob
-            rows, _ = read_archives(spark, shard_glob(root, kw, snapshots or "*"), schema, dialect)
+            spread = spread_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            rows, _ = read_archives(spark, shard_glob(root, kw, snapshots or "*"), schema, dialect,
+                                    spread_partitions=spread)
             out[name] = rows.withColumn("snapshot", snapshot_from_path(F.col("archive"))) \
                 .drop("archive", "member")
         else:
