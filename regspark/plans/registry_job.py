@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from regspark.plans.company_partners import company_partners
 from regspark.schemas import EMPRE_SCHEMA, ESTA_SCHEMA, REGISTRY, SOCIOS_SCHEMA, TABLE_KEYWORDS, Dialect
 from regspark.sinks.writers import write_parquet
-from regspark.sources.archives import read_archives
+from regspark.sources.archives import parse_lines, read_archive_lines, split_rejects
 from regspark.sources.shards import scan_shards, snapshot_from_path
 
 DEFAULT_SCHEMAS = {"empre": EMPRE_SCHEMA, "esta": ESTA_SCHEMA, "socios": SOCIOS_SCHEMA}
@@ -43,10 +43,15 @@ def load_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType]
         if archives:
             from regspark.sources.shards import shard_glob
             spread = spread_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            rows, _ = read_archives(spark, shard_glob(root, kw, snapshots or "*"), schema, dialect,
-                                    spread_partitions=spread)
-            out[name] = rows.withColumn("snapshot", snapshot_from_path(F.col("archive"))) \
-                .drop("archive", "member")
+            lines = read_archive_lines(spark, shard_glob(root, kw, snapshots or "*"),
+                                       encoding=dialect.encoding,
+                                       multi_line_quote=dialect.quote if dialect.multi_line else None)
+            good, _ = split_rejects(lines)
+            # label first, so the spread shuffle carries the short snapshot, not the path
+            good = good.select(snapshot_from_path(F.col("archive")).alias("snapshot"), "line_no", "line")
+            out[name] = parse_lines(good, schema, dialect, dialect.header, keep=["snapshot"],
+                                    spread_partitions=spread) \
+                .select(*[f.name for f in schema.fields], "snapshot")
         else:
             out[name] = scan_shards(spark, root, kw, schema, dialect,
                                     snapshot=snapshots or "*").drop("source_file")
