@@ -13,6 +13,8 @@ from regspark.functions.keys import _col
 # an <a> tag's href, any case, with a double-quoted, single-quoted or bare value
 ANCHOR_HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 QUOTED_VALUE = r"""^("[^"]*"|'[^']*')$"""
+# markup an HTML parser does not read anchors from: comments, scripts, styles
+NON_CONTENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 URL_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
@@ -36,10 +38,12 @@ def extract_links(pages: DataFrame, html_col: str = "html", keep: list[str] | No
     """One row per anchor ``href`` of each page; null and empty links are dropped.
 
     Tags match in any case; values may be double-quoted, single-quoted or bare; the five
-    XML entities are decoded (``&amp;`` -> ``&``), as an HTML parser would.
+    XML entities are decoded (``&amp;`` -> ``&``); anchors inside comments, scripts and
+    styles are ignored — as an HTML parser would.
     """
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    raw = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF), 1)
+    content = F.regexp_replace(F.col(html_col), NON_CONTENT, "")
+    raw = F.regexp_extract_all(content, F.lit(ANCHOR_HREF), 1)
     out = pages.select(*keep, F.explode(raw).alias(out_col))
     out = out.select(*keep, attribute_value(out_col).alias(out_col))
     return out.where(is_present(out_col))

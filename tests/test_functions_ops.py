@@ -158,3 +158,10 @@ def test_path_parts_agree_with_os_path(spark, names):
     got = [tuple(r) for r in df.select(L.base_name("p"), L.stem("p"), L.extension("p")).collect()]
     want = [(_osp.basename(p), *_osp.splitext(_osp.basename(p))) for p in paths]
     assert got == want
+
+
+def test_links_in_comments_scripts_and_styles_are_ignored(spark):
+    html = ('<!-- <a href="old.zip">x</a> --><script>var s = \'<a href="js.zip">\';</script>'
+            '<style>a[href="css.zip"]{}</style><a href="Socios0.zip">ok</a>')
+    links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
+    assert [r["href"] for r in links.collect()] == ["Socios0.zip"]
