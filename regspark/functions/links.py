@@ -14,7 +14,7 @@ from regspark.functions.keys import _col
 ANCHOR_HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 QUOTED_VALUE = r"""^("[^"]*"|'[^']*')$"""
 # markup an HTML parser does not read anchors from: comments, scripts, styles
-NON_CONTENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+NON_CONTENT = r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)"
 URL_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"

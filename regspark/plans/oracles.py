@@ -46,7 +46,7 @@ left join soc on substring(esta.cnpj, 1, 7) = substring(soc.cnpj_soc, 1, 7)
 """
 
 _HREF_RAW = r"""regexp_extract_all(
-       regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
+       regexp_replace(html, '(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)', '', 'g'),
        '(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)"""
 _HREF_VALUE = r"""replace(replace(replace(replace(replace(
        case when regexp_matches(raw, '^("[^"]*"|''[^'']*'')$')
