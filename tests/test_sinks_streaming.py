@@ -122,3 +122,16 @@ def test_incremental_archive_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r["id"] for r in good.collect()) == ["1", "2", "3"]
     rejects = spark.read.parquet(f"{sink}/rejects")
     assert [r["archive"].split("/")[-1] for r in rejects.collect()] == ["Bad0.zip"]
+
+
+def test_session_defaults_and_scale_conf(spark):
+    from regspark.session import scale_conf
+    assert spark.conf.get("spark.ui.enabled") == "false"
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    big = scale_conf(100 * 2**40, 1000, 8)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000          # capped
+    small = scale_conf(10 * 2**30, 4, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 64              # two waves of 32 cores
+    mid = scale_conf(1 * 2**40, 100, 8)
+    assert int(mid["spark.sql.shuffle.partitions"]) == 4096              # ~256 MB each
