@@ -135,3 +135,14 @@ def test_session_defaults_and_scale_conf(spark):
     assert int(small["spark.sql.shuffle.partitions"]) == 64              # two waves of 32 cores
     mid = scale_conf(1 * 2**40, 100, 8)
     assert int(mid["spark.sql.shuffle.partitions"]) == 4096              # ~256 MB each
+
+
+def test_incremental_ingest_in_small_batches(spark, tmp_path):
+    landing, sink, ckpt = (str(tmp_path / n) for n in ("landing", "sink", "ckpt"))
+    df = _empre(spark).withColumn("shard_name", F.concat(F.lit("Empresas"), (F.col("cnpj_emp") % 3).cast("string")))
+    write_shards(df.repartition(6), landing)
+    progress = ingest_new_shards(spark, f"{landing}/*/*/*.csv", string_schema(EMPRE_COLUMNS), sink, ckpt,
+                                 max_files_per_trigger=1)
+    back = spark.read.parquet(sink)
+    assert back.count() == 20 and back.distinct().count() == 20
+    assert progress.get("batchId", 0) >= 1  # availableNow ran several micro-batches
