@@ -41,13 +41,15 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
                      key_left: str = "cnpj", key_right: str = "cnpj_soc",
                      prefix_len: int = 7, key_width: int | None = None,
                      snapshot_col: str | None = None, dedup: bool = True,
-                     collision_suffix: str = "_soc", hot_rows: int | None = None,
+                     collision_suffix: str = "_soc", hot_rows: int | None = 1_000_000,
                      salt_buckets: int = 4096) -> DataFrame:
     """The joined rows: companies + establishments + partners (left, unmatched kept).
 
     ``snapshot_col`` (present in all three inputs) adds snapshot equality to both joins,
     so several snapshots are processed in one run.  Right-side names that collide with
-    the left side get ``collision_suffix``.
+    the left side get ``collision_suffix``.  Partner-key prefixes with more than
+    ``hot_rows`` partners are salted (see :func:`regspark.operators.joins.equi_join`);
+    ``hot_rows=None`` turns that off.
     """
     raw_socios = socios
     if dedup:
