@@ -40,7 +40,9 @@ def format_money(c, decimals: int = 2) -> Column:
 
 
 def format_compact_date(c, fmt: str = "yyyyMMdd") -> Column:
-    return F.date_format(_col(c), fmt)
+    """Date or timestamp -> ``'20240131'``; taken as a date first, so a wall-clock
+    (``timestamp_ntz``) value never passes through the session time zone."""
+    return F.date_format(F.to_date(_col(c)), fmt)
 
 
 def clean_columns(df: DataFrame, text: list[str] = (), money: list[str] = (),
