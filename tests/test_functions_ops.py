@@ -165,3 +165,14 @@ def test_links_in_comments_scripts_and_styles_are_ignored(spark):
             '<style>a[href="css.zip"]{}</style><a href="Socios0.zip">ok</a>')
     links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
     assert [r["href"] for r in links.collect()] == ["Socios0.zip"]
+
+
+def test_compact_date_ignores_session_time_zone(spark):
+    df = spark.sql("select timestamp_ntz'2024-01-31 23:30:00' as t")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["UTC", "Pacific/Kiritimati", "America/Los_Angeles"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert df.select(C.format_compact_date("t")).first()[0] == "20240131", tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
