@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from regspark.plans.catalog import QUERIES
 from conftest import plan
 
 PYTHON_NODES = ("MapInPandas", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
@@ -10,7 +11,7 @@ PYTHON_NODES = ("MapInPandas", "BatchEvalPython", "ArrowEvalPython", "FlatMapGro
 ARCHIVE_QUERIES = {"scan_zip_archives", "zip_rejects", "first_member_per_archive"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_and_python_only_for_archives(spark, sf_dir, name):
     p = plan(E.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
