@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from regspark.llm.decontaminate import op1_decontamination
 from regspark.llm.quality_rules import op9_quality_rules
+from regspark.llm.sharding import op5_sharding
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op5_sharding": op5_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
