@@ -6,10 +6,12 @@ from regspark.llm.chat_format import OP10_SQL, op10_chat_formatting
 from regspark.llm.decontaminate import op1_decontamination
 from regspark.llm.quality_rules import op9_quality_rules
 from regspark.llm.sharding import op5_sharding
+from regspark.llm.substring_dedup import op2_substring_dedup
 from regspark.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_sharding": op5_sharding,
     "op7_url_filters": op7_url_filters,
     "op9_quality_rules": op9_quality_rules,
