@@ -9,6 +9,7 @@ from regspark.llm.packing import op4_best_fit_packing
 from regspark.llm.quality_rules import op9_quality_rules
 from regspark.llm.sharding import op5_sharding
 from regspark.llm.substring_dedup import op2_substring_dedup
+from regspark.llm.toxicity import op8_toxicity
 from regspark.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
