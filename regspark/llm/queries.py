@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from regspark.llm.chat_format import OP10_SQL, op10_chat_formatting
 from regspark.llm.decontaminate import op1_decontamination
+from regspark.llm.language_model import op3_lm_scoring
 from regspark.llm.near_dedup import op6_near_dedup
 from regspark.llm.packing import op4_best_fit_packing
 from regspark.llm.quality_rules import op9_quality_rules
@@ -15,6 +16,7 @@ from regspark.llm.url_filters import OP7_SQL, op7_url_filters
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
     "op6_near_dedup": op6_near_dedup,
