@@ -1,20 +1,79 @@
-"""Training-data pipeline: quality rules over the whole ``documents`` table (stages follow)."""
+"""Training-data pipeline over the whole ``documents`` table.
+
+Stages, in order: quality rules (rejected documents go), near-duplicate detection (one
+document of each group stays), substring de-duplication (later copies of passages are cut
+out of the texts), benchmark decontamination (documents that hold a benchmark item go) and
+best-fit packing (one row per piece).  Each stage's rows are written as Parquet to the
+shared folder and read again by the next.
+
+All stages but the last return the columns of ``documents``; a text that is cut gets its
+``n_chars`` anew, and a document of which nothing is left stays with an empty text.  A null
+id is a document of its own; rows equal in id and text are one document from the
+near-duplicate stage on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regspark.llm.decontaminate import contaminated
+from regspark.llm.near_dedup import near_duplicates
+from regspark.llm.packing import pack
 from regspark.llm.quality_rules import compression_bands
-from regspark.llm.tables import documents, written
+from regspark.llm.substring_dedup import remove_repeats
+from regspark.llm.tables import documents, text_key, written
+
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands and the base rule keep."""
+    """Documents that the base rule and the compression bands keep."""
     return compression_bands(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (or without) a row of ``keys`` (doc_id, doc_key)."""
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    same = keyed["doc_id"].eqNullSafe(keys["doc_id"]) & (keyed["__key"] == keys["doc_key"])
+    return keyed.join(keys, same, how)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id."""
+    kept = near_duplicates(docs, SHINGLE, SIMILARITY).where("kept").select("doc_id", "doc_key")
+    return _matched(docs, kept, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that an earlier document already has in a long passage."""
+    cut = remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+                             .cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    hits = contaminated(docs, benchmark).select("doc_id", "doc_key").distinct()
+    return _matched(docs, hits, "left_anti").drop("__key")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the training sequences."""
+    return pack(docs).drop("doc_key")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: the stages use zstandard, sketches and a tokenizer, which SQL cannot express
 ORACLE_SQL = None
 
 
