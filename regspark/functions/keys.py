@@ -20,10 +20,15 @@ def prefix_key(c, length: int = 7, width: int | None = None) -> Column:
     """
     s = _col(c).cast("string")
     if width is not None:
-        s = F.lpad(s, width, "0")
+        s = _padded(s, width)
     return F.substring(s, 1, length)
 
 
+def _padded(s: Column, width: int) -> Column:
+    """Left-padded with zeros to ``width``; a longer key stays whole (``lpad`` would cut it)."""
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
 def padded_key(c, width: int = 8) -> Column:
-    """Zero-padded string form of a numeric or string key."""
-    return F.lpad(_col(c).cast("string"), width, "0")
+    """Zero-padded string form of a numeric or string key; longer keys are kept."""
+    return _padded(_col(c).cast("string"), width)

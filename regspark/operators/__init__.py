@@ -2,7 +2,7 @@
 
 from regspark.operators.dedup import dedup_full_row, dedup_effect
 from regspark.operators.joins import (
-    equi_join, name_join, prefix_left_join, rename_collisions, hot_keys, hot_key_frame,
+    equi_join, name_join, prefix_left_join, rename_collisions, hot_key_frame,
 )
 from regspark.operators.counts import row_count, row_counts, union_shards
 from regspark.operators.manifest import (

@@ -6,9 +6,9 @@ nested loop.  AQE's skew handling splits oversized partitions of the *streamed*
 What it cannot split is a hot key on the right side of a left outer join (one prefix
 that owns a third of all partners).  :func:`equi_join` handles that case explicitly:
 keys whose right-side row count exceeds ``hot_rows`` are salted — their right rows are
-spread over ``salt_buckets`` buckets by a content hash and the matching left rows are
+spread over as many buckets as their count asks for and the matching left rows are
 copied once per bucket — so no single task receives the whole hot group.  The result is
-exactly the plain join's result, and without hot keys the plan is the plain join.
+exactly the plain join's result.
 """
 
 from __future__ import annotations
@@ -38,54 +38,37 @@ def rename_collisions(left: DataFrame, right: DataFrame, suffix: str = "_r") ->
     return right.select(*out)
 
 
-def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000,
-                  name: str = "__hot_key", max_buckets: int = 4096) -> DataFrame:
+def hot_key_frame(source: DataFrame, key: Column, hot_rows: int, name: str = "__hot_key") -> DataFrame:
     """Keys owning more than ``hot_rows`` rows of ``source``, with a bucket count each.
 
-    ``buckets = min(max_buckets, ceil(rows / hot_rows))``, so a salted bucket holds about
-    ``hot_rows`` right rows whatever the key's size.  Map-side partial counting keeps the
-    shuffle at one row per key and task, and the ``limit`` proves the frame holds at most
-    ``max_keys`` rows, so it may be collected.  Keys beyond the limit (lighter than every
-    key kept) stay on the regular join path, which is still exact.
+    ``buckets = ceil(rows / hot_rows)``, so a salted bucket holds about ``hot_rows`` right rows
+    whatever the key's size.  Map-side partial counting keeps the shuffle at one row per key
+    and task.  The frame has at most ``rows / hot_rows`` rows.
     """
     counts = source.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("__n")) \
         .where(F.col(name).isNotNull() & (F.col("__n") > hot_rows))
-    buckets = F.least(F.lit(max_buckets), F.ceil(F.col("__n") / F.lit(hot_rows))).cast("int")
-    return counts.orderBy(F.desc("__n"), F.col(name)).limit(max_keys) \
-        .select(name, buckets.alias("__buckets"))
-
-
-def hot_keys(source: DataFrame, key: Column, hot_rows: int, max_keys: int = 10_000) -> list:
-    """The hot keys as a (bounded) Python list, for inspection and tests."""
-    return [r[0] for r in hot_key_frame(source, key, hot_rows, max_keys).collect()]
+    return counts.select(name, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__buckets"))
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
-              how: str = "inner", *, hot_rows: int | None = None, salt_buckets: int = 4096,
-              max_hot_keys: int = 10_000, hot_source: DataFrame | None = None) -> DataFrame:
+              how: str = "inner", *, hot_rows: int | None = None) -> DataFrame:
     """``left ⋈ right`` on ``left_key == right_key`` for ``how`` in inner / left.
 
-    Output columns: all of ``left`` then all of ``right``.
-
-    With ``hot_rows`` set, right-side keys with more rows than that are salted.  One small
-    job counts keys (only the key column is read; map-side partial counts) and returns
-    at most ``max_hot_keys`` ``(key, b)`` pairs with ``b = min(salt_buckets,
-    ceil(rows / hot_rows))``.  Without hot keys the plan is the plain join.  Otherwise
-    both sides look their key up in a constant map (no extra join or scan): a hot right
-    row goes to bucket ``xxhash64(row) mod b`` (a deterministic salt, so a retried task
-    rebuilds the same buckets), a hot left row is copied into each of the ``b``
-    buckets, cold rows use bucket 0, and the join runs on ``(key, bucket)``.  For a left
-    join, the null-padded copies of hot left rows are dropped: every hot key has
-    partners, so each hot row still meets all of them exactly once.  Hot keys are counted
-    on ``hot_source`` when given: it must hold exactly the right side's keys, each with at
-    least as many rows (the right side before dedup qualifies; dedup never removes a key).
-    A key absent from the right side must not be counted hot, or its left rows would lose
-    their null-padded row.
+    Output columns: all of ``left`` then all of ``right``.  No job runs before the caller's.
+
+    With ``hot_rows`` set, right-side keys with more rows than that are salted over
+    ``b = ceil(rows / hot_rows)`` buckets.  Both sides look ``b`` up by joining the frame of hot
+    keys, which is small (``rows / hot_rows`` rows at most), so AQE broadcasts it by its measured
+    size; a hot right row goes to bucket ``hash(row, partition) mod b`` (a retried task
+    rebuilds the same buckets, and equal rows from different tasks spread), a hot left row
+    is copied into each of the ``b`` buckets, cold rows use bucket 0, and the join runs on
+    ``(key, bucket)``.  For a left join, the null-padded copies of hot left rows are dropped:
+    every hot key has right rows, so each hot row still meets all of them exactly once.
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError(f"unsupported join type {how!r}")
-    if hot_rows is not None and (hot_rows < 1 or salt_buckets < 1):
-        raise ValueError("hot_rows and salt_buckets must be positive")
+    if hot_rows is not None and hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
     # positional temp names: both sides may share column names, and the hot-key frame
     # derives from the right side, so nothing below relies on DataFrame-bound columns
     ln = [f"__l{i}" for i in range(len(left.columns))]
@@ -94,21 +77,18 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     r = right.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(right.columns, rn)], right_key.alias(_RK))
     out_cols = ([F.col(n).alias(c) for c, n in zip(left.columns, ln)]
                 + [F.col(n).alias(c) for c, n in zip(right.columns, rn)])
-    plain = l.join(r, F.col(_LK) == F.col(_RK), how)
     if hot_rows is None:
-        return plain.select(*out_cols)
-    hot = hot_key_frame(hot_source if hot_source is not None else right, right_key, hot_rows,
-                        max_hot_keys, max_buckets=salt_buckets).collect()  # <= max_hot_keys rows
-    if not hot:
-        return plain.select(*out_cols)
-
-    buckets = F.map_from_arrays(F.lit([h[0] for h in hot]), F.lit([int(h[1]) for h in hot]))
-    lb, rb = F.try_element_at(buckets, F.col(_LK)), F.try_element_at(buckets, F.col(_RK))
-    lt = l.select("*", lb.isNotNull().alias("__hot_l"), F.explode(
-        F.when(lb.isNotNull(), F.sequence(F.lit(0), lb - 1)).otherwise(F.array(F.lit(0)))).alias(_SALT))
-    row_hash = F.xxhash64(*[F.col(n) for n in rn])
-    rt = r.select("*", F.when(rb.isNotNull(), F.pmod(row_hash, rb).cast("int"))
-                  .otherwise(F.lit(0)).alias(_SALT + "_r"))
+        return l.join(r, F.col(_LK) == F.col(_RK), how).select(*out_cols)
+    hot = hot_key_frame(right, right_key, hot_rows)
+    hot_l = hot.select(F.col("__hot_key").alias("__hk_l"), F.col("__buckets").alias("__b_l"))
+    hot_r = hot.select(F.col("__hot_key").alias("__hk_r"), F.col("__buckets").alias("__b_r"))
+    lb = l.join(hot_l, F.col(_LK) == F.col("__hk_l"), "left")
+    lt = lb.select(*ln, _LK, F.col("__b_l").isNotNull().alias("__hot_l"), F.explode(
+        F.sequence(F.lit(0), F.coalesce(F.col("__b_l"), F.lit(1)) - 1)).alias(_SALT))
+    row_hash = F.xxhash64(*[F.col(n) for n in rn], F.col("__part"))
+    rb = r.withColumn("__part", F.spark_partition_id()).join(hot_r, F.col(_RK) == F.col("__hk_r"), "left")
+    rt = rb.select(*rn, _RK, F.when(F.col("__b_r").isNotNull(), F.pmod(row_hash, F.col("__b_r")).cast("int"))
+                   .otherwise(F.lit(0)).alias(_SALT + "_r"))
     j = lt.join(rt, (F.col(_LK) == F.col(_RK)) & (F.col(_SALT) == F.col(_SALT + "_r")), how)
     if how != "inner":
         j = j.where(~(F.col("__hot_l") & F.col(_RK).isNull()))

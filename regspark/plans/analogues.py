@@ -3,21 +3,24 @@
 The test tables hold no registry data, so each registered query maps them onto the
 registry's shapes:
 
-* companies      = ``part`` rows of type PROMO   (key, name, capital)
-* establishments = ``part`` rows of type ECONOMY (key, trade name, activity code)
-* partners       = ``supplier``                  (key, partner name)
+* companies      = ``part``     (key, name, capital)
+* establishments = ``part``     (key, trade name, activity code)
+* partners       = ``supplier`` (key, partner name)
 
-Keys are zero-padded to eight characters, like registry base numbers.
+A name is the part's name and its block of ``NAME_BLOCK`` consecutive keys, so a name belongs to
+at most that many companies however large the table is (real company names are nearly
+unique).  Keys are zero-padded to eight characters, like registry base numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions.keys import padded_key
 
 KEY_WIDTH = 8
+NAME_BLOCK = 16
 
 
 _TABLES: dict[tuple, DataFrame] = {}
@@ -32,9 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def block_name(name: str, key: str) -> Column:
+    return F.concat(F.col(name), F.lit(" "), F.floor(F.col(key) / NAME_BLOCK).cast("string"))
+
+
 def companies(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO")
-    cols = [padded_key("p_partkey", KEY_WIDTH).alias("cnpj_emp"), F.col("p_name").alias("razao_emp"),
+    p = table(spark, sf_dir, "part")
+    cols = [padded_key("p_partkey", KEY_WIDTH).alias("cnpj_emp"), block_name("p_name", "p_partkey").alias("razao_emp"),
             F.col("p_retailprice").alias("cap_soc_emp")]
     if snapshot:
         cols.append(snapshot_of_size("p_size"))
@@ -42,8 +49,8 @@ def companies(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataF
 
 
 def establishments(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_type") == "ECONOMY")
-    cols = [padded_key("p_partkey", KEY_WIDTH).alias("cnpj"), F.col("p_name").alias("fantasia"),
+    p = table(spark, sf_dir, "part")
+    cols = [padded_key("p_partkey", KEY_WIDTH).alias("cnpj"), block_name("p_name", "p_partkey").alias("fantasia"),
             F.col("p_brand").alias("cnae")]
     if snapshot:
         cols.append(snapshot_of_size("p_size"))
@@ -58,7 +65,7 @@ def partners(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFr
     return s.select(*cols)
 
 
-def snapshot_of_size(c: str) -> "F.Column":
+def snapshot_of_size(c: str) -> Column:
     """Two snapshots assigned by the parity of a non-key column (every row kept)."""
     return F.when(F.pmod(F.col(c), F.lit(2)) == 0, F.lit("2023-05")).otherwise(F.lit("2025-01")) \
         .alias("snapshot")

@@ -68,6 +68,19 @@ def q_joined_counts_by_cnae(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   partners(spark, sf_dir), group_by=["cnae"])
 
 
+def q_joined_counts_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship rows per snapshot and activity code, without materialising pairs."""
+    return company_partner_counts(companies(spark, sf_dir, True), establishments(spark, sf_dir, True),
+                                  partners(spark, sf_dir, True), group_by=["cnae"], snapshot_col="snapshot")
+
+
+def q_padded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of 7 to 10 digits: short ones are padded to 8, long ones kept whole."""
+    key = (F.col("o_orderkey") + F.pow(F.lit(10), 6 + F.col("o_orderkey") % 4)).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", padded_key(key, 8).alias("padded"),
+                                                 prefix_key(key, 7, 8).alias("prefix"))
+
+
 def q_join_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship over two snapshots in one run (snapshot equality in both joins)."""
     return company_partners(companies(spark, sf_dir, True), establishments(spark, sf_dir, True),
@@ -90,7 +103,7 @@ def q_skewed_partner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .otherwise(padded_key("s_suppkey", 8)).alias("cnpj_soc"),
                       F.col("s_name").alias("nome_socio"))
     return company_partners(companies(spark, sf_dir), establishments(spark, sf_dir), skewed,
-                            hot_rows=SKEW_HOT_ROWS, salt_buckets=8)
+                            hot_rows=SKEW_HOT_ROWS)
 
 
 def q_name_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +140,14 @@ def q_prefix_left_join_int_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dedup / counts / union / preview ----------------------------------------------------
 
 def q_dedup_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_full_row(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"))
+    """All columns of lineitem, every row present twice."""
+    lines = table(spark, sf_dir, "lineitem")
+    return dedup_full_row(union_shards([lines, lines]))
 
 
 def q_dedup_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_effect(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    return dedup_effect(union_shards([lines, lines]))
 
 
 def q_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +235,10 @@ def _event_archives(events: DataFrame) -> DataFrame:
 def _manifest_inputs(spark: SparkSession, sf_dir: str):
     ev = table(spark, sf_dir, "events")
     wanted = wanted_manifest(ev.select(N.capitalized("event_type").alias("table_type")))
-    listing = _event_archives(ev.where(F.col("value") > 200))
-    present = _event_archives(ev.where(F.col("value") > 300))
+    # every event counts: an archive is listed or present by its number of events
+    counted = _event_archives(ev).groupBy("archive_name").agg(F.count(F.lit(1)).alias("n_events"))
+    listing = counted.where(F.col("n_events") % 2 == 1)
+    present = counted.where(F.col("n_events") % 3 == 0)
     return wanted, listing, present
 
 
@@ -370,7 +388,8 @@ def q_scan_latin1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dialect = SEMICOLON_WITH_HEADER.with_(multi_line=True)
     root = staging_path(spark, "latin1")
-    docs.repartition(8).write.options(**dialect.write_options()).csv(root)
+    # a multi-line file is one task: as many files as the data needs
+    docs.write.option("maxRecordsPerFile", "5000").options(**dialect.write_options()).csv(root)
     return read_with_header(spark, root, dialect, schema=docs.schema)
 
 
@@ -538,6 +557,8 @@ QUERIES = {
     "registry_job_csv": q_registry_job_csv,
     "joined_row_count": q_joined_row_count,
     "joined_counts_by_cnae": q_joined_counts_by_cnae,
+    "joined_counts_by_snapshot": q_joined_counts_by_snapshot,
+    "padded_keys": q_padded_keys,
     "join_by_snapshot": q_join_by_snapshot,
     "skewed_partner_join": q_skewed_partner_join,
     "name_inner_join": q_name_inner_join,

@@ -41,8 +41,7 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
                      key_left: str = "cnpj", key_right: str = "cnpj_soc",
                      prefix_len: int = 7, key_width: int | None = None,
                      snapshot_col: str | None = None, dedup: bool = True,
-                     collision_suffix: str = "_soc", hot_rows: int | None = 1_000_000,
-                     salt_buckets: int = 4096) -> DataFrame:
+                     collision_suffix: str = "_soc", hot_rows: int | None = 1_000_000) -> DataFrame:
     """The joined rows: companies + establishments + partners (left, unmatched kept).
 
     ``snapshot_col`` (present in all three inputs) adds snapshot equality to both joins,
@@ -51,10 +50,9 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
     ``hot_rows`` partners are salted (see :func:`regspark.operators.joins.equi_join`);
     ``hot_rows=None`` turns that off.
     """
-    raw_socios = socios
     if dedup:
         empre, esta, socios = dedup_full_row(empre), dedup_full_row(esta), dedup_full_row(socios)
-    skew = {"hot_rows": hot_rows, "salt_buckets": salt_buckets}
+    skew = {"hot_rows": hot_rows}
     if snapshot_col:
         # snapshot becomes part of the join key, so partitions never mix snapshots
         empre = empre.withColumn("__name_key", _snap_key(snapshot_col, F.col(name_left)))
@@ -68,16 +66,12 @@ def company_partners(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
         rk_name = _renamed(key_right, socios, collision_suffix)
         lk = _snap_key(snapshot_col, prefix_key(key_left, prefix_len, key_width))
         rk = _snap_key(snap_r, prefix_key(rk_name, prefix_len, key_width))
-        # hot keys are counted before dedup: an upper bound, one shuffle fewer
-        hot_src = raw_socios.select(F.col(snapshot_col).alias(snap_r), F.col(key_right).alias(rk_name))
-        return equi_join(first, socios, lk, rk, "left", hot_source=hot_src, **skew).drop(snap_r)
+        return equi_join(first, socios, lk, rk, "left", **skew).drop(snap_r)
     # inner name join: AQE splits skewed partitions of either side on its own
     first = name_join(empre, esta, name_left, name_right)
     socios = rename_collisions(first, socios, collision_suffix)
     rk_name = _renamed(key_right, socios, collision_suffix)
-    hot_src = raw_socios.select(F.col(key_right).alias(rk_name))
-    return prefix_left_join(first, socios, key_left, rk_name, prefix_len, key_width,
-                            hot_source=hot_src, **skew)
+    return prefix_left_join(first, socios, key_left, rk_name, prefix_len, key_width, **skew)
 
 
 def company_partner_counts(empre: DataFrame, esta: DataFrame, socios: DataFrame, *,
@@ -85,25 +79,32 @@ def company_partner_counts(empre: DataFrame, esta: DataFrame, socios: DataFrame,
                            name_left: str = "razao_emp", name_right: str = "fantasia",
                            key_left: str = "cnpj", key_right: str = "cnpj_soc",
                            prefix_len: int = 7, key_width: int | None = None,
-                           dedup: bool = True) -> DataFrame:
+                           snapshot_col: str | None = None, dedup: bool = True) -> DataFrame:
     """Row count of :func:`company_partners` (``n``) and of its rows with a partner (``n_m``).
 
-    ``group_by`` names establishment columns to count per group.  Only aggregated,
-    one-row-per-key frames are joined, so the work is linear in the inputs.
+    ``group_by`` names establishment columns to count per group.  ``snapshot_col`` (in all
+    three inputs) counts per snapshot: it is part of both keys and of the groups.  Only
+    aggregated, one-row-per-key frames are joined, so the work is linear in the inputs.
     """
     if dedup:
         empre, esta, socios = dedup_full_row(empre), dedup_full_row(esta), dedup_full_row(socios)
-    group_by = group_by or []
-    per_name = empre.groupBy(F.col(name_left).alias("__name")).agg(F.count(F.lit(1)).alias("__w"))
-    per_prefix = (socios.select(prefix_key(key_right, prefix_len, key_width).alias("__p"))
+    group_by = list(group_by or [])
+    name_l, name_r = F.col(name_left), F.col(name_right)
+    prefix_l, prefix_r = prefix_key(key_left, prefix_len, key_width), prefix_key(key_right, prefix_len, key_width)
+    if snapshot_col:
+        group_by = [snapshot_col] + [c for c in group_by if c != snapshot_col]
+        name_l, name_r, prefix_l, prefix_r = (_snap_key(snapshot_col, k) for k in (name_l, name_r, prefix_l, prefix_r))
+    per_name = empre.groupBy(name_l.alias("__name")).agg(F.count(F.lit(1)).alias("__w"))
+    per_prefix = (socios.select(prefix_r.alias("__p"))
                   .where(F.col("__p").isNotNull())
                   .groupBy("__p").agg(F.count(F.lit(1)).alias("__m")))
-    e = esta.select(*group_by, F.col(name_right).alias("__name"),
-                    prefix_key(key_left, prefix_len, key_width).alias("__p"))
+    e = esta.select(*group_by, name_r.alias("__name"), prefix_l.alias("__p"))
     weighted = (e.join(per_name, "__name", "inner")
                 .join(per_prefix, "__p", "left")
                 .select(*group_by, "__w", F.coalesce("__m", F.lit(0)).alias("__m")))
     return weighted.groupBy(*group_by).agg(
-        F.sum(F.col("__w") * F.greatest(F.col("__m"), F.lit(1))).cast("bigint").alias("n"),
-        F.sum(F.col("__w") * F.col("__m")).cast("bigint").alias("n_m"),
+        # products as decimals: two bigint counts could overflow
+        F.sum(F.col("__w").cast("decimal(19,0)") * F.greatest(F.col("__m"), F.lit(1)).cast("decimal(19,0)"))
+        .cast("bigint").alias("n"),
+        F.sum(F.col("__w").cast("decimal(19,0)") * F.col("__m").cast("decimal(19,0)")).cast("bigint").alias("n_m"),
     )

@@ -5,12 +5,19 @@ Column names match the Spark queries exactly.  Tables are the driver's views.
 
 from __future__ import annotations
 
-_EMPRE = ("select distinct lpad(cast(p_partkey as varchar), 8, '0') as cnpj_emp, p_name as razao_emp, "
-          "p_retailprice as cap_soc_emp{snap} from part where p_type = 'PROMO'")
-_ESTA = ("select distinct lpad(cast(p_partkey as varchar), 8, '0') as cnpj, p_name as fantasia, "
-         "p_brand as cnae{snap} from part where p_type = 'ECONOMY'")
-_SOC = ("select distinct lpad(cast(s_suppkey as varchar), 8, '0') as cnpj_soc, s_name as nome_socio{snap} "
-        "from supplier")
+from regspark.schemas import DIMENSION_NAMES
+
+def _padded(c: str) -> str:
+    """Zero-padded to eight characters; printf keeps longer keys whole."""
+    return f"printf('%08d', {c})"
+
+
+_NAME = "concat(p_name, ' ', cast(p_partkey // 16 as varchar))"
+_EMPRE = (f"select distinct {_padded('p_partkey')} as cnpj_emp, {_NAME} as razao_emp, "
+          "p_retailprice as cap_soc_emp{snap} from part")
+_ESTA = (f"select distinct {_padded('p_partkey')} as cnpj, {_NAME} as fantasia, "
+         "p_brand as cnae{snap} from part")
+_SOC = f"select distinct {_padded('s_suppkey')} as cnpj_soc, s_name as nome_socio" + "{snap} from supplier"
 
 
 def _snap(c: str) -> str:
@@ -29,7 +36,7 @@ JOINED_SKEWED = f"""
 with empre as ({_EMPRE.format(snap='')}),
      esta as ({_ESTA.format(snap='')}),
      soc as (select distinct case when s_nationkey < 8 then '00000001'
-                                  else lpad(cast(s_suppkey as varchar), 8, '0') end as cnpj_soc,
+                                  else {_padded('s_suppkey')} end as cnpj_soc,
                              s_name as nome_socio from supplier)
 select * from empre join esta on razao_emp = fantasia
 left join soc on substring(cnpj, 1, 7) = substring(cnpj_soc, 1, 7)
@@ -101,11 +108,11 @@ _WANTED = """(select 'data' as kind, t.table_type, cast(s.shard as integer) as s
              concat(t.table_type, cast(s.shard as varchar), '.zip') as archive_name
       from (select distinct concat(upper(substr(event_type, 1, 1)), lower(substr(event_type, 2))) as table_type from events) t,
            (select range as shard from range(10)) s)"""
-_DIMS = ["Cnaes", "Motivos", "Municipios", "Naturezas", "Paises", "Qualificacoes"]
 _WANTED_ALL = _WANTED[:-1] + " union all " + " union all ".join(
-    f"select 'dimension', '{d}', cast(null as integer), '{d}.zip'" for d in _DIMS) + ")"
-_LISTING = f"(select distinct {_EVENT_ARCHIVE} as archive_name from events where value > 200)"
-_PRESENT = f"(select distinct {_EVENT_ARCHIVE} as archive_name from events where value > 300)"
+    f"select 'dimension', '{d}', cast(null as integer), '{d}.zip'" for d in DIMENSION_NAMES) + ")"
+# an archive is listed (present) if its number of events is no multiple of 2 (is one of 3)
+_LISTING = f"(select {_EVENT_ARCHIVE} as archive_name from events group by 1 having count(*) % 2 = 1)"
+_PRESENT = f"(select {_EVENT_ARCHIVE} as archive_name from events group by 1 having count(*) % 3 = 0)"
 
 _URL_ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _URL_SCHEME = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
@@ -124,22 +131,26 @@ ORACLES: dict[str, str] = {
     "registry_job_csv": f"select *, '2025-01' as snapshot from ({JOINED}) t",
     "joined_row_count": f"select count(*) as n_rows from ({JOINED}) t",
     "joined_counts_by_cnae": f"select cnae, count(*) as n, count(cnpj_soc) as n_m from ({JOINED}) t group by cnae",
+    "joined_counts_by_snapshot": f"""select snapshot, cnae, count(*) as n, count(cnpj_soc) as n_m
+        from ({JOINED_BY_SNAPSHOT}) t group by snapshot, cnae""",
     "join_by_snapshot": JOINED_BY_SNAPSHOT,
     "skewed_partner_join": JOINED_SKEWED,
     "name_inner_join": f"""with empre as ({_EMPRE.format(snap='')}), esta as ({_ESTA.format(snap='')})
         select * from empre join esta on razao_emp = fantasia""",
-    "prefix_left_join": """select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice
+    "prefix_left_join": f"""select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice
         from customer left join orders
-        on substring(lpad(cast(c_custkey as varchar), 8, '0'), 1, 7) = substring(lpad(cast(o_custkey as varchar), 8, '0'), 1, 7)""",
-    "prefix_match_counts": """select c_custkey, count(o_orderkey) as n from customer left join orders
-        on substring(lpad(cast(c_custkey as varchar), 8, '0'), 1, 7) = substring(lpad(cast(o_custkey as varchar), 8, '0'), 1, 7)
+        on substring({_padded('c_custkey')}, 1, 7) = substring({_padded('o_custkey')}, 1, 7)""",
+    "prefix_match_counts": f"""select c_custkey, count(o_orderkey) as n from customer left join orders
+        on substring({_padded('c_custkey')}, 1, 7) = substring({_padded('o_custkey')}, 1, 7)
         group by c_custkey""",
     "prefix_left_join_int_keys": """select count(*) as n from supplier left join nation
         on substring(cast(s_suppkey as varchar), 1, 1) = substring(cast(n_nationkey as varchar), 1, 1)""",
-    "dedup_full_row": "select distinct l_partkey, l_suppkey from lineitem",
+    "padded_keys": """with k as (select o_orderkey, cast(o_orderkey + pow(10, 6 + o_orderkey % 4) as bigint) as key from orders)
+        select o_orderkey, printf('%08d', key) as padded, substring(printf('%08d', key), 1, 7) as prefix from k""",
+    "dedup_full_row": "select * from lineitem union select * from lineitem",
     "dedup_effect": """select n_before, n_after, n_before - n_after as n_removed from
-        (select (select count(*) from lineitem) as n_before,
-                (select count(*) from (select distinct l_partkey, l_suppkey from lineitem)) as n_after)""",
+        (select (select 2 * count(*) from lineitem) as n_before,
+                (select count(*) from (select * from lineitem union select * from lineitem)) as n_after)""",
     "row_counts": "\nunion all\n".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in _TABLES),
     "preview_rows": "select * from orders order by o_orderkey limit 10",
     "schema_report": _schema_report(),

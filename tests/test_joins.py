@@ -53,16 +53,35 @@ def test_salted_join_equals_plain_join(spark):
                                   + [(None, "rn")], "rk int, rv string")
     for how in ("inner", "left"):
         plain = equi_join(left, right, F.col("k"), F.col("rk"), how)
-        salted = equi_join(left, right, F.col("k"), F.col("rk"), how, hot_rows=50, salt_buckets=7)
+        salted = equi_join(left, right, F.col("k"), F.col("rk"), how, hot_rows=50)
         assert salted.count() == plain.count()
         assert rows(salted) == rows(plain)
+    # salt copies by explode; no pairs, no union
     p = plan(equi_join(left, right, F.col("k"), F.col("rk"), "left", hot_rows=50))
-    # salt copies by explode, hot keys looked up in a constant map: no extra join or union
-    assert "Generate" in p and "Union" not in p
-    cold = plan(equi_join(left, right, F.col("k"), F.col("rk"), "left", hot_rows=10_000))
-    assert "Generate" not in cold  # no hot key: the plain join
-    from regspark.operators.joins import hot_keys
-    assert hot_keys(right, F.col("rk"), 50) == [0]
+    assert "Generate" in p and "Union" not in p and "NestedLoop" not in p and "Cartesian" not in p
+    from regspark.operators.joins import hot_key_frame
+    assert rows(hot_key_frame(right, F.col("rk"), 50)) == [(0, 6)]
+
+
+def test_salting_spreads_equal_rows_of_a_hot_key(spark):
+    left = spark.createDataFrame([(0, "l")], "k int, lv string")
+    right = spark.range(400, numPartitions=8).select(F.lit(0).alias("rk"), F.lit("same").alias("rv"))
+    assert equi_join(left, right, F.col("k"), F.col("rk"), "left", hot_rows=50).count() == 400
+
+
+def test_keys_longer_than_the_width_are_kept(spark):
+    df = spark.createDataFrame([(123456789,), (12345678,), (42,)], "k long")
+    assert [r[0] for r in df.select(padded_key("k", 8)).collect()] == ["123456789", "12345678", "00000042"]
+    assert [r[0] for r in df.select(prefix_key("k", 8, 8)).collect()] == ["12345678", "12345678", "00000042"]
+    assert prefix_left_join(df.limit(2), df.limit(2).withColumnRenamed("k", "j"), "k", "j", 9, 8).count() == 2
+
+
+def test_counts_per_snapshot_do_not_mix_snapshots(spark):
+    e = spark.createDataFrame([("1", "A", "s1"), ("1", "A", "s2")], "k string, razao_emp string, snapshot string")
+    f = spark.createDataFrame([("12345678", "A", "s1"), ("12345678", "A", "s2")], "cnpj string, fantasia string, snapshot string")
+    p = spark.createDataFrame([("12345670", "s1"), ("12345671", "s2")], "cnpj_soc string, snapshot string")
+    got = company_partner_counts(e, f, p, snapshot_col="snapshot")
+    assert rows(got) == [("s1", 1, 1), ("s2", 1, 1)]
 
 
 def test_rename_collisions_suffixes_right_side(spark):
@@ -100,7 +119,7 @@ def test_company_partners_end_to_end(spark):
     assert out.where(F.col("cnpj_soc").isNull()).count() == 2  # 55555550 has no partner (H3)
     counts = company_partner_counts(empre, esta, socios).first()
     assert (counts["n"], counts["n_m"]) == (8, 6)
-    salted = company_partners(empre, esta, socios, hot_rows=1, salt_buckets=3)
+    salted = company_partners(empre, esta, socios, hot_rows=1)
     assert rows(salted) == rows(out)
 
 
@@ -130,7 +149,7 @@ def test_counts_and_salting_agree_with_the_join(spark, e, es, so):
     esta = spark.createDataFrame(es, "cnpj string, fantasia string, cnae string")
     socios = spark.createDataFrame(so, "cnpj_soc string, nome_socio string")
     joined = company_partners(empre, esta, socios)
-    salted = company_partners(empre, esta, socios, hot_rows=1, salt_buckets=3)
+    salted = company_partners(empre, esta, socios, hot_rows=1)
     assert rows(salted) == rows(joined)
     by = {r["cnae"]: (r["n"], r["n_m"]) for r in company_partner_counts(empre, esta, socios, group_by=["cnae"]).collect()}
     want = {}
