@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.llm.tables import documents, text_key
-from regspark.llm.words import _ship_by_value, binary_list, mix, window_hashes, word_hashes
+from regspark.llm.words import _ship_by_value, binary_list, member, mix, window_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,11 +130,11 @@ class Items:
         for k, (table, every) in self.gate.items():
             s = window_hashes(h, min(k, len(h)))
             at = np.flatnonzero(table[(s & np.uint64(table.size - 1)).astype(np.int64)])
-            at = at[np.isin(s[at], every)]
+            at = at[member(s[at], every)]
             if not len(at):
                 continue
             for n, (shingles, items) in self.by_k[k].items():
-                hits = at[np.isin(s[at], shingles)]
+                hits = at[member(s[at], shingles)]
                 if not len(hits):
                     continue
                 size = min(n - k + 1, len(s))

@@ -91,6 +91,13 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``values``."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def shingle_hashes(words: list, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles; a shorter text is one shingle."""
     if not words:
