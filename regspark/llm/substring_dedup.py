@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.llm.tables import documents, text_key, with_fields, written
-from regspark.llm.words import MULT, _ship_by_value, binary_list, sliding_min, window_hashes, word_hashes
+from regspark.llm.words import MULT, _ship_by_value, binary_list, member, sliding_min, window_hashes, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -89,7 +89,7 @@ def _windows(window: int, anchor: int):
                 if seeds is None or not len(seeds):
                     continue
                 h = word_hashes(data.split())
-                at = np.flatnonzero(np.isin(anchors_of(h, window, anchor)[1], seeds))
+                at = np.flatnonzero(member(anchors_of(h, window, anchor)[1], np.sort(seeds)))
                 parts.append((window_hashes(h, window)[at], window_hashes(h, window, MULT2)[at], at, did, dkey))
                 n += len(at)
                 if n >= ROWS_OUT:
@@ -106,7 +106,7 @@ def removed_words(h, seeds, first, window: int, anchor: int):
     mask = np.zeros(len(h), bool)
     if seeds is None or not len(seeds):
         return mask
-    at = np.flatnonzero(np.isin(anchors_of(h, window, anchor)[1], seeds))
+    at = np.flatnonzero(member(anchors_of(h, window, anchor)[1], np.sort(seeds)))
     if first is not None and len(first):
         at = np.setdiff1d(at, first, assume_unique=True)
     edge = np.zeros(len(h) + 1, np.int32)
