@@ -10,7 +10,8 @@ from regspark.operators.manifest import (
     ingest_plan, route_archives, snapshots_available,
 )
 from regspark.operators.dims import (
-    bounded_broadcast, lookup, lookup_dimensions, segment_of, segment_counts, load_dimension,
+    bounded_broadcast, lookup, lookup_dimensions, segment_of, segment_counts, load_dimension, load_dimensions,
+    resolve_codes,
 )
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+from regspark.schemas import DIMENSION_NAMES
 
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if it provably holds at most ``max_rows`` rows.
 
-    The check scans at most ``max_rows + 1`` rows (``limit`` stops early), so it is cheap
-    for a real dimension and never loads a large table onto every executor.  Beyond the
-    bound the frame is returned unhinted and joins by shuffle.
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only if the plan's statistics (file sizes) bound it by ``max_bytes``.
+
+    No job runs.  Beyond the bound the frame is returned unhinted; it joins by shuffle unless AQE
+    measures it to be small.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return F.broadcast(df) if int(str(stats.sizeInBytes())) <= max_bytes else df
 
 
 def lookup(df: DataFrame, dim: DataFrame, code_col: str, out_col: str | None = None,
            dim_code: str = "code", dim_desc: str = "description",
-           max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
            columns: dict[str, str] | None = None) -> DataFrame:
     """Left-join descriptions for ``code_col``; unmatched codes keep nulls.
 
@@ -30,7 +31,7 @@ def lookup(df: DataFrame, dim: DataFrame, code_col: str, out_col: str | None = N
     """
     columns = columns or {dim_desc: out_col}
     d = bounded_broadcast(dim.select(F.col(dim_code).alias("__code"),
-                                     *[F.col(k).alias(v) for k, v in columns.items()]), max_rows)
+                                     *[F.col(k).alias(v) for k, v in columns.items()]), max_bytes)
     return df.join(d, df[code_col] == d["__code"], "left").drop("__code")
 
 
@@ -71,6 +72,36 @@ def segment_counts(df: DataFrame, by: list[str], distinct_col: str | None = None
     return df.groupBy(*by).agg(*aggs)
 
 
+# --- fixed values: which dimension resolves which column of the joined registry table --
+CODE_DIMENSIONS = {
+    "cnae": "Cnaes", "mot_sit_cad": "Motivos", "municipio": "Municipios", "nat_jur_emp": "Naturezas",
+    "pais": "Paises", "qual_resp_emp": "Qualificacoes", "qual_soc": "Qualificacoes",
+}
+# ----------------------------------------------------------------------------------------
+
+
+def load_dimensions(spark, root: str, names: list[str] = DIMENSION_NAMES, snapshot: str | list[str] = "*",
+                    dialect=None, optional: bool = False) -> dict[str, DataFrame]:
+    """The dimensions found by name (any case) under ``root``: ``{name: (code, description)}``.
+
+    A code that several snapshots describe keeps the description of the latest one.
+    """
+    from regspark.schemas import DIMENSION_SCHEMA, REGISTRY
+    from regspark.sources.shards import scan_shards
+    out = {}
+    for name in names:
+        got = scan_shards(spark, root, name, DIMENSION_SCHEMA, dialect or REGISTRY, snapshot, optional=optional)
+        out[name] = got.groupBy("code").agg(F.max_by("description", F.struct("snapshot", "description")).alias("description"))
+    return out
+
+
+def resolve_codes(df: DataFrame, dimensions: dict[str, DataFrame], codes: dict[str, str] = CODE_DIMENSIONS,
+                  suffix: str = "_desc") -> DataFrame:
+    """Add ``<column>_desc`` for every coded column that ``df`` has and a dimension resolves."""
+    return lookup_dimensions(df, {c: (dimensions[d], c + suffix) for c, d in codes.items()
+                                  if c in df.columns and d in dimensions})
+
+
 def load_dimension(spark, paths, dialect=None) -> DataFrame:
     """A dimension file as ``(code, description)`` strings (headerless ``;`` text)."""
     from regspark.schemas import DIMENSION_SCHEMA, REGISTRY

@@ -16,22 +16,22 @@ from regspark.functions import names as N
 from regspark.functions.keys import padded_key, prefix_key
 from regspark.operators.counts import row_counts, union_shards
 from regspark.operators.dedup import dedup_effect, dedup_full_row
-from regspark.operators.dims import lookup, segment_counts
+from regspark.operators.dims import load_dimensions, lookup, segment_counts, segment_of
 from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
 )
 from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table
 from regspark.plans.company_partners import company_partner_counts, company_partners
-from regspark.plans.registry_job import run_registry_job
+from regspark.plans.registry_job import clean_registry, registry_rejects, run_registry_job
 from regspark.plans.staging import (
     PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text, write_lines,
 )
-from regspark.schemas import COMMA_HEADERLESS, COMMA_WITH_HEADER, REGISTRY, SEMICOLON_WITH_HEADER
+from regspark.schemas import COMMA_HEADERLESS, COMMA_WITH_HEADER, DIMENSION_NAMES, REGISTRY, SEMICOLON_WITH_HEADER
 from regspark.session import staging_path
 from regspark.sinks.reports import preview, schema_report
-from regspark.sinks.writers import EXPORT_DIALECT, csv_to_parquet, export_csv, write_parquet, write_shards
-from regspark.sources.archives import first_member_per_archive, read_archive_lines, read_archives
+from regspark.sinks.writers import EXPORT_DIALECT, conversion_file_status, csv_to_parquet, export_csv, write_parquet, write_shards
+from regspark.sources.archives import first_member_per_archive, read_archive_members, read_archives
 from regspark.sources.delimited import (
     read_delimited, read_inferred, read_positional, read_split_malformed, read_with_header,
     rename_positional,
@@ -485,8 +485,8 @@ def q_zip_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_first_member_per_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_archive_lines(spark, _archives(spark, sf_dir))
-    return first_member_per_archive(lines).select(L.base_name("archive").alias("archive_name"), "member")
+    members = read_archive_members(spark, _archives(spark, sf_dir))
+    return first_member_per_archive(members).select(L.base_name("archive").alias("archive_name"), "member")
 
 
 # --- streaming ----------------------------------------------------------------------------------
@@ -552,7 +552,138 @@ def q_registry_job_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*cols)
 
 
+# --- the job's guarantees and goal -------------------------------------------------------------
+
+def _job_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Both snapshots of the three registry-shaped tables (every row in its own snapshot)."""
+    return {"Empresas": companies(spark, sf_dir, True), "Estabelecimentos": establishments(spark, sf_dir, True),
+            "Socios": partners(spark, sf_dir, True)}
+
+
+def _job_schemas(inputs: dict[str, DataFrame]) -> dict:
+    return {name: df.drop("snapshot").schema for name, df in zip(("empre", "esta", "socios"), inputs.values())}
+
+
+def _job_text(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, dict]:
+    inputs = _job_inputs(spark, sf_dir)
+    root = staging_path(spark, name)
+    for label, df in inputs.items():
+        shard = F.pmod(F.xxhash64(*df.columns), F.lit(4)).cast("string")
+        write_shards(df.withColumn("shard_name", F.concat(F.lit(label), shard))
+                     .repartition("snapshot", "shard_name"), root, mode="append")
+    return root, _job_schemas(inputs)
+
+
+JOB_COLUMNS = ["cnpj_emp", "razao_emp", "cap_soc_emp", "cnpj", "fantasia", "cnae", "cnpj_soc", "nome_socio", "snapshot"]
+
+
+def _job_archives(spark: SparkSession, sf_dir: str) -> str:
+    """The job over flat zip archives, of which the last company shard also has a truncated copy."""
+    root, schemas = _job_text(spark, sf_dir, "job-zip-src")
+    zips = stage_archives(spark, root, corrupt_shards=("Empresas3",), readme_shards=())
+    out = staging_path(spark, "job-zip-out")
+    run_registry_job(spark, zips, out, schemas=schemas, archives=True, flat=True)
+    return out
+
+
+def q_registry_job_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job from zip archives in one folder; a truncated archive does not lose a snapshot."""
+    return spark.read.parquet(_job_archives(spark, sf_dir)).select(*JOB_COLUMNS)
+
+
+def q_registry_job_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job set aside: the truncated archives, and lines with a field too many."""
+    out = _job_archives(spark, sf_dir)
+    inputs = _job_inputs(spark, sf_dir)
+    root, schemas = _job_text(spark, sf_dir, "job-bad-src")
+    extra = inputs["Socios"].select("snapshot", F.concat_ws(";", "cnpj_soc", "nome_socio", F.lit("too many")).alias("line"))
+    for snap in ("2023-05", "2025-01"):
+        write_lines(extra.where(F.col("snapshot") == snap).select("line"), f"{root}/snapshot={snap}/shard_name=Socios9")
+    bad = staging_path(spark, "job-bad-out")
+    run_registry_job(spark, root, bad, schemas=schemas)
+    both = registry_rejects(spark, out).unionByName(registry_rejects(spark, bad))
+    return both.groupBy("table_name", "snapshot", F.regexp_extract("error", r"^(\w+)", 1).alias("error_class")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_registry_job_rerun_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot is run again: its rows are replaced, the other snapshot stays."""
+    root, schemas = _job_text(spark, sf_dir, "job-rerun-src")
+    out = staging_path(spark, "job-rerun-out")
+    run_registry_job(spark, root, out, schemas=schemas)
+    return run_registry_job(spark, root, out, schemas=schemas, snapshots=["2025-01"]).select(*JOB_COLUMNS)
+
+
+def q_conversion_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and malformed lines of every converted text file, from one job per table."""
+    root = stage_registry(spark, sf_dir, "convert-src")
+    got = conversion_file_status(spark, root, {"part": ("Part", _part_schema(spark, sf_dir))})
+    shard = F.regexp_extract("file", "shard_name=([^/]*)/", 1)
+    return got.groupBy("table_name", "snapshot", shard.alias("shard_name"), "status") \
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+
+
+def q_segment_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section of a seven-digit activity code; the code is made from the whole key."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("%07d", F.col("p_partkey") * 7919 % 10000000).alias("code"))
+    return p.select("p_partkey", "code", segment_of("code").alias("segment"))
+
+
+def _raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part as raw registry text: padded text, decimal-comma amounts, compact dates."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit(" "), F.col("p_name"), F.lit("  ")).alias("razao_emp"),
+                    padded_key("p_partkey", 8).alias("cnpj_emp"), C.format_money("p_retailprice").alias("cap_soc_emp"),
+                    F.when(F.col("p_size") % 5 == 0, "0").otherwise(
+                        C.format_compact_date(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int")))).alias("dat_ini_at"),
+                    F.when(F.col("p_type") == "PROMO", " ").otherwise(F.col("p_type")).alias("port_emp"))
+
+
+def q_clean_registry_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_registry(_raw_registry(spark, sf_dir))
+
+
+def q_categorised_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated goal: the job cleans, joins, describes codes, and companies are counted per
+    snapshot, segment and activity description."""
+    p = table(spark, sf_dir, "part")
+    code = F.format_string("%02d00000", F.col("p_size") * 2 - 1)
+    inputs = _job_inputs(spark, sf_dir)
+    inputs["Estabelecimentos"] = (establishments(spark, sf_dir, True).drop("cnae")
+                                  .join(p.select(padded_key("p_partkey", 8).alias("cnpj"), code.alias("cnae")), "cnpj")
+                                  .select("cnpj", "fantasia", "cnae", "snapshot"))
+    root = staging_path(spark, "job-goal-src")
+    for label, df in inputs.items():
+        write_shards(df.withColumn("shard_name", F.lit(label + "0")), root, mode="append")
+    for name in DIMENSION_NAMES:
+        dim = p.select(code.alias("code"), F.concat(F.lit(name + " "), F.col("p_size").cast("string")).alias("description")).distinct()
+        write_shards(dim.withColumns({"snapshot": F.lit("2025-01"), "shard_name": F.lit(name)}), root, mode="append")
+    dims = load_dimensions(spark, root)
+    out = run_registry_job(spark, root, staging_path(spark, "job-goal-out"), schemas=_job_schemas(inputs), clean=True,
+                           dimensions=dims, with_segment=True)
+    return out.groupBy("snapshot", "segment", "cnae_desc").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                              F.count_distinct("cnpj_emp").alias("n_companies"))
+
+
+def q_listing_to_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the links of the pages to the ingest plan: links that look like ``/xx.../`` words are
+    listed archives; what the events want is matched with them."""
+    links = _links(spark, sf_dir).where(L.starts_with_any("href", ["/", "http"]))
+    names = links.select(F.concat(N.capitalized(F.regexp_extract("href", "([A-Za-z]+)[^A-Za-z]*$", 1)), F.lit("0.zip")).alias("archive_name"))
+    wanted = wanted_manifest(names.select(F.regexp_replace("archive_name", "0[.]zip$", "").alias("table_type")))
+    present = names.groupBy("archive_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return ingest_plan(wanted, names, present)
+
+
 QUERIES = {
+    "registry_job_archives": q_registry_job_archives,
+    "registry_job_rejects": q_registry_job_rejects,
+    "registry_job_rerun_snapshot": q_registry_job_rerun_snapshot,
+    "conversion_file_status": q_conversion_file_status,
+    "segment_of_code": q_segment_of_code,
+    "clean_registry_columns": q_clean_registry_columns,
+    "categorised_companies": q_categorised_companies,
+    "listing_to_plan": q_listing_to_plan,
     "company_partner_join": q_company_partner_join,
     "registry_job_csv": q_registry_job_csv,
     "joined_row_count": q_joined_row_count,

@@ -126,7 +126,42 @@ _PART_ARCHIVES = ("select distinct concat('Part', cast(p_size % 10 as varchar),
                   "case when p_size % 2 = 0 then '2023-05' else '2025-01' end, '.zip') as archive_name, "
                   "cast(p_size % 10 as integer) as shard from part")
 
+_SECTION = """case when d between 1 and 3 then 'A' when d between 5 and 9 then 'B' when d between 10 and 33 then 'C'
+    when d = 35 then 'D' when d between 36 and 39 then 'E' when d between 41 and 43 then 'F' when d between 45 and 47 then 'G'
+    when d between 49 and 53 then 'H' when d between 55 and 56 then 'I' when d between 58 and 63 then 'J'
+    when d between 64 and 66 then 'K' when d = 68 then 'L' when d between 69 and 75 then 'M' when d between 77 and 82 then 'N'
+    when d = 84 then 'O' when d = 85 then 'P' when d between 86 and 88 then 'Q' when d between 90 and 93 then 'R'
+    when d between 94 and 96 then 'S' when d = 97 then 'T' when d = 99 then 'U' end"""
+
 ORACLES: dict[str, str] = {
+    "registry_job_archives": JOINED_BY_SNAPSHOT,
+    "registry_job_rerun_snapshot": JOINED_BY_SNAPSHOT,
+    "registry_job_rejects": f"""select 'socios' as table_name, snapshot, 'MalformedLine' as error_class, count(*) as n
+          from (select 1{_snap('s_nationkey')} from supplier) group by snapshot
+        union all select 'empre', snapshot, 'BadZipFile', 1 from (select distinct 1{_snap('p_size')} from part)""",
+    "conversion_file_status": f"""select 'part' as table_name, snapshot, concat('Part', cast(p_size % 10 as varchar)) as shard_name,
+          'ok' as status, count(*) as n_rows, cast(0 as bigint) as n_bad
+        from (select p_size{_snap('p_size')} from part) group by 2, 3""",
+    "segment_of_code": f"""select p_partkey, code, {_SECTION} as segment from
+        (select *, cast(substring(code, 1, 2) as integer) as d from
+          (select p_partkey, printf('%07d', p_partkey * 7919 % 10000000) as code from part))""",
+    "clean_registry_columns": """select p_name as razao_emp, printf('%08d', p_partkey) as cnpj_emp,
+          cast(p_retailprice as decimal(18, 2)) as cap_soc_emp,
+          case when p_size % 5 = 0 then null else date '2020-01-01' + cast(p_size as integer) end as dat_ini_at,
+          case when p_type = 'PROMO' then null else p_type end as port_emp from part""",
+    "categorised_companies": f"""select j.snapshot, {_SECTION} as segment, concat('Cnaes ', cast(p.p_size as varchar)) as cnae_desc,
+          count(*) as n_rows, count(distinct cnpj_emp) as n_companies
+        from ({JOINED_BY_SNAPSHOT}) j join (select *, p_size * 2 - 1 as d from part) p on j.cnpj = printf('%08d', p.p_partkey)
+        group by 1, 2, 3""",
+    "listing_to_plan": f"""with names as (select concat(upper(substr(w, 1, 1)), lower(substr(w, 2)), '0.zip') as archive_name
+            from (select regexp_extract(href, '([A-Za-z]+)[^A-Za-z]*$', 1) as w from {_LINKS}
+                  where starts_with(href, '/') or starts_with(href, 'http'))),
+          types as (select distinct replace(archive_name, '0.zip', '') as table_type from names)
+        select 'data' as kind, table_type, cast(range as integer) as shard,
+          concat(table_type, cast(range as varchar), '.zip') as archive_name,
+          case when range > 0 then 'missing' when n > 1 then 'extract' else 'download_extract' end as action
+        from types, range(10) left join (select archive_name, count(*) as n from names group by 1) c
+             on c.archive_name = concat(table_type, '0.zip')""",
     "company_partner_join": JOINED,
     "registry_job_csv": f"select *, '2025-01' as snapshot from ({JOINED}) t",
     "joined_row_count": f"select count(*) as n_rows from ({JOINED}) t",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,18 +20,16 @@ DEFAULT_CONF = {
 
 
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
-               target_partition_bytes: int = 256 << 20,
-               max_partitions: int = 100_000) -> dict[str, str]:
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Shuffle / scan settings sized for the data instead of Spark's fixed defaults.
 
     Initial shuffle partitions give ~``target_partition_bytes`` per partition of the
     input (AQE coalesces small ones and splits skewed ones at run time), never fewer
-    than two waves of the cluster's cores and at most ``max_partitions`` (beyond that
-    the driver's map-output tracking dominates; shuffled data is usually far smaller
-    than raw input after column pruning).
+    than two waves of the cluster's cores.  For very large inputs raise
+    ``target_partition_bytes``: the driver tracks every partition.
     """
     cores = max(1, executors * cores_per_executor)
-    parts = min(max_partitions, max(2 * cores, -(-input_bytes // target_partition_bytes)))
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
@@ -69,11 +68,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
     Read from ``spark.checkpoint.dir`` (or an already set checkpoint dir); only when
-    neither is set (local tests) a private folder is created and registered.
+    neither is set and the master is local (tests) a private folder is created and
+    registered; on a cluster that folder would be a different disk on every machine.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="regspark-ckpt-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
+from regspark.sources.delimited import CORRUPT_COL
 from regspark.sources.shards import scan_shards
 
 EXPORT_DIALECT = Dialect(sep=",", header=True, encoding="UTF-8")
@@ -79,11 +81,28 @@ def csv_to_parquet(spark: SparkSession, src_root: str, out_root: str,
     status = []
     for name, (keyword, schema) in tables.items():
         try:
-            df = scan_shards(spark, src_root, keyword, schema, dialect, with_source=True)
+            df = scan_shards(spark, src_root, keyword, schema, dialect, with_source=True, corrupt=True)
             path = f"{out_root.rstrip('/')}/{name}"
-            write_parquet(df.drop("source_file"), path, partition_by)
+            good = df.where(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL, "source_file")   # bad lines are skipped
+            write_parquet(good, path, partition_by)
             n = spark.read.parquet(path).count()
             status.append((name, "ok", n, None))
         except Exception as e:  # noqa: BLE001 — reported per table, as data
             status.append((name, "failed", None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
     return spark.createDataFrame(status, STATUS_SCHEMA)
+
+
+def conversion_file_status(spark: SparkSession, src_root: str, tables: dict[str, tuple[str, T.StructType]],
+                           dialect: Dialect = REGISTRY) -> DataFrame:
+    """One row per shard file: rows that convert, malformed lines (skipped), and a status
+    ``ok``, ``partial`` or ``failed`` (no line fits).  One job per table, grouped by file."""
+    out = None
+    for name, (keyword, schema) in tables.items():
+        df = scan_shards(spark, src_root, keyword, schema, dialect, corrupt=True)
+        bad = F.col(CORRUPT_COL).isNotNull()
+        own = df.groupBy("snapshot", F.col("source_file").alias("file")).agg(
+            F.count(F.when(~bad, F.struct(*[f.name for f in schema.fields]))).alias("n_rows"), F.count(F.when(bad, 1)).alias("n_bad"))
+        status = F.when(F.col("n_bad") == 0, "ok").when(F.col("n_rows") > 0, "partial").otherwise("failed")
+        own = own.select(F.lit(name).alias("table_name"), "snapshot", "file", "n_rows", "n_bad", status.alias("status"))
+        out = own if out is None else out.unionByName(own)
+    return out

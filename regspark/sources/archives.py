@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
+from regspark.sources.delimited import CORRUPT_COL
 
 LINES_SCHEMA = T.StructType([
     T.StructField("archive", T.StringType()),
@@ -28,6 +29,8 @@ LINES_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 _COLS = [f.name for f in LINES_SCHEMA.fields]
+# what one binary cell can hold; a larger archive is a reject, not a failed job
+MAX_ARCHIVE_BYTES = (1 << 31) - 1024
 
 
 def _ship_by_value(module_name: str) -> None:
@@ -106,10 +109,39 @@ def read_archive_lines(spark: SparkSession, path: str, member_suffix: str | None
     With ``multi_line_quote`` (the dialect's quote character), a record continues across
     line breaks inside quoted fields; otherwise every physical line is a record.
     """
-    bins = (spark.read.format("binaryFile").option("pathGlobFilter", glob_filter)
-            .load(path).select("path", "content"))
     fn = _unzip_lines(member_suffix, encoding, first_member_only, batch_rows, multi_line_quote)
-    return bins.mapInPandas(fn, LINES_SCHEMA)
+    bins = _archive_files(spark, path, glob_filter)
+    lines = bins.where(F.col("length") <= MAX_ARCHIVE_BYTES).select("path", "content").mapInPandas(fn, LINES_SCHEMA)
+    null = F.lit(None)
+    large = (bins.where(F.col("length") > MAX_ARCHIVE_BYTES)
+             .select(F.col("path").alias("archive"), null.cast("string").alias("member"), null.cast("long").alias("line_no"),
+                     null.cast("string").alias("line"),
+                     F.concat(F.lit("TooLarge: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error")))
+    return lines.unionByName(large)
+
+
+def _archive_files(spark: SparkSession, path: str, glob_filter: str = "*.zip") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path).select("path", "length", "content")
+
+
+def _list_members(batches):
+    """Member names from each archive's directory; nothing is unpacked."""
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                    rows += [(path, i.filename, i.file_size, None) for i in zf.infolist() if not i.is_dir()]
+            except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, EOFError, NotImplementedError) as e:
+                rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["archive", "member", "n_bytes", "error"])
+
+
+def read_archive_members(spark: SparkSession, path: str, glob_filter: str = "*.zip") -> DataFrame:
+    """``(archive, member, n_bytes, error)`` of every archive, from its directory alone."""
+    bins = _archive_files(spark, path, glob_filter).where(F.col("length") <= MAX_ARCHIVE_BYTES)
+    return bins.select("path", "content").mapInPandas(_list_members, "archive string, member string, n_bytes double, error string") \
+        .withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +157,11 @@ def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_lines(lines: DataFrame, schema: T.StructType, dialect: Dialect = REGISTRY,
                 header: bool = False, keep: list[str] = ("archive", "member"),
-                spread_partitions: int | None = None) -> DataFrame:
+                spread_partitions: int | None = None, corrupt: bool = False) -> DataFrame:
     """Parse text lines JVM-side into ``schema`` columns (``from_csv``).
 
+    ``corrupt=True`` adds ``_corrupt_record``: the line, if it does not fit the schema.
+
     ``spread_partitions`` repartitions the lines first, to spread one large archive's
     lines over many tasks before heavier downstream work.
     """
@@ -138,6 +172,9 @@ def parse_lines(lines: DataFrame, schema: T.StructType, dialect: Dialect = REGIS
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     opts = {"sep": dialect.sep, "quote": dialect.quote, "escape": dialect.escape,
             "nullValue": dialect.null_value, "mode": "PERMISSIVE"}
+    if corrupt:
+        ddl += f", `{CORRUPT_COL}` string"
+        opts["columnNameOfCorruptRecord"] = CORRUPT_COL
     parsed = F.from_csv(F.col("line"), ddl, opts).alias("__rec")
     return lines.select(*keep, parsed).select(*keep, "__rec.*")
 
@@ -154,7 +191,8 @@ def read_archives(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def first_member_per_archive(lines: DataFrame) -> DataFrame:
-    """``(archive, member)``: the first member (by name) of each readable archive."""
+    """``(archive, member)``: the first member (by name) of each readable archive; takes
+    :func:`read_archive_members` (directories only) or archive lines."""
     return (lines.where(F.col("error").isNull())
             .groupBy("archive").agg(F.min("member").alias("member")))
 

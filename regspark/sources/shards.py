@@ -8,15 +8,20 @@ snapshot label comes from the file path, never from a variable name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect, string_schema
-from regspark.sources.delimited import read_delimited
+from regspark.sources.delimited import CORRUPT_COL, read_delimited
 
+# the deepest path part with a YYYY-MM in it: a dated folder, or the file name itself
+# (``Empresas1-2025-01.zip`` in one flat folder)
 SNAPSHOT_PATTERN = r".*/[^/]*?(\d{4}-\d{2})[^/]*/"
+FLAT_PATTERN = r"/[^/]*?(\d{4}-\d{2})[^/]*$"
 _GLOB_SPECIAL = set("*?[]{}\\")
 
 
@@ -33,24 +38,57 @@ def ci_glob(keyword: str) -> str:
     return "".join(out)
 
 
-def shard_glob(root: str, keyword: str, snapshot: str | list[str] = "*") -> str:
+def shard_glob(root: str, keyword: str, snapshot: str | list[str] = "*", flat: bool = False) -> str:
     """Glob of every shard whose name contains ``keyword`` (any case).
 
     ``snapshot`` restricts the dated folders: one label, or a list (``{a,b}`` alternation),
-    so only those folders are listed and read.
+    so only those folders are listed and read.  ``flat=True``: one folder whose file names
+    hold the label after the keyword (``Empresas1-2025-01.zip``).
     """
     if isinstance(snapshot, (list, tuple)):
         labels = [s.strip("/") for s in snapshot]
         snap = f"*{labels[0]}*" if len(labels) == 1 else "*{" + ",".join(labels) + "}*"
     else:
         snap = snapshot if snapshot == "*" else f"*{snapshot.strip('/')}*"
+    if flat:
+        return f"{root.rstrip('/')}/*{ci_glob(keyword)}{snap}"
     return f"{root.rstrip('/')}/{snap}/*{ci_glob(keyword)}*"
 
 
 def snapshot_from_path(path_col="file_path"):
-    """``YYYY-MM`` of the deepest folder holding one."""
+    """``YYYY-MM`` of the deepest folder holding one, else of the file name."""
     c = F.col(path_col) if isinstance(path_col, str) else path_col
-    return F.regexp_extract(c, SNAPSHOT_PATTERN, 1)
+    folder = F.regexp_extract(c, SNAPSHOT_PATTERN, 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(c, FLAT_PATTERN, 1))
+
+
+def snapshot_label(path: str) -> str:
+    """The same label for a path on the driver."""
+    m = re.match(SNAPSHOT_PATTERN, path) or re.search(FLAT_PATTERN, path)
+    return m.group(1) if m else ""
+
+
+def list_shards(spark: SparkSession, root: str, keyword: str, snapshot: str | list[str] = "*",
+                flat: bool = False) -> list[str]:
+    """Paths of every shard file of a table (a listing; no file is read)."""
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load(shard_glob(root, keyword, snapshot, flat)).inputFiles())
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        return []
+    return sorted(f for f in files if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
+def require_complete(found: dict[str, list[str]], wanted: list[str] | None = None, optional: list[str] | tuple = ()) -> None:
+    """Raise unless every table has files in every snapshot (the wanted ones, or all that any
+    table has).  ``found``: table -> files; tables in ``optional`` may be missing."""
+    have = {t: {snapshot_label(f) for f in files} for t, files in found.items()}
+    snapshots = {s.strip("/") for s in wanted} if wanted else set().union(*have.values())
+    missing = sorted((s, t) for t in found if t not in optional for s in snapshots - have[t])
+    if missing or not snapshots:
+        raise FileNotFoundError("no files for " + (", ".join(f"{t} in {s}" for s, t in missing) or "any snapshot"))
 
 
 def _empty(spark: SparkSession, schema: T.StructType, extra: list[str]) -> DataFrame:
@@ -61,9 +99,12 @@ def _empty(spark: SparkSession, schema: T.StructType, extra: list[str]) -> DataF
 def scan_shards(spark: SparkSession, root: str, keyword: str, schema: T.StructType | list[str],
                 dialect: Dialect = REGISTRY, snapshot: str | list[str] = "*", optional: bool = False,
                 with_source: bool = True, first: bool = False,
-                options: dict | None = None) -> DataFrame:
+                options: dict | None = None, corrupt: bool = False, flat: bool = False) -> DataFrame:
     """All shards of one table (matched by keyword, any case) in one scan.
 
+    ``corrupt=True`` adds ``_corrupt_record``: the line, if it does not fit the schema (wrong
+    number of fields or a value of the wrong type), else null.
+
     Adds ``snapshot`` and ``source_file`` (from the hidden ``_metadata`` column).  A table
     with no matching file raises ``FileNotFoundError``; with ``optional=True`` it yields an
     empty DataFrame of the same schema.  ``first=True`` keeps only the lexicographically
@@ -72,7 +113,10 @@ def scan_shards(spark: SparkSession, root: str, keyword: str, schema: T.StructTy
     if isinstance(schema, list):
         schema = string_schema(schema)
     extra = ["snapshot", "source_file"] if with_source else []
-    pattern = shard_glob(root, keyword, snapshot)
+    if corrupt:
+        schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COL, T.StringType(), True)])
+        options = {"columnNameOfCorruptRecord": CORRUPT_COL, "columnPruning": "false", **(options or {})}
+    pattern = shard_glob(root, keyword, snapshot, flat)
     try:
         df = read_delimited(spark, pattern, schema, dialect, options)
     except AnalysisException as e:

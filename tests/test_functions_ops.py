@@ -74,8 +74,8 @@ def test_bounded_broadcast_and_lookup(spark):
     assert "BroadcastHashJoin" in plan(out)
     big = spark.range(100).selectExpr("cast(id as string) as code", "'d' as description")
     # over the bound the frame comes back unhinted (Spark's own size estimate still decides)
-    assert bounded_broadcast(big, max_rows=10) is big
-    assert bounded_broadcast(big, max_rows=1000) is not big
+    assert bounded_broadcast(big, max_bytes=10) is big
+    assert bounded_broadcast(big, max_bytes=1 << 30) is not big
 
 
 def test_segment_of_cnae_sections(spark):
