@@ -204,8 +204,8 @@ def q_resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", L.url_host("url").alias("host"), L.base_name("url").alias("base_name"),
-                    L.stem("url").alias("stem"), L.extension("url").alias("extension"))
+    return p.select("page_id", L.url_host("url").alias("host"), L.base_name("url", url=True).alias("base_name"),
+                    L.stem("url", url=True).alias("stem"), L.extension("url", url=True).alias("extension"))
 
 
 def q_archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,11 @@ left join soc on substring(esta.cnpj, 1, 7) = substring(soc.cnpj_soc, 1, 7)
 
 _HREF_RAW = r"""regexp_extract_all(
        regexp_replace(html, '(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)', '', 'g'),
-       '(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)"""
+       '(?i)<a(?:\s+[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?)*?\s+href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)"""
 _HREF_VALUE = r"""replace(replace(replace(replace(replace(
        case when regexp_matches(raw, '^("[^"]*"|''[^'']*'')$')
             then regexp_replace(raw, '^["'']|["'']$', '', 'g') else raw end,
-       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')"""
 _LINKS = f"""(select page_id, url, href from
    (select page_id, url, {_HREF_VALUE} as href from
       (select page_id, url, unnest({_HREF_RAW}) as raw from pages))

@@ -33,7 +33,7 @@ def test_resolve_link_cases(spark):
 
 def test_path_parts_and_link_extraction(spark):
     df = spark.createDataFrame([("http://h.com/d/Empresas1.zip?t=1",), ("http://h.com/d/",)], "u string")
-    got = df.select(L.url_host("u"), L.base_name("u"), L.stem("u"), L.extension("u")).collect()
+    got = df.select(L.url_host("u"), *[f("u", url=True) for f in (L.base_name, L.stem, L.extension)]).collect()
     assert [tuple(r) for r in got] == [("h.com", "Empresas1.zip", "Empresas1", ".zip"), ("h.com", "", "", "")]
     html = '<a href="2025-01/">x</a><a name="n">no href</a><a class="c" href="">e</a><A href="/Socios0.zip">'
     links = L.extract_links(spark.createDataFrame([(1, html)], "id long, html string"))
@@ -123,7 +123,7 @@ def test_link_extraction_quote_styles_case_and_entities(spark):
 from hypothesis import HealthCheck, given, settings, strategies as st
 from urllib.parse import urljoin
 
-_seg = st.sampled_from(["a", "b", "dados", "2025-01", "x.zip", "Socios1.zip"])
+_seg = st.sampled_from(["a", "b", "dados", "2025-01", "x.zip", "Socios1.zip", "..", ".", ".hid"])
 _base = st.builds(lambda sch, host, segs, slash, q, f: f"{sch}://{host}/" + "/".join(segs) + ("/" if slash and segs else "")
                   + ("?p=1" if q else "") + ("#top" if f else ""),
                   st.sampled_from(["http", "https"]), st.sampled_from(["h.com", "m.h.org"]),
@@ -176,3 +176,33 @@ def test_compact_date_ignores_session_time_zone(spark):
             assert df.select(C.format_compact_date("t")).first()[0] == "20240131", tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_attributes_and_references_as_an_html_parser_reads_them(spark):
+    from html.parser import HTMLParser
+
+    class Anchors(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.found += [v for k, v in attrs if k == "href" and v][:1]
+    pages = ['<a data-href="wrong.zip" href="right.zip">x</a>', '<a title="a>b" href="t.zip">x</a>', "<a href='O&apos;x.zip&#38;y'>x</a>",
+             '<a href="&#x27;q&#8217;&#233;.zip">x</a>', '<a href="a&amp;lt;b&#38;amp;c">x</a>', '<a download href=b.zip class=k>x</a>',
+             '<abbr href="no">n</abbr><A\n  id=1\n  HREF = "c.zip">x</A>', '<a name="href">x</a>']
+    got = L.extract_links(spark.createDataFrame(list(enumerate(pages)), "id long, html string")).orderBy("id").collect()
+    want = []
+    for i, p in enumerate(pages):
+        a = Anchors()
+        a.feed(p)
+        want += [(i, v) for v in a.found]
+    assert [tuple(r) for r in got] == want
+
+
+def test_file_names_keep_signs_that_end_a_url_path(spark):
+    df = spark.createDataFrame([("/d/a#1.zip",), ("/d/b?.zip",)], "p string")
+    assert [tuple(r) for r in df.select(L.base_name("p"), L.stem("p"), L.extension("p")).collect()] == \
+        [("a#1.zip", "a#1", ".zip"), ("b?.zip", "b?", ".zip")]
+    assert [r[0] for r in df.select(L.base_name("p", url=True)).collect()] == ["a", "b"]
