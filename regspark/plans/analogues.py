@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions.keys import padded_key
+from regspark.session import path_version
 
 KEY_WIDTH = 8
 NAME_BLOCK = 16
@@ -27,9 +28,10 @@ _TABLES: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the relation (file listing, footer schema) is resolved once per session."""
+    """A driver table; the relation (file listing, footer schema) is resolved once per session
+    and again when its files have changed."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, path, path_version(spark, path))
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
@@ -39,6 +41,10 @@ def block_name(name: str, key: str) -> Column:
     return F.concat(F.col(name), F.lit(" "), F.floor(F.col(key) / NAME_BLOCK).cast("string"))
 
 
+def table_versions(spark: SparkSession, sf_dir: str, names) -> tuple:
+    return tuple(path_version(spark, f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names)
+
+
 def companies(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> DataFrame:
     p = table(spark, sf_dir, "part")
     cols = [padded_key("p_partkey", KEY_WIDTH).alias("cnpj_emp"), block_name("p_name", "p_partkey").alias("razao_emp"),

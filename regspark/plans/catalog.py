@@ -21,7 +21,7 @@ from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
 )
-from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table
+from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table, table_versions
 from regspark.plans.company_partners import company_partner_counts, company_partners
 from regspark.plans.registry_job import clean_registry, registry_rejects, run_registry_job
 from regspark.plans.staging import (
@@ -463,7 +463,7 @@ _ARCHIVES: dict[tuple, str] = {}
 
 def _archives(spark: SparkSession, sf_dir: str) -> str:
     """Part shards packed as zips (plus one truncated archive); written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table_versions(spark, sf_dir, ["part"]))
     if key not in _ARCHIVES:
         root = stage_registry(spark, sf_dir, "zip-src", tables=("part",))
         _ARCHIVES[key] = stage_archives(spark, root)
@@ -522,7 +522,7 @@ _REGISTRY_TEXT: dict[tuple, str] = {}
 
 def _registry_text(spark: SparkSession, sf_dir: str, inputs: dict[str, DataFrame]) -> str:
     """The three registry-shaped tables as shards of snapshot 2025-01 (written once per session)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table_versions(spark, sf_dir, ["part", "supplier"]))
     if key not in _REGISTRY_TEXT:
         root = staging_path(spark, "registry-job")
         for label, df in inputs.items():

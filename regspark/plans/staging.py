@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
-from regspark.session import staging_path
+from regspark.session import qualified, staging_path
 from regspark.sinks.writers import write_shards
 from regspark.sources.archives import _ship_by_value
 
@@ -52,8 +52,8 @@ def stage_registry(spark: SparkSession, sf_dir: str, name: str = "registry",
     The text is input data, like the Parquet tables it comes from: it is written once per
     session (and per table set / dialect) and shared by the queries that scan it.
     """
-    from regspark.plans.analogues import table
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(tables), dialect)
+    from regspark.plans.analogues import table, table_versions
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(tables), dialect, table_versions(spark, sf_dir, tables))
     if key in _STAGED:
         return _STAGED[key]
     root = staging_path(spark, name)
@@ -82,15 +82,15 @@ def write_lines(lines, path: str, header_line: str | None = None) -> str:
 # --- archives ------------------------------------------------------------------------------
 
 def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+    return path[len("file:"):].replace("//", "", 1) if path.startswith("file://") else path[len("file:"):]
 
 
 def _zipper(out_dir: str, member_rule, corrupt_shards: tuple, readme_shards: tuple):
     """Per staged text file: write ``<shard>-<snapshot>.zip`` holding it as ``<shard>.csv``."""
     def run(batches):
         import pyarrow.fs as pafs
-        fs, base = pafs.FileSystem.from_uri(out_dir) if "://" in out_dir else \
-            (pafs.LocalFileSystem(), _local(out_dir))
+        fs, base = (pafs.LocalFileSystem(), _local(out_dir)) if out_dir.startswith("file:") else \
+            pafs.FileSystem.from_uri(out_dir)
         fs.create_dir(base, recursive=True)
         for pdf in batches:
             out = []
@@ -123,7 +123,8 @@ def stage_archives(spark: SparkSession, text_root: str, out_dir: str | None = No
     Shards in ``corrupt_shards`` also get a truncated, unreadable copy; shards in
     ``readme_shards`` get a second, non-CSV member.
     """
-    out_dir = out_dir or staging_path(spark, "archives")
+    # the file system is Spark's choice, not the task's
+    out_dir = qualified(spark, out_dir or staging_path(spark, "archives"))
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
              .option("recursiveFileLookup", "true").load(text_root).select("path", "content"))
     fn = _zipper(out_dir, lambda shard: f"{shard}.csv", corrupt_shards, readme_shards)

@@ -83,7 +83,35 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/regspark/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staging_root(spark: SparkSession) -> str:
+    """This application's folder under the shared checkpoint root."""
+    return f"{checkpoint_root(spark)}/regspark/{spark.sparkContext.applicationId}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark resolves it to."""
+    p, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def path_version(spark: SparkSession, path: str) -> tuple:
+    """Modification time and total length: changes when the files under ``path`` do."""
+    p, fs = _hadoop_path(spark, path)
+    return fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
+def drop_staging(spark: SparkSession) -> bool:
+    """Delete what this application staged; call it when its results are no longer read."""
+    p, fs = _hadoop_path(spark, staging_root(spark))
+    return fs.delete(p, True)
 
 
 def cut_lineage(df, spark: SparkSession | None = None, name: str = "stage", fmt: str = "parquet"):

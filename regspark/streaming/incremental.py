@@ -47,13 +47,16 @@ def ingest_new_shards(spark: SparkSession, source_glob: str, schema: T.StructTyp
 def ingest_new_archives(spark: SparkSession, archive_dir: str, schema: T.StructType,
                         sink_path: str, checkpoint_path: str, dialect: Dialect = REGISTRY,
                         member_suffix: str | None = ".csv",
-                        max_files_per_trigger: int | None = None) -> dict:
+                        max_files_per_trigger: int | None = 64,
+                        spread_partitions: int | None = None) -> dict:
     """Unpack and load zip archives not seen before (a ``binaryFile`` file-source stream).
 
     Every micro-batch is split into rows and rejected archives (whole-archive rejection,
     as in batch reads) and written to ``<sink>/good/batch=<id>`` and
     ``<sink>/rejects/batch=<id>`` with overwrite: a batch replayed after a failure
     rewrites the same folder, so the result stays exactly-once.  Read ``<sink>/good``.
+    A backlog is worked off in batches of ``max_files_per_trigger`` archives, and their
+    lines are spread over ``spread_partitions`` tasks (default: the shuffle partitions).
     """
     from regspark.sources.archives import LINES_SCHEMA, _unzip_lines, parse_lines, split_rejects
 
@@ -70,7 +73,8 @@ def ingest_new_archives(spark: SparkSession, archive_dir: str, schema: T.StructT
         batch = batch.persist()  # written twice; unpack each archive once
         try:
             good, bad = split_rejects(batch)
-            rows = parse_lines(good, schema, dialect, dialect.header)
+            spread = spread_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            rows = parse_lines(good, schema, dialect, dialect.header, spread_partitions=spread)
             rows.write.mode("overwrite").parquet(f"{sink_path}/good/batch={batch_id}")
             bad.write.mode("overwrite").parquet(f"{sink_path}/rejects/batch={batch_id}")
         finally:

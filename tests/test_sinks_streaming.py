@@ -130,7 +130,7 @@ def test_session_defaults_and_scale_conf(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
     big = scale_conf(100 * 2**40, 1000, 8)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000          # capped
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
     small = scale_conf(10 * 2**30, 4, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 64              # two waves of 32 cores
     mid = scale_conf(1 * 2**40, 100, 8)
