@@ -38,3 +38,12 @@ def test_query_matches_oracle(spark, duck, sf_dir, name):
     d_cols, d_hash, _ = digest([c[0] for c in cur.description], cur.fetchall())
     assert s_cols == d_cols
     assert s_hash == d_hash
+
+
+def test_entry_without_the_training_data_subpackage(monkeypatch):
+    import sys
+    from regspark.plans.catalog import QUERIES
+    for gone in ("regspark.llm.queries", "corpus_pipeline"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, gone, None)
+            assert set(E.queries()) == set(QUERIES) and set(E.oracle_sql()) == set(ORACLES)
