@@ -27,7 +27,7 @@ from regspark.llm.words import _ship_by_value, binary_list, worker_store
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 PIECES = "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -37,29 +37,64 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict:
+    """The character that byte-level vocabularies write for each byte: printable bytes stand for
+    themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class WordTokens:
     """Token ids of texts, word by word: the vocabulary's pre-tokenizer never joins words
-    across white space, so a word's ids do not depend on its neighbours."""
+    across white space, so a word's ids do not depend on its neighbours.
+
+    A word of printable ASCII and Latin-1 letters is cut into lower-case pieces here, as the
+    vocabulary's pattern does, and only pieces not seen before go through its merges; any
+    other word, and one that may hold a special token, goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
+        import re
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict = {}
+        self.words: dict = {}
+        self.pieces: dict = {}
+        self.letters = byte_letters()
+        # The pre-tokenizer's pattern, for these characters.
+        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+    def piece(self, piece: str) -> bytes:
+        import numpy as np
+        written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        import numpy as np
+        text = word.decode("utf-8", "replace")
+        if self.plain.fullmatch(text) and "<|" not in text:
+            return b"".join([self.pieces.get(p) or self.piece(p) for p in self.cut(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, texts: list) -> list:
         """Little-endian unsigned 32-bit ids of each text (bytes)."""
-        import numpy as np
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, c in zip(new, coded):
-            self.known[w] = np.array(c.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        from itertools import islice
+        for held in (self.words, self.pieces):              # what came first is mostly what is frequent
+            if len(held) > CACHED_WORDS:
+                for k in list(islice(held, CACHED_WORDS // 2, None)):
+                    del held[k]
+        words, out = self.words, []
+        for t in texts:
+            split = t.split()
+            for w in split:
+                if w not in words:
+                    words[w] = self.word(w)
+            out.append(b"".join(map(words.__getitem__, split)))
+        return out
 
 
 def texts_in_parts(texts: list, n: int = 128, most_bytes: int = 1 << 20):

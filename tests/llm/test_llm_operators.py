@@ -348,3 +348,16 @@ def test_chat_prompt_is_the_longest_common_prefix(spark):
     assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected, got[2].chosen_mask) == (2, "", "", [])
     assert (got[3].n_prompt_turns, got[3].prompt, got[3].rejected) == (0, "", "")
     assert got[3].chosen == "<|user|>\nonly < |here|><|end|>\n"
+
+
+def test_word_tokens_equal_the_tokenizer():
+    import random
+    from regspark.llm.packing import WordTokens, vocabulary_path
+    tokens = WordTokens(vocabulary_path())
+    rng = random.Random(1)
+    signs = "abcXYZ'stremvdl.,!?-_#0123456789éÉßÑñüÜÿÀ×÷µªº“—İıΣσς<|>endoftext́ ᱰ\x1c\x7f\x00🙂ﬁ①²"
+    words = ["".join(rng.choices(signs, k=rng.randint(1, 9))).encode() for _ in range(20_000)]
+    words += [w.encode() for w in ("<|endoftext|>", "a<|startoftext|>b", "don't", "we'll", "\"'s", "'S", "I'M", "ÀÉ'RE", "Straße")]
+    words = [w for w in words if len(w.split()) == 1]
+    want = tokens.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+    assert all(tokens.word(w) == np.array(c.ids, "<u4").tobytes() for w, c in zip(words, want))
