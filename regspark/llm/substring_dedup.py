@@ -4,7 +4,7 @@ Anchors are hashes of ``ANCHOR`` consecutive words that are minimal among the
 ``WINDOW - ANCHOR + 1`` hashes of some window; every window of ``WINDOW`` words holds one, and equal
 windows hold equal ones.  Anchors that occur once are dropped by a join with the repeated
 ones; what is left are the seeds.  Around each seed the match is extended to both sides:
-every window of ``WINDOW`` words whose own anchor is a seed is hashed (128 bits), and the first occurrence
+every window of ``WINDOW`` words whose own anchor is a seed is hashed (96 bits), and the first occurrence
 of each such window - by (id, text hash, start) - is found by aggregation.  All others also
 start earlier; runs of them are the maximal repeats of ``WINDOW`` words or more, and their
 words are removed.  No pairs of documents are formed, so a passage shared by n documents
@@ -28,10 +28,10 @@ from regspark.llm.tables import documents, text_key, with_fields, written
 from regspark.llm.words import MULT, _ship_by_value, binary_list, member, sliding_min, window_hashes, word_hashes
 
 WINDOW = 20
-ANCHOR = 8
+ANCHOR = 6
 MULT2 = 0xD6E8FEB86659FD93
 LAST_ID = (1 << 63) - 1
-ROWS_OUT = 200_000
+ROWS_OUT = 100_000
 
 
 def anchors_of(h, window: int, anchor: int):
@@ -58,15 +58,38 @@ def _anchors(window: int, anchor: int):
     return run
 
 
-def longs(batch, name: str) -> list:
+def longs(col) -> list:
     """A column of long arrays as numpy views, null: None."""
     import numpy as np
-    col = batch[name] if not hasattr(batch, "offsets") else batch
     values, offsets = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
     return [values[a:b] if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], col.is_valid().to_pylist())]
 
 
-WINDOWS = "w1 long, w2 long, did long, dkey long, start int"
+WINDOWS = "w1 long, w2 int, place binary"
+PLACE = [("did", ">u8"), ("check", ">u4"), ("start", ">u4")]
+SIGN = 1 << 63
+
+
+def places(did, check, start):
+    """Sortable 16-byte places (id, check, start) as an Arrow binary array."""
+    import numpy as np
+    import pyarrow as pa
+    rows = np.empty(len(start), np.dtype(PLACE))
+    rows["did"] = did.view(np.uint64) ^ np.uint64(SIGN)             # signed order as byte order
+    rows["check"] = check.view(np.uint32) ^ np.uint32(1 << 31)
+    rows["start"] = start
+    offsets = np.arange(0, 16 * len(start) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def _unplaced(column):
+    """The fields of places."""
+    import numpy as np
+    import pyarrow as pa
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.dtype(PLACE))
+    did = (rows["did"].astype(np.uint64) ^ np.uint64(SIGN)).view(np.int64)
+    check = (rows["check"].astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+    return pa.StructArray.from_arrays([pa.array(did), pa.array(check), pa.array(rows["start"].astype(np.int64))], ["did", "check", "start"])
 
 
 def _windows(window: int, anchor: int):
@@ -78,19 +101,19 @@ def _windows(window: int, anchor: int):
         def batch_of(parts):
             w1, w2, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
             sizes = [len(p[0]) for p in parts]
-            did, dkey = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (3, 4))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                w1.view(np.int64), w2.view(np.int64), did, dkey, start.astype(np.int32))], names)
+            did, check = (np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((3, np.int64), (4, np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.astype(np.uint32).view(np.int32)),
+                                               places(did, check, start)], names)
 
         for batch in batches:
             parts, n = [], 0
-            for data, seeds, did, dkey in zip(binary_list(batch["text"]), longs(batch["seeds"], ""),
-                                              batch["did"].to_pylist(), batch["dkey"].to_pylist()):
+            for data, seeds, did, check in zip(binary_list(batch["text"]), longs(batch["seeds"]),
+                                               batch["did"].to_pylist(), batch["check"].to_pylist()):
                 if seeds is None or not len(seeds):
                     continue
                 h = word_hashes(data.split())
                 at = np.flatnonzero(member(anchors_of(h, window, anchor)[1], np.sort(seeds)))
-                parts.append((window_hashes(h, window)[at], window_hashes(h, window, MULT2)[at], at, did, dkey))
+                parts.append((window_hashes(h, window)[at], window_hashes(h, window, MULT2)[at] >> np.uint64(32), at, did, check))
                 n += len(at)
                 if n >= ROWS_OUT:
                     yield batch_of(parts)
@@ -139,8 +162,8 @@ def _remover(window: int, anchor: int):
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         cols = {n: [] for n in NAMES}
         null = texts.is_null().to_pylist()
-        firsts = [None if f is None else f.view(np.int64) for f in longs(firsts, "")]
-        for data, gone, copy, seed, first in zip(binary_list(texts), null, is_copy.to_pylist(), longs(seeds, ""), firsts):
+        firsts = [None if f is None else f.view(np.int64) for f in longs(firsts)]
+        for data, gone, copy, seed, first in zip(binary_list(texts), null, is_copy.to_pylist(), longs(seeds), firsts):
             words = data.split()
             if copy and len(words) >= window:
                 mask = np.ones(len(words), bool)
@@ -164,18 +187,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     ``n_removed`` and the removed word spans."""
     if not 1 <= anchor <= window:
         raise ValueError("1 <= anchor <= window")
-    own = {"did", "dkey", "copy", "seeds", "firsts", "n_words", "n_removed", "removed"}
+    own = {"did", "check", "copy", "seeds", "firsts", "n_words", "n_removed", "removed"}
     held = [c for c in docs.columns if c.lower() not in own]
     text = F.col("text").cast("string")
     base = docs.select(*[F.col(f"`{c}`") for c in held if c != "text"], text.alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), text_key(text).alias("dkey"))
-    key = ["did", "dkey"]
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.hash(text).alias("check"))
+    key = ["did", "check"]
     grams = F.arrow_udf(_anchors(window, anchor), "array<long>")
     # one row per document with its anchors, and what tells equal texts
-    scan = written(base.select(*key, F.xxhash64(F.lit(1), "text").alias("check"), grams("text").alias("anchors")), "anchors")
-    copies = (scan.groupBy("dkey", "check").agg(F.min("did").alias("first_did"), F.max("did").alias("last_did"))
+    scan = written(base.select(*key, text_key(F.col("text")).alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
+                               grams("text").alias("anchors")), "anchors")
+    copies = (scan.groupBy("h1", "h2").agg(F.min("did").alias("first_did"), F.max("did").alias("last_did"))
               .where("last_did > first_did").drop("last_did"))
-    copies = (scan.select(*key, "check").join(copies, ["dkey", "check"]).where("did > first_did")
+    copies = (scan.select(*key, "h1", "h2").join(copies, ["h1", "h2"]).where("did > first_did")
               .select(*key, F.lit(True).alias("copy")).distinct())
     repeated = (scan.select(F.explode("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("n"))
                 .where("n > 1").select("a"))
@@ -184,12 +208,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     seeded = base.join(copies, key, "left").join(seeds, key, "left")
     seeded = seeded.withColumn("seeds", F.when(F.col("copy"), F.lit(None)).otherwise(F.col("seeds")))
     windows = seeded.mapInArrow(_windows(window, anchor), WINDOWS)
-    firsts = (windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "dkey", "start")).alias("o"))
-              .groupBy(F.col("o.did").alias("did"), F.col("o.dkey").alias("dkey"))
-              .agg(F.collect_list(F.col("o.start").cast("long")).alias("firsts")))
+    firsts = (windows.groupBy("w1", "w2").agg(F.min("place").alias("place"))
+              .select(F.arrow_udf(_unplaced, "did long, check int, start long")("place").alias("o"))
+              .groupBy(F.col("o.did").alias("did"), F.col("o.check").alias("check"))
+              .agg(F.collect_list("o.start").alias("firsts")))
     done = seeded.join(firsts, key, "left")
     cut = _remover(window, anchor)("text", F.coalesce("copy", F.lit(False)), "seeds", "firsts")
-    return with_fields(done, cut, NAMES).drop("did", "dkey", "copy", "seeds", "firsts")
+    return with_fields(done, cut, NAMES).drop("did", "check", "copy", "seeds", "firsts")
 
 
 def word_digest(text):
