@@ -206,18 +206,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similarity: float = 0.8)
     base = docs.select(F.col("doc_id").cast("long").alias("did"), text_key(text).alias("dkey"), text.alias("text"))
     sketches = written(base.mapInArrow(_sketcher(shingle), SKETCHES), "sketches")
     full = sketches.where("did is not null and n > 0")
-    classes = (full.groupBy("f1", "f2", "n").agg(F.min(F.struct("did", "dkey")).alias("rep"))
-               .select("f1", "f2", "n", F.col("rep.did").alias("did"), F.col("rep.dkey").alias("dkey")))
+    classes = (full.groupBy("f1", "f2", "n").agg(F.min(F.struct("did", "dkey", "sketch")).alias("rep"))
+               .select("f1", "f2", "n", F.col("rep.did").alias("did"), F.col("rep.dkey").alias("dkey"),
+                       F.col("rep.sketch").alias("sketch")))
     classes = written(classes, "classes")
-    speakers = full.join(classes, ["f1", "f2", "n", "did", "dkey"], "left_semi").dropDuplicates(["f1", "f2", "n"])
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
-    buckets = written(speakers.select("f1", bands.alias("bands")), "bands").select("f1", F.explode("bands").alias("band"))
+    buckets = classes.select("f1", F.explode(bands).alias("band"))
     least = buckets.groupBy("band").agg(F.min("f1").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
     ties = buckets.join(least, "band").where("f1 <> least").select(F.col("f1").alias("a"), F.col("least").alias("b"))
     clusters = components(ties).select(F.col("node").alias("f1"), F.col("label").alias("cluster"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = (speakers.join(clusters.join(size, "cluster"), "f1")
+    members = (classes.join(clusters.join(size, "cluster"), "f1")
                .join(base, ["did", "dkey"])
                .select("f1", "did", "dkey", "n", "sketch", "text", "cluster", "size"))
     members = written(members, "members").dropDuplicates(["f1", "did"])
