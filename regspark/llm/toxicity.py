@@ -65,7 +65,7 @@ class WordFacts(dict):
     """word (bytes) -> (flags, lexicon weight, lexicon unit number); bounded."""
     LEX, BEGIN, YOU, CAPS, OBFUSCATED, STRETCHED = 1, 2, 4, 8, 16, 32
 
-    def __init__(self, lexicon: dict, limit: int = 200_000):
+    def __init__(self, lexicon: dict, limit: int = 100_000):
         super().__init__()
         import re
         self.lexicon, self.limit = lexicon, limit

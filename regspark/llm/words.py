@@ -18,17 +18,22 @@ _M64 = (1 << 64) - 1
 
 
 def worker_store(name: str, make):
-    """A value kept for the life of the Python worker (reused across tasks)."""
+    """A value that the Python worker keeps from task to task, until another one is asked for:
+    a worker that goes on to other work does not hold the caches of the last."""
     mod = sys.modules.setdefault("_regspark_worker_store", types.ModuleType("_regspark_worker_store"))
-    if name not in mod.__dict__:
-        mod.__dict__[name] = make()
-    return mod.__dict__[name]
+    held = mod.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        import pyarrow as pa
+        pa.default_memory_pool().release_unused()
+        held[name] = make()
+    return held[name]
 
 
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when full so that memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         from xxhash import xxh64_intdigest
         self.limit, self.digest = limit, xxh64_intdigest
