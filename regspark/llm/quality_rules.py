@@ -3,6 +3,8 @@
 The zstandard ratio (compressed / raw bytes) of a whole text, and of its fixed chunks,
 tells repetitive text (low) and incompressible text (high) from prose.  A short text
 compresses less well than a long one, so the whole-text limits depend on the length.
+The chunks cover every byte: the tail after the last full chunk is a chunk of its own with
+the limits of its length, and one below the shortest band belongs to the chunk before it.
 
 Defined cases: a null text counts as empty; an empty text has no words, ratio null and
 is rejected by the base rule; a text below the shortest band is not judged by its ratio;
@@ -72,15 +74,30 @@ def band_of(n_bytes: int, bands: list) -> tuple | None:
     return fit
 
 
+def chunks_of(data: bytes, bands: list, chunk_bytes: int, chunk_band: tuple) -> list:
+    """[(chunk, its limits)], end to end over the whole text; none if it is below one chunk,
+    where the whole-text limits judge the same bytes."""
+    cuts = list(range(0, len(data) - chunk_bytes + 1, chunk_bytes))
+    limits = [chunk_band] * len(cuts)
+    tail = len(data) % chunk_bytes
+    if cuts and tail and (band := band_of(tail, bands)):
+        # the chunk's limits, moved as those of a text of that length are
+        cuts.append(len(data) - tail)
+        limits.append((chunk_band[0] + band[0] - band_of(chunk_bytes, bands)[0], max(chunk_band[1], band[1])))
+    return [(data[a:b], x) for a, b, x in zip(cuts, [*cuts[1:], len(data)], limits)]
+
+
 def judge(data: bytes, ratio_of, bands: list, chunk_bytes: int, chunk_band: tuple, max_odd: float) -> tuple:
-    """(whole ratio, share of chunks outside the chunk band, reason or None)."""
+    """(whole ratio, share of the bytes in chunks outside their limits, reason or None)."""
     if not data:
         return None, 0.0, None
     ratio = ratio_of(data)
-    full = [ratio_of(data[i:i + chunk_bytes]) for i in range(0, len(data) - chunk_bytes + 1, chunk_bytes)]
-    low = sum(r < chunk_band[0] for r in full)
-    high = sum(r > chunk_band[1] for r in full)
-    odd = (low + high) / len(full) if full else 0.0
+    low = high = 0
+    for chunk, (least, most) in chunks_of(data, bands, chunk_bytes, chunk_band):
+        r = ratio_of(chunk)
+        low += len(chunk) * (r < least)
+        high += len(chunk) * (r > most)
+    odd = (low + high) / len(data)
     limits = band_of(len(data), bands)
     if limits and ratio < limits[0]:
         return ratio, odd, "repetitive"

@@ -294,6 +294,28 @@ def test_quality_bands():
     assert verdict(b"ab") is None and verdict(b"") is None
 
 
+def test_quality_judges_the_tail_of_a_text():
+    import base64
+    import random
+    from regspark.llm.quality_rules import BANDS, CHUNK_BAND, CHUNK_BYTES, LEVEL, MAX_ODD_CHUNKS, chunks_of, judge
+    import zstandard
+    press = zstandard.ZstdCompressor(level=LEVEL).compress
+    verdict = lambda x: judge(x, lambda y: len(press(y)) / len(y), BANDS, CHUNK_BYTES, CHUNK_BAND, MAX_ODD_CHUNKS)[2]
+    rng = random.Random(4)
+    parts = "an er in on re th at st nd or es en of te ed is it al ar to".split()
+    prose = " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(9000)).encode()
+    noise = base64.b64encode(rng.randbytes(3000))
+    for clean in (1, 2):
+        start = prose[:clean * CHUNK_BYTES]
+        assert verdict(start + noise[:4000]) == "incompressible chunks"
+        assert verdict(start + (b"buy now " * 500)[:4000]) in ("repetitive", "repetitive chunks")
+    assert verdict(prose[:CHUNK_BYTES] + noise[:2100]) == "incompressible chunks"
+    for n in (1, 255, 256, 4095, 4096, 4097, 4351, 4352, 8191, 8192, 12_000, 20_479):
+        got = chunks_of(prose[:n], BANDS, CHUNK_BYTES, CHUNK_BAND)
+        assert b"".join(c for c, _ in got) == (prose[:n] if n >= CHUNK_BYTES else b"")
+        assert "chunks" not in (verdict(prose[:n]) or "")     # a clean tail is not odd
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, sf).collect()}
