@@ -5,10 +5,15 @@ since zip is not splittable); a ``mapInPandas`` step — the only Python stage o
 library — verifies each archive, unpacks its members and emits their text records in
 bounded Arrow batches; the records are then parsed JVM-side with ``from_csv``.  A corrupt
 archive becomes one row with an ``error`` (and no lines) and never fails the job.
+
+An archive larger than a binary cell is listed without its content; its task opens it where
+it lies and streams the members.  If the task cannot open it, the job fails: none of its
+rows are left out.
 """
 
 from __future__ import annotations
 
+import errno
 import io
 import zipfile
 import zlib
@@ -29,7 +34,7 @@ LINES_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 _COLS = [f.name for f in LINES_SCHEMA.fields]
-# what one binary cell can hold; a larger archive is a reject, not a failed job
+# what one binary cell can hold; a larger archive is opened by its task
 MAX_ARCHIVE_BYTES = (1 << 31) - 1024
 
 
@@ -41,6 +46,33 @@ def _ship_by_value(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def _open_archive(path: str):
+    """The file of a ``path`` column value, for reading in pieces."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from urllib.parse import quote
+    from pyarrow import fs
+    store, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return store.open_input_file(inner)
+
+
+def _archives_of(pdf):
+    """(path, file, streamed) of each archive: its content or, without one, the opened file."""
+    if "content" in pdf:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            yield path, io.BytesIO(content), False
+        return
+    for path in pdf["path"]:
+        with _open_archive(path) as file:
+            yield path, file, True
+
+
+def _not_damage(e: Exception, streamed: bool) -> bool:
+    """Whether reading failed, not the archive; a seek to a damaged offset is EINVAL."""
+    return streamed and isinstance(e, OSError) and e.errno != errno.EINVAL
+
+
 def _records(text, quote: str | None):
     """Yield records from a text stream; with ``quote``, a line break inside a quoted
     field continues the record (doubled-quote escapes keep the quote count even)."""
@@ -71,14 +103,16 @@ def _unzip_lines(member_suffix: str | None, encoding: str, first_member_only: bo
     def run(batches):
         rows: list[tuple] = []
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, file, streamed in _archives_of(pdf):
                 try:
-                    zf = zipfile.ZipFile(io.BytesIO(content))
+                    zf = zipfile.ZipFile(file)
                     damaged = zf.testzip()
                     if damaged is not None:
                         raise zipfile.BadZipFile(f"bad CRC in member {damaged}")
                 except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, OSError, EOFError,
                         KeyError, NotImplementedError, RuntimeError) as e:
+                    if _not_damage(e, streamed):
+                        raise
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
                     continue
                 with zf:
@@ -110,37 +144,37 @@ def read_archive_lines(spark: SparkSession, path: str, member_suffix: str | None
     line breaks inside quoted fields; otherwise every physical line is a record.
     """
     fn = _unzip_lines(member_suffix, encoding, first_member_only, batch_rows, multi_line_quote)
-    bins = _archive_files(spark, path, glob_filter)
-    lines = bins.where(F.col("length") <= MAX_ARCHIVE_BYTES).select("path", "content").mapInPandas(fn, LINES_SCHEMA)
-    null = F.lit(None)
-    large = (bins.where(F.col("length") > MAX_ARCHIVE_BYTES)
-             .select(F.col("path").alias("archive"), null.cast("string").alias("member"), null.cast("long").alias("line_no"),
-                     null.cast("string").alias("line"),
-                     F.concat(F.lit("TooLarge: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error")))
-    return lines.unionByName(large)
+    small, large = _archive_files(spark, path, glob_filter)
+    return small.mapInPandas(fn, LINES_SCHEMA).unionByName(large.mapInPandas(fn, LINES_SCHEMA))
 
 
-def _archive_files(spark: SparkSession, path: str, glob_filter: str = "*.zip") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path).select("path", "length", "content")
+def _archive_files(spark: SparkSession, path: str, glob_filter: str = "*.zip") -> tuple[DataFrame, DataFrame]:
+    """``(path, content)`` of the archives that a cell can hold; ``(path)`` of the larger ones."""
+    bins = spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path)
+    return (bins.where(F.col("length") <= MAX_ARCHIVE_BYTES).select("path", "content"),
+            bins.where(F.col("length") > MAX_ARCHIVE_BYTES).select("path"))
 
 
 def _list_members(batches):
     """Member names from each archive's directory; nothing is unpacked."""
     for pdf in batches:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, file, streamed in _archives_of(pdf):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                with zipfile.ZipFile(file) as zf:
                     rows += [(path, i.filename, i.file_size, None) for i in zf.infolist() if not i.is_dir()]
             except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, EOFError, NotImplementedError) as e:
+                if _not_damage(e, streamed):
+                    raise
                 rows.append((path, None, None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(rows, columns=["archive", "member", "n_bytes", "error"])
 
 
 def read_archive_members(spark: SparkSession, path: str, glob_filter: str = "*.zip") -> DataFrame:
     """``(archive, member, n_bytes, error)`` of every archive, from its directory alone."""
-    bins = _archive_files(spark, path, glob_filter).where(F.col("length") <= MAX_ARCHIVE_BYTES)
-    return bins.select("path", "content").mapInPandas(_list_members, "archive string, member string, n_bytes double, error string") \
+    schema = "archive string, member string, n_bytes double, error string"
+    small, large = _archive_files(spark, path, glob_filter)
+    return small.mapInPandas(_list_members, schema).unionByName(large.mapInPandas(_list_members, schema)) \
         .withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 

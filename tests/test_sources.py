@@ -112,6 +112,36 @@ def test_zip_archives_members_and_rejects(spark, tmp_path):
     assert "MapInPandas" in plan(good) and "BatchEvalPython" not in plan(good)
 
 
+def test_archives_larger_than_a_cell_are_read_whole(spark, tmp_path, monkeypatch):
+    from regspark.sources import archives
+    d = tmp_path / "large # ã"
+    d.mkdir()
+    text = "\n".join(EMPRE_LINES)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as zf:
+        zf.writestr("b.csv", (text + "\n") * 50)
+        zf.writestr("a.txt", "note")
+    damaged = bytearray(buf.getvalue())
+    damaged[200:264] = b"\x00" * 64
+    (d / "Empresas0.zip").write_bytes(buf.getvalue())
+    (d / "Empresas1.zip").write_bytes(_zip_bytes([("c.csv", text)]))
+    (d / "Half9.zip").write_bytes(bytes(damaged))
+    (d / "Bad9.zip").write_bytes(b"this is not a zip archive" * 200)
+
+    def all_of():
+        lines = [tuple(r) for r in read_archive_lines(spark, str(d)).collect()]
+        members = [tuple(r) for r in archives.read_archive_members(spark, str(d)).collect()]
+        return sorted(lines, key=repr), sorted(members, key=repr)
+    want = all_of()
+    monkeypatch.setattr(archives, "MAX_ARCHIVE_BYTES", (d / "Empresas1.zip").stat().st_size)
+    assert all_of() == want
+    assert sum(r[0].endswith("Empresas0.zip") and r[4] is None for r in want[0]) == 50 * len(EMPRE_LINES) + 1
+    assert {r[0].split("/")[-1] for r in want[0] if r[4]} == {"Half9.zip", "Bad9.zip"}
+    monkeypatch.setattr(archives, "_open_archive", lambda path: open(path + "/gone", "rb"))
+    with pytest.raises(Exception, match="gone"):             # an archive that no task can open is no reject
+        read_archive_lines(spark, str(d)).collect()
+
+
 def test_zip_members_with_quoted_line_breaks(spark, tmp_path):
     d = tmp_path / "mz"
     d.mkdir()
