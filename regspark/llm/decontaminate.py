@@ -2,7 +2,8 @@
 
 Every benchmark item gets a fingerprint of ``BITS`` bits over its word shingles (words
 lower-cased A-Z; five words a shingle, a shorter item is one shingle; a shingle counts as
-often as it occurs).  A text is read in windows as long as the item.  Fingerprints are cut
+often as it occurs, each occurrence in a window with its own bits, so that the fingerprint
+follows the same weighted similarity).  A text is read in windows as long as the item.  Fingerprints are cut
 into blocks; two fingerprints within ``RADIUS`` differ by at most ``RADIUS // blocks`` bits
 in some block, so looking up every block value within that many bits misses none of them.
 Candidates within the radius are then verified by the exact weighted similarity
@@ -53,13 +54,38 @@ def bit_signs(h):
     return bits.astype(np.int8) * 2 - 1
 
 
+def ranked(h, ranks):
+    """Hashes of shingles that each have ``ranks`` equal ones before them; rank 0 is the shingle's own."""
+    import numpy as np
+    return h + ranks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def fingerprints(h, starts, size: int):
     """Packed SimHash of ``h[s:s + size]`` for each start."""
     import numpy as np
     lo, hi = int(starts.min()), int(starts.max()) + size
-    sums = np.zeros((hi - lo + 1, BITS), np.int32)
-    np.cumsum(bit_signs(h[lo:hi]), axis=0, out=sums[1:])
-    return np.packbits(sums[starts - lo + size] - sums[starts - lo] > 0, axis=1)
+    h, at = h[lo:hi], starts - lo
+    kinds, which = np.unique(h, return_inverse=True)
+    if len(kinds) == len(h):
+        come = left = running(bit_signs(h))
+    else:
+        # window by window, a shingle comes as the last of its equals and leaves their count less by one
+        places = np.arange(len(h))
+        base = which.reshape(-1).astype(np.int64) * (len(h) + size)
+        order = np.sort(base + places)
+        own = np.searchsorted(order, base + places)
+        before = own - np.searchsorted(order, base + np.maximum(places - size + 1, 0))
+        after = np.searchsorted(order, base + places + size) - own - 1
+        come, left = running(bit_signs(ranked(h, before))), running(bit_signs(ranked(h, after)))
+    return np.packbits(come[at + size] - left[at] > 0, axis=1)
+
+
+def running(signs):
+    """Sums of the first 0, 1, 2, ... rows."""
+    import numpy as np
+    sums = np.zeros((len(signs) + 1, BITS), np.int32)
+    np.cumsum(signs, axis=0, out=sums[1:])
+    return sums
 
 
 def block_tables(prints):

@@ -72,6 +72,36 @@ def test_block_lookup_misses_no_fingerprint_within_the_radius():
     assert set(zip(w.tolist(), i.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(exact <= RADIUS))))
 
 
+def test_fingerprints_sign_every_occurrence_of_a_shingle():
+    from regspark.llm.decontaminate import bit_signs, fingerprints, ranked
+    rng = np.random.default_rng(8)
+    for size, n, kinds in ((1, 9, 3), (7, 40, 4), (25, 25, 6), (30, 200, 12), (30, 200, 1 << 60)):
+        h = rng.integers(1, 1 << 62, 300).astype(np.uint64)[rng.integers(0, min(kinds, 300), n)]
+        starts = np.arange(3 if n > size + 3 else 0, n - size + 1)
+        for s, got in zip(starts, fingerprints(h, starts, size)):
+            seen, ranks = collections.Counter(), []
+            for x in h[s:s + size].tolist():
+                ranks.append(seen[x])
+                seen[x] += 1
+            want = bit_signs(ranked(h[s:s + size], np.array(ranks))).astype(int).sum(0) > 0
+            assert (np.packbits(want) == got).all()
+
+
+def test_decontamination_finds_items_with_a_run_of_one_word(spark):
+    from regspark.llm.decontaminate import contaminated
+    rng = np.random.default_rng(9)
+    items, docs = [], []
+    for i in range(20):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(183)]
+        other = [f"x{rng.integers(1 << 40)}" for _ in range(17)]
+        items.append((i, " ".join(words[:90] + ["same"] * 17 + words[90:])))
+        docs.append((100 + i, " ".join(["before"] * 9 + words[:90] + other + words[90:] + ["after"] * 9)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(100 + i, i) for i in range(20)}
+    assert all(0.8 <= r.similarity < 0.82 for r in got)
+
+
 def test_substring_dedup_removes_exactly_the_repeated_windows(spark, docs):
     seen, want = set(), {}
     for d in sorted(docs):
