@@ -75,7 +75,8 @@ def preference_format(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def preference_sides(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen: every conversation up to its last assistant turn.  Rejected: the same, but the
-    last assistant turn is that of the conversation with the next id (none if there is none)."""
+    last assistant turn is that of the conversation whose id is greater by one (none if there is
+    none).  Turns after the last assistant turn are in neither."""
     base = turns.select("conv_id", "turn", "role", "text")
     last = base.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     kept = base.join(last, "conv_id", "left").where("last is null or turn <= last")
