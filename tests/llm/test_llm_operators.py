@@ -413,3 +413,74 @@ def test_word_tokens_equal_the_tokenizer():
     words = [w for w in words if len(w.split()) == 1]
     want = tokens.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
     assert all(tokens.word(w) == np.array(c.ids, "<u4").tobytes() for w, c in zip(words, want))
+
+
+def plainly_kept(text):
+    """Stage 1 in plain Python: base rule, whole-text limits, limits of the chunks."""
+    import zstandard
+    from regspark.llm.quality_rules import BANDS, CHUNK_BAND, CHUNK_BYTES, LEVEL, MAX_ODD_CHUNKS, MIN_WORDS
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=LEVEL).compress(x)) / len(x)
+    limits = lambda n: [b[1:] for b in BANDS if b[0] <= n][-1]
+    words = text.split()
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    n = collections.Counter(grams)
+    hit = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 3)}
+    if len(words) < MIN_WORDS or 100 * len(hit) > 50 * len(words):
+        return False
+    if len(text) >= BANDS[0][0] and not limits(len(text))[0] <= ratio(text) <= limits(len(text))[1]:
+        return False
+    odd, at = 0, 0
+    while len(text) >= CHUNK_BYTES and at < len(text):
+        left = len(text) - at
+        size = left if left < CHUNK_BYTES + BANDS[0][0] and left != CHUNK_BYTES else CHUNK_BYTES
+        low, high = CHUNK_BAND
+        if left < CHUNK_BYTES:
+            low, high = low + limits(left)[0] - limits(CHUNK_BYTES)[0], max(high, limits(left)[1])
+        odd += 0 if low <= ratio(text[at:at + size]) <= high else size
+        at += size
+    return odd <= MAX_ODD_CHUNKS * len(text)
+
+
+def test_pipeline_against_plain_python(spark, monkeypatch):
+    import corpus_pipeline as P
+    from regspark.llm.tables import written
+    stages = []
+    monkeypatch.setattr(P, "written", lambda df, name: stages.append(written(df, name)) or stages[-1])
+    source = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    last = {r.doc_id for r in P.run(spark, SF_SMALL).select("doc_id").distinct().collect()}
+    got = [{r.doc_id: (r.text or "").encode() for r in x.select("doc_id", "text").collect()} for x in stages]
+
+    first = {r.doc_id: t for r in source if plainly_kept(t := (r.text or "").encode())}
+    assert got[0] == first and len(first) < len(source)
+
+    links = linked(first, 5)
+    second = {d: t for d, t in first.items() if links[d][2]}
+    assert got[1] == second and len(second) < len(first)
+
+    seen, third = set(), {}
+    for d in sorted(second):
+        words = second[d].split()
+        gone = [False] * len(words)
+        for s in range(len(words) - 19):
+            if (gram := tuple(words[s:s + 20])) in seen:
+                gone[s:s + 20] = [True] * 20
+            seen.add(gram)
+        third[d] = [w for w, x in zip(words, gone) if not x]
+    assert {d: t.split() for d, t in got[2].items()} == third
+    assert sum(map(len, third.values())) < sum(len(t.split()) for t in second.values())
+
+    items = [shingles((r[0] or "").encode().lower().split(), 5) for r in
+             spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("text").collect()]
+    leaked = set()
+    for d, t in got[2].items():
+        all_of = shingles(t.lower().split(), 5)
+        for a in items:
+            if not a or not set(all_of) & set(a):
+                continue
+            size, counts = min(len(a), len(all_of)), collections.Counter(a)
+            for s in range(len(all_of) - size + 1):
+                both = sum((counts & collections.Counter(all_of[s:s + size])).values())
+                if both / (len(a) + size - both) >= 0.8:
+                    leaked.add(d)
+    assert got[3] == {d: t for d, t in got[2].items() if d not in leaked} and leaked
+    assert last == set(got[3])
