@@ -7,6 +7,7 @@ from regspark.llm.decontaminate import op1_decontamination
 from regspark.llm.language_model import op3_lm_scoring
 from regspark.llm.near_dedup import op6_near_dedup
 from regspark.llm.packing import op4_best_fit_packing
+from regspark.llm.periodic_runs import op11_periodic_runs
 from regspark.llm.quality_rules import op9_quality_rules
 from regspark.llm.sharding import op5_sharding
 from regspark.llm.substring_dedup import op2_substring_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_chat_formatting": OP10_SQL}
