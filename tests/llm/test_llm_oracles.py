@@ -19,11 +19,11 @@ def test_query_matches_sql(spark, name):
     assert got[:2] == digest([c[0] for c in cur.description], cur.fetchall())[:2]
 
 
-@pytest.mark.parametrize("name", ["op7_url_filters", "op10_chat_formatting"])
+@pytest.mark.parametrize("name", ["op7_url_filters", "op10_chat_formatting", "op12_secret_scan"])
 def test_native_queries_run_no_python(spark, name):
     p = plan(QUERIES[name](spark, SF_SMALL))
     assert not any(x in p for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 12)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 13)}
