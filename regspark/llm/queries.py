@@ -9,6 +9,7 @@ from regspark.llm.near_dedup import op6_near_dedup
 from regspark.llm.packing import op4_best_fit_packing
 from regspark.llm.periodic_runs import op11_periodic_runs
 from regspark.llm.quality_rules import op9_quality_rules
+from regspark.llm.ranked_search import OP13_SQL, op13_ranked_search
 from regspark.llm.secret_scan import OP12_SQL, op12_secret_scan
 from regspark.llm.sharding import op5_sharding
 from regspark.llm.substring_dedup import op2_substring_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_secret_scan": op12_secret_scan,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_chat_formatting": OP10_SQL,
-                           "op12_secret_scan": OP12_SQL}
+                           "op12_secret_scan": OP12_SQL, "op13_ranked_search": OP13_SQL}
