@@ -9,7 +9,8 @@ shared folder and read again by the next.
 All stages but the last return the columns of ``documents``; a text that is cut gets its
 ``n_chars`` anew, and a document of which nothing is left stays with an empty text.  A null
 id is a document of its own; rows equal in id and text are one document from the
-near-duplicate stage on.
+near-duplicate stage on.  Texts of any length are treated whole, an empty table gives an empty
+result, and columns named like those of an operator are carried through unchanged.
 """
 
 from __future__ import annotations
@@ -27,9 +28,21 @@ from regspark.llm.tables import documents, text_key, written
 SHINGLE, SIMILARITY = 5, 0.8
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id and text of ``docs``, its other columns in one: no operator's own columns meet them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *rest).alias("__rest"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, but for those ``changed``."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c] for c in docs.columns}
+    return packed.select(*[changed.get(c, value).alias(c) for c, value in own.items()])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the compression bands keep."""
-    return compression_bands(docs).where("kept").select(*docs.columns)
+    return _unpacked(compression_bands(_packed(docs)).where("kept"), docs)
 
 
 def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -47,11 +60,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that an earlier document already has in a long passage."""
-    cut = remove_repeats(docs)
+    changed = {}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-                             .cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        same = F.col("__rest")["n_chars"]
+        changed["n_chars"] = (F.when(F.col("n_removed") > 0, F.length("text")).otherwise(same)
+                              .cast(docs.schema["n_chars"].dataType))
+    return _unpacked(remove_repeats(_packed(docs)), docs, **changed)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,10 +15,12 @@ cannot pass for turn borders.  Columns other than id, turn, role and text are no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
+#: a window of the search for the next id sees 2 to this power ids at most
+NODE_BITS = 13
 
 
 def turn_text(turn: Column) -> Column:
@@ -73,19 +75,41 @@ def preference_format(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
                       loss_spans(F.col("a")).alias("chosen_mask"), loss_spans(F.col("b")).alias("rejected_mask"))
 
 
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(id, next) of distinct non-null longs ``id``: the next greater one, null for the greatest.
+
+    Ids are dealt to nodes of ``2 ** NODE_BITS`` consecutive ones, nodes to nodes of nodes, and so
+    on: a window sees the children of one node only.  The last child's next id is the first
+    one of the next node."""
+    steps = -(-64 // NODE_BITS)
+
+    def level(nodes: DataFrame, step: int) -> DataFrame:
+        # nodes: (node, first); -> (node, next)
+        up = nodes.withColumn("up", F.shiftright("node", NODE_BITS) if step < steps else F.lit(0).cast("long"))
+        inside = up.withColumn("own", F.lead("first").over(Window.partitionBy("up").orderBy("node")))
+        if step == steps:
+            return inside.select("node", F.col("own").alias("next"))
+        above = level(up.groupBy(F.col("up").alias("node")).agg(F.min("first").alias("first")), step + 1)
+        return (inside.join(above.withColumnRenamed("node", "up"), "up")
+                .select("node", F.coalesce("own", "next").alias("next")))
+    return level(ids.select(F.col("id").alias("node"), F.col("id").alias("first")), 0).withColumnRenamed("node", "id")
+
+
 def preference_sides(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen: every conversation up to its last assistant turn.  Rejected: the same, but the
-    last assistant turn is that of the conversation whose id is greater by one (none if there is
-    none).  Turns after the last assistant turn are in neither."""
-    base = turns.select("conv_id", "turn", "role", "text")
+    """Chosen: every conversation.  Rejected: the same, but its last assistant turn is that of the
+    next conversation by id that has one (no reply if there is none).  Turns after the last
+    assistant turn are in both; no mask covers them."""
+    base = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     last = base.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    kept = base.join(last, "conv_id", "left").where("last is null or turn <= last")
     reply = (base.join(last, "conv_id").where("turn = last and role = 'assistant'")
-             .groupBy("conv_id").agg(F.min("text").alias("text")))
-    other = (last.select("conv_id", "last").join(reply.select((F.col("conv_id") - 1).alias("conv_id"), "text"), "conv_id")
+             .groupBy("conv_id").agg(F.first("last").alias("last"), F.min("text").alias("text")))
+    follow = next_ids(reply.select(F.col("conv_id").cast("long").alias("id")))
+    other = (reply.select("conv_id", "last").join(follow, F.col("conv_id") == F.col("id"))
+             .join(reply.select(F.col("conv_id").alias("next"), "text"), "next")
              .select("conv_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), "text"))
-    chosen = kept.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    before = kept.where("last is null or turn < last or role <> 'assistant'").select("conv_id", "turn", "role", "text")
+    chosen = base.withColumnRenamed("conv_id", "pair_id")
+    replaced = F.coalesce((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.lit(False))
+    before = base.join(last, "conv_id", "left").where(~replaced).select("conv_id", "turn", "role", "text")
     return chosen, before.unionByName(other).withColumnRenamed("conv_id", "pair_id")
 
 
@@ -97,13 +121,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-kept AS (SELECT c.*, l.last FROM conversations c LEFT JOIN last l ON c.conv_id = l.conv_id
-         WHERE l.last IS NULL OR c.turn <= l.last),
-reply AS (SELECT c.conv_id, min(c.text) AS text FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn = l.last
+kept AS (SELECT c.*, l.last FROM conversations c LEFT JOIN last l ON c.conv_id = l.conv_id),
+reply AS (SELECT c.conv_id, any_value(l.last) AS last, min(c.text) AS text
+          FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn = l.last
           WHERE c.role = 'assistant' GROUP BY c.conv_id),
+follow AS (SELECT conv_id, last, lead(conv_id) OVER (ORDER BY conv_id) AS next FROM reply),
 r AS (
-  SELECT conv_id, turn, role, text FROM kept WHERE last IS NULL OR turn < last OR role <> 'assistant'
-  UNION ALL SELECT l.conv_id, l.last, 'assistant', y.text FROM last l JOIN reply y ON y.conv_id = l.conv_id + 1),
+  SELECT conv_id, turn, role, text FROM kept WHERE NOT coalesce(turn = last AND role = 'assistant', false)
+  UNION ALL SELECT f.conv_id, f.last, 'assistant', y.text FROM follow f JOIN reply y ON y.conv_id = f.next),
 a AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM kept),
 b AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM r),
 diff AS (

@@ -187,34 +187,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     ``n_removed`` and the removed word spans."""
     if not 1 <= anchor <= window:
         raise ValueError("1 <= anchor <= window")
-    own = {"did", "check", "copy", "seeds", "firsts", "n_words", "n_removed", "removed"}
-    held = [c for c in docs.columns if c.lower() not in own]
+    held = [c for c in docs.columns if c.lower() not in {*NAMES, "text"}]
     text = F.col("text").cast("string")
-    base = docs.select(*[F.col(f"`{c}`") for c in held if c != "text"], text.alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.hash(text).alias("check"))
-    key = ["did", "check"]
+    base = docs.select(*[F.col(f"`{c}`") for c in held], text.alias("text"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__did"), F.hash(text).alias("__check"))
+    key = ["__did", "__check"]
     grams = F.arrow_udf(_anchors(window, anchor), "array<long>")
     # one row per document with its anchors, and what tells equal texts
     scan = written(base.select(*key, text_key(F.col("text")).alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
                                grams("text").alias("anchors")), "anchors")
-    copies = (scan.groupBy("h1", "h2").agg(F.min("did").alias("first_did"), F.max("did").alias("last_did"))
+    copies = (scan.groupBy("h1", "h2").agg(F.min("__did").alias("first_did"), F.max("__did").alias("last_did"))
               .where("last_did > first_did").drop("last_did"))
-    copies = (scan.select(*key, "h1", "h2").join(copies, ["h1", "h2"]).where("did > first_did")
-              .select(*key, F.lit(True).alias("copy")).distinct())
+    copies = (scan.select(*key, "h1", "h2").join(copies, ["h1", "h2"]).where("__did > first_did")
+              .select(*key, F.lit(True).alias("__copy")).distinct())
     repeated = (scan.select(F.explode("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("n"))
                 .where("n > 1").select("a"))
     seeds = (scan.select(*key, F.explode(F.array_distinct("anchors")).alias("a")).join(repeated, "a")
-             .groupBy(*key).agg(F.collect_set("a").alias("seeds")))
+             .groupBy(*key).agg(F.collect_set("a").alias("__seeds")))
     seeded = base.join(copies, key, "left").join(seeds, key, "left")
-    seeded = seeded.withColumn("seeds", F.when(F.col("copy"), F.lit(None)).otherwise(F.col("seeds")))
-    windows = seeded.mapInArrow(_windows(window, anchor), WINDOWS)
+    seeded = seeded.withColumn("__seeds", F.when(F.col("__copy"), F.lit(None)).otherwise(F.col("__seeds")))
+    windows = (seeded.select(F.col("__did").alias("did"), F.col("__check").alias("check"), "text",
+                             F.col("__copy").alias("copy"), F.col("__seeds").alias("seeds"))
+               .mapInArrow(_windows(window, anchor), WINDOWS))
     firsts = (windows.groupBy("w1", "w2").agg(F.min("place").alias("place"))
               .select(F.arrow_udf(_unplaced, "did long, check int, start long")("place").alias("o"))
-              .groupBy(F.col("o.did").alias("did"), F.col("o.check").alias("check"))
-              .agg(F.collect_list("o.start").alias("firsts")))
+              .groupBy(F.col("o.did").alias("__did"), F.col("o.check").alias("__check"))
+              .agg(F.collect_list("o.start").alias("__firsts")))
     done = seeded.join(firsts, key, "left")
-    cut = _remover(window, anchor)("text", F.coalesce("copy", F.lit(False)), "seeds", "firsts")
-    return with_fields(done, cut, NAMES).drop("did", "check", "copy", "seeds", "firsts")
+    cut = _remover(window, anchor)("text", F.coalesce("__copy", F.lit(False)), "__seeds", "__firsts")
+    return with_fields(done, cut, NAMES).drop("__did", "__check", "__copy", "__seeds", "__firsts")
 
 
 def word_digest(text):

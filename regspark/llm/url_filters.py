@@ -4,10 +4,12 @@ Every path is split into segments.  Numbers (with or without an extension) and l
 hexadecimal segments become wildcards by their form; a literal segment becomes a wildcard if
 its place in the tree (same host, same segments before it) has at least ``MIN_VALUES``
 different values and these are at least ``VARIABLE_SHARE`` of the pages there.  Templates of a
-host that differ in one literal segment are branches of one node: they are merged if a
-chi-square test finds their mixes of blocked, allowed and unlabelled pages alike.  Labels come
-from the rules.  A page without a rule is blocked if its template's blocked share, smoothed by
-the share over all labelled pages, is at least ``PURITY``; otherwise it is allowed.
+host that differ in one literal segment are branches of one node: they are merged if at least
+two of them have labelled pages and a chi-square test finds their mixes of blocked and allowed
+pages alike; branches without labelled pages go with them.  Labels come from the rules.  A page
+without a rule is blocked if its template, or what that was merged into, has labelled pages
+whose blocked share, smoothed by the share over all labelled pages, is at least ``PURITY``;
+otherwise it is allowed.
 
 Hot hosts: everything is counted per distinct (host, path) first and summed with partial
 aggregation; pages meet their verdict in an equi-join that Spark can split.
@@ -87,13 +89,15 @@ def merged(stats: DataFrame) -> DataFrame:
                .withColumn("branch", F.concat(
                    F.lit("/"), F.array_join(F.transform("parts", lambda p, k: F.when(k == F.col("i"), F.lit("*"))
                                                         .otherwise(p)), "/"))))
-    kinds = ["blocked", "allowed", "unlabelled"]
+    kinds = ["blocked", "allowed"]
+    labelled = F.col("blocked") + F.col("allowed")
     sums = options.groupBy("host", "branch", "i").agg(
-        F.count("*").alias("m"), F.sum("n").alias("n_pages"), *[F.sum(k).alias(k) for k in kinds],
-        *[F.sum(F.col(k) * F.col(k) / F.col("n")).alias(f"{k}_sq") for k in kinds])
-    # chi-square of a (members x kinds) table; kinds that nowhere occur give no freedom
-    chi = sum((F.when(F.col(k) > 0, F.col(f"{k}_sq") * F.col("n_pages") / F.col(k)).otherwise(F.lit(0.0)) for k in kinds),
-              F.lit(0.0)) - F.col("n_pages")
+        F.count(F.when(labelled > 0, 1)).alias("m"), F.sum("n").alias("n_pages"), F.sum(labelled).alias("n_labelled"),
+        *[F.sum(k).alias(k) for k in kinds],
+        *[F.sum(F.when(labelled > 0, F.col(k) * F.col(k) / labelled)).alias(f"{k}_sq") for k in kinds])
+    # chi-square of a (labelled members x kinds) table; a kind that does not occur gives no freedom
+    chi = sum((F.when(F.col(k) > 0, F.col(f"{k}_sq") * F.col("n_labelled") / F.col(k)).otherwise(F.lit(0.0)) for k in kinds),
+              F.lit(0.0)) - F.col("n_labelled")
     freedom = (F.col("m") - 1) * (sum(((F.col(k) > 0).cast("int") for k in kinds), F.lit(0)) - 1)
     alike = sums.where("m > 1").where(chi <= freedom + 2 * F.sqrt(2 * freedom) + 1e-6).select("host", "branch", "i", "n_pages")
     best = W.partitionBy("host", "template").orderBy(F.desc("n_pages"), "i")
@@ -113,13 +117,13 @@ def judge_urls(pages: DataFrame, rules: list = RULES) -> DataFrame:
     count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     by_template = stats.groupBy("host", "template").agg(
         F.sum("n").alias("n"), count(F.col("label") == "block").alias("blocked"),
-        count(F.col("label") == "allow").alias("allowed"), count(F.col("label").isNull()).alias("unlabelled"))
+        count(F.col("label") == "allow").alias("allowed"))
     tree = merged(by_template)
     share = paths.agg(F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("b"),
                       F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("l")).first()
     prior = share["b"] / share["l"] if share["l"] else 0.0
     pure = (tree.groupBy("host", "branch").agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l"))
-            .where((F.col("b") + SMOOTHING * prior) / (F.col("l") + SMOOTHING) >= PURITY).select("host", "branch"))
+            .where(F.col("l") > 0).where((F.col("b") + SMOOTHING * prior) / (F.col("l") + SMOOTHING) >= PURITY).select("host", "branch"))
     blocked = (stats.where("label is null").select("host", "path", "template")
                .join(tree.select("host", "template", "branch"), ["host", "template"])
                .join(pure, ["host", "branch"], "left_semi").select("host", "path", F.lit("block").alias("by_template")))
@@ -166,21 +170,20 @@ tmpl AS (
 stats AS (SELECT p.*, t.template FROM paths p JOIN tmpl t ON p.host = t.host AND p.path = t.path),
 bt AS (
   SELECT host, template, sum(n) AS n, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS blocked,
-         sum(CASE WHEN label = 'allow' THEN n ELSE 0 END) AS allowed,
-         sum(CASE WHEN label IS NULL THEN n ELSE 0 END) AS unlabelled FROM stats GROUP BY ALL),
+         sum(CASE WHEN label = 'allow' THEN n ELSE 0 END) AS allowed FROM stats GROUP BY ALL),
 lit AS (SELECT *, str_split(substr(template, 2), '/') AS parts FROM bt),
 opt0 AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM lit),
 opt AS (
   SELECT *, '/' || array_to_string(list_concat(list_concat(parts[1:i - 1], ['*']), parts[i + 1:]), '/') AS branch
   FROM opt0 WHERE parts[i] <> '*'),
 sums AS (
-  SELECT host, branch, i, count(*) AS m, sum(n)::DOUBLE AS n_pages, sum(blocked)::DOUBLE AS b, sum(allowed)::DOUBLE AS a,
-         sum(unlabelled)::DOUBLE AS u, sum(blocked * blocked / n::DOUBLE) AS bq, sum(allowed * allowed / n::DOUBLE) AS aq,
-         sum(unlabelled * unlabelled / n::DOUBLE) AS uq FROM opt GROUP BY ALL),
+  SELECT host, branch, i, count(*) FILTER (blocked + allowed > 0) AS m, sum(n) AS n_pages, sum(blocked)::DOUBLE AS b,
+         sum(allowed)::DOUBLE AS a, sum(blocked + allowed)::DOUBLE AS l,
+         sum(blocked * blocked / (blocked + allowed)::DOUBLE) FILTER (blocked + allowed > 0) AS bq,
+         sum(allowed * allowed / (blocked + allowed)::DOUBLE) FILTER (blocked + allowed > 0) AS aq FROM opt GROUP BY ALL),
 tested AS (
-  SELECT *, (CASE WHEN b > 0 THEN bq * n_pages / b ELSE 0 END) + (CASE WHEN a > 0 THEN aq * n_pages / a ELSE 0 END)
-            + (CASE WHEN u > 0 THEN uq * n_pages / u ELSE 0 END) - n_pages AS chi,
-         (m - 1) * ((b > 0)::INT + (a > 0)::INT + (u > 0)::INT - 1) AS freedom FROM sums WHERE m > 1),
+  SELECT *, (CASE WHEN b > 0 THEN bq * l / b ELSE 0 END) + (CASE WHEN a > 0 THEN aq * l / a ELSE 0 END) - l AS chi,
+         (m - 1) * ((b > 0)::INT + (a > 0)::INT - 1) AS freedom FROM sums WHERE m > 1),
 chosen AS (
   SELECT host, template, branch FROM (
     SELECT o.host, o.template, o.branch, row_number() OVER (PARTITION BY o.host, o.template ORDER BY t.n_pages DESC, o.i) AS r
@@ -190,7 +193,7 @@ tree AS (SELECT bt.*, coalesce(c.branch, bt.template) AS branch
          FROM bt LEFT JOIN chosen c ON bt.host = c.host AND bt.template = c.template),
 prior AS (SELECT coalesce(sum(CASE WHEN label = 'block' THEN n END)::DOUBLE / nullif(sum(CASE WHEN label IS NOT NULL THEN n END), 0), 0) AS p FROM paths),
 pure AS (SELECT host, branch FROM tree GROUP BY ALL
-         HAVING (sum(blocked) + 4.0 * (SELECT p FROM prior)) / (sum(blocked + allowed) + 4.0) >= 0.9),
+         HAVING sum(blocked + allowed) > 0 AND (sum(blocked) + 4.0 * (SELECT p FROM prior)) / (sum(blocked + allowed) + 4.0) >= 0.9),
 bad AS (SELECT s.host, s.path FROM stats s JOIN tree t ON s.host = t.host AND s.template = t.template
         JOIN pure p ON p.host = t.host AND p.branch = t.branch WHERE s.label IS NULL)
 SELECT l.page_id, l.host, l.path, l.rule,

@@ -127,6 +127,24 @@ def test_chat(spark):
     assert preference_format(*preference_sides(table.limit(0))).count() == 0
 
 
+def test_chat_keeps_every_turn_and_finds_the_next_reply(spark):
+    from regspark.llm.chat_format import next_ids, preference_format, preference_sides
+    turns = [(5, 0, "user", "q5"), (5, 1, "assistant", "a5"), (5, 2, "user", "thanks"), (9, 0, "user", "no reply"),
+             (40, 0, "user", "q40"), (40, 1, "assistant", "a40"), (40, 2, "tool", None), (1 << 40, 0, None, "r"),
+             (1 << 40, None, "assistant", "null turn"), (1 << 40, 3, "assistant", "big")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    chosen, rejected = preference_sides(table)
+    assert chosen.count() == len(turns) and rejected.count() == len(turns) - 1      # the last one has no other reply
+    rows = {r.pair_id: r for r in preference_format(chosen, rejected).collect()}
+    assert "a5<|end|>" in rows[5].chosen and "a40<|end|>" in rows[5].rejected and rows[5].rejected.endswith("thanks<|end|>\n")
+    assert "big<|end|>" in rows[40].rejected and rows[9].chosen == rows[9].rejected == ""
+    assert [rows[5].rejected[a:b] for a, b in zip(rows[5].rejected_mask[::2], rows[5].rejected_mask[1::2])] == ["a40<|end|>\n"]
+    ids = [-(1 << 63), -70000, -1, 0, 1, 8191, 8192, 1 << 26, (1 << 26) + 1, (1 << 63) - 1]
+    got = {r.id: r.next for r in next_ids(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
+    assert got == dict(zip(ids, [*ids[1:], None]))
+    assert next_ids(spark.createDataFrame([], "id long")).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
     from regspark.llm.tables import written
@@ -144,3 +162,19 @@ def test_pipeline(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, odd, path).columns == odd.columns and stage(spark, odd.limit(0), path).count() == 0
     assert sum(r.doc_id in (7, 8, 11) for r in P.near_dedup(spark, odd, path).collect()) == 1
+
+
+def test_pipeline_carries_columns_named_like_its_own(spark):
+    import corpus_pipeline as P
+    from regspark.llm.tables import written
+    path = "/root/testdata/sf0.001"
+    own = [*CLASH, "check", "firsts", "n_removed", "removed", "reason", "doc_key", "item_id", "text_key", "range_no"]
+    odd = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "n_chars").withColumns(
+        {c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in own})
+    docs = odd
+    for _, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, path), "clash")
+        rows = docs.collect()
+        assert docs.columns == odd.columns and rows
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in own)
+    assert P.packing(spark, docs, path).count() > 0

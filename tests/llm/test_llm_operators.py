@@ -379,10 +379,25 @@ def test_url_templates_and_purity(spark):
     rules = [("h.net", f"/shop/{i}", "block") for i in range(1, 6)]
     rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     by = {r.path: r.verdict for r in rows}
-    assert by["/shop/0"] == "block" and by["/shop/6"] == "block" or by["/shop/0"] == "allow"
+    assert by["/shop/0"] == "block" and by["/shop/6"] == "block" and by["/shop/99x"] == "allow"
     assert all(v == "allow" for p, v in by.items() if p.startswith("/news/"))
 
 
+def test_urls_without_labels_follow_alike_branches_only(spark):
+    from regspark.llm.url_filters import judge_urls
+
+    def verdicts(rules):
+        urls = [f"http://h.net/{part}/page-{i}" for part in ("es", "fr", "en", "de") for i in "abcdefghijklmnopqrst" for _ in (1, 2)]
+        rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+        return {r.path.split("/")[1]: r.verdict for r in rows}
+    # two labelled branches are alike: those without labels go with them
+    assert verdicts([("net", "/es/", "block"), ("net", "/fr/", "block")]) == dict.fromkeys(("es", "fr", "en", "de"), "block")
+    # they differ, or there is one only, or none is labelled on this host: nothing is inherited
+    assert verdicts([("net", "/es/", "block"), ("net", "/fr/", "allow")]) == {"es": "block", "fr": "allow", "en": "allow", "de": "allow"}
+    assert verdicts([("net", "/es/", "block")]) == {"es": "block", "fr": "allow", "en": "allow", "de": "allow"}
+    assert set(verdicts([("org", "/", "block")]).values()) == {"allow"}
+
+
 def test_chat_prompt_is_the_longest_common_prefix(spark):
     from regspark.llm.chat_format import preference_format
     schema = "pair_id long, turn long, role string, text string"
