@@ -64,6 +64,36 @@ def segment_of(code: Column | str, rules: list[tuple[int, int, str]] = CNAE_SECT
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+def section_rules(spark, sections: list[tuple[int, int, str]] = CNAE_SECTIONS) -> DataFrame:
+    """The sections as a rule table ``(prefix, segment)``: a row for every two-digit division."""
+    return spark.createDataFrame([(f"{d:02d}", s) for lo, hi, s in sections for d in range(lo, hi + 1)], "prefix string, segment string")
+
+
+def segment_by_rules(df: DataFrame, rules: DataFrame, code_col: str, out_col: str = "segment",
+                     prefix_col: str = "prefix", segment_col: str = "segment", level_col: str | None = None) -> DataFrame:
+    """Add the segment of the longest rule prefix that a hierarchical code starts with.
+
+    ``rules`` may hold prefixes of any length; of several rules with one prefix the least segment
+    counts.  One equi-join over the prefixes of the distinct codes, for the lengths that the rules
+    have; ``level_col`` adds the length of the prefix that won.  No rule: nulls.  A rule with an
+    empty prefix is the default of all codes that are not null."""
+    r = (rules.where(F.col(prefix_col).isNotNull()).groupBy(F.col(prefix_col).alias("__prefix"))
+         .agg(F.min(segment_col).alias("__segment")))
+    lengths = sorted(x[0] for x in r.select(F.length("__prefix")).distinct().collect())       # the levels of the hierarchy
+    code = F.col(f"`{code_col}`").cast("string")
+    codes = df.select(code.alias("__code")).where("__code is not null").distinct()
+    prefixes = F.array(*[F.when(F.length("__code") >= n, F.substring("__code", 1, n)) for n in lengths] or [F.lit(None).cast("string")])
+    hits = codes.select("__code", F.explode(F.array_compact(prefixes)).alias("__prefix")).join(r, "__prefix")
+    best = hits.groupBy("__code").agg(F.max_by("__segment", F.length("__prefix")).alias(out_col),
+                                      *([F.max(F.length("__prefix")).alias(level_col)] if level_col else []))
+    return df.join(best, code == F.col("__code"), "left").drop("__code")
+
+
+def segment_level_counts(df: DataFrame, rules: DataFrame, code_col: str, **kw) -> DataFrame:
+    """Rows per level of the rule that decided (null: none) and segment."""
+    return segment_by_rules(df, rules, code_col, level_col="level", **kw).groupBy("level", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+
 def segment_counts(df: DataFrame, by: list[str], distinct_col: str | None = None) -> DataFrame:
     """Companies per segment: ``count(*)`` and optionally ``count(distinct distinct_col)``."""
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -75,8 +105,11 @@ def segment_counts(df: DataFrame, by: list[str], distinct_col: str | None = None
 # --- fixed values: which dimension resolves which column of the joined registry table --
 CODE_DIMENSIONS = {
     "cnae": "Cnaes", "mot_sit_cad": "Motivos", "municipio": "Municipios", "nat_jur_emp": "Naturezas",
-    "pais": "Paises", "qual_resp_emp": "Qualificacoes", "qual_soc": "Qualificacoes",
+    "pais": "Paises", "pais_soc": "Paises", "qual_resp_emp": "Qualificacoes", "qual_soc": "Qualificacoes",
+    "qual_rep": "Qualificacoes",
 }
+# columns that hold several codes, separated by commas
+CODE_LIST_DIMENSIONS = {"cnae_2": "Cnaes"}
 # ----------------------------------------------------------------------------------------
 
 
@@ -95,11 +128,32 @@ def load_dimensions(spark, root: str, names: list[str] = DIMENSION_NAMES, snapsh
     return out
 
 
+def lookup_list(df: DataFrame, dim: DataFrame, list_col: str, out_col: str, sep: str = ",",
+                dim_code: str = "code", dim_desc: str = "description",
+                max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Add ``out_col``: the descriptions (array, in order; null for an unknown code) of the codes
+    in ``list_col``, separated by ``sep``.  A null or empty list has a null result.
+
+    Every distinct list is resolved once; rows meet its result in an equi-join."""
+    codes = F.transform(F.split(F.col("__list"), F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E"))), lambda c: F.trim(c))
+    lists = df.select(F.col(f"`{list_col}`").alias("__list")).where("trim(__list) <> ''").distinct()
+    parts = lists.select("__list", F.posexplode(codes).alias("__pos", "__one"))
+    named = lookup(parts, dim, "__one", "__desc", dim_code, dim_desc, max_bytes)
+    whole = (named.groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("__pos", "__desc"))).alias("__all"))
+             .select("__list", F.col("__all.__desc").alias(out_col)))
+    return df.join(whole, F.col(f"`{list_col}`") == F.col("__list"), "left").drop("__list")
+
+
 def resolve_codes(df: DataFrame, dimensions: dict[str, DataFrame], codes: dict[str, str] = CODE_DIMENSIONS,
-                  suffix: str = "_desc") -> DataFrame:
-    """Add ``<column>_desc`` for every coded column that ``df`` has and a dimension resolves."""
-    return lookup_dimensions(df, {c: (dimensions[d], c + suffix) for c, d in codes.items()
-                                  if c in df.columns and d in dimensions})
+                  suffix: str = "_desc", lists: dict[str, str] = CODE_LIST_DIMENSIONS) -> DataFrame:
+    """Add ``<column>_desc`` for every coded column that ``df`` has and a dimension resolves; a
+    column of code lists gets an array of descriptions."""
+    out = lookup_dimensions(df, {c: (dimensions[d], c + suffix) for c, d in codes.items()
+                                 if c in df.columns and d in dimensions})
+    for c, d in lists.items():
+        if c in df.columns and d in dimensions:
+            out = lookup_list(out, dimensions[d], c, c + suffix)
+    return out
 
 
 def load_dimension(spark, paths, dialect=None) -> DataFrame:

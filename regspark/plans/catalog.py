@@ -14,31 +14,36 @@ from regspark.functions import clean as C
 from regspark.functions import links as L
 from regspark.functions import names as N
 from regspark.functions.keys import padded_key, prefix_key
-from regspark.operators.counts import row_counts, union_shards
+from regspark.operators.counts import indexed_union, row_counts, union_shards
 from regspark.operators.dedup import dedup_effect, dedup_full_row
-from regspark.operators.dims import load_dimensions, lookup, segment_counts, segment_of
+from regspark.operators.dims import (
+    load_dimensions, lookup, lookup_list, section_rules, segment_counts, segment_level_counts, segment_of,
+)
 from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
 )
 from regspark.plans.analogues import companies, establishments, partners, snapshot_of_size, table, table_versions
 from regspark.plans.company_partners import company_partner_counts, company_partners
-from regspark.plans.registry_job import clean_registry, registry_rejects, run_registry_job
+from regspark.plans.registry_job import clean_registry, registry_output, registry_rejects, run_registry_job
 from regspark.plans.staging import (
-    PART_SNAPSHOT_COL, label_shards, stage_archives, stage_registry, stage_text, write_lines,
+    PART_SNAPSHOT_COL, label_shards, move_file, publish_shards, remove_files, stage_archives, stage_registry,
+    stage_text, write_lines,
 )
 from regspark.schemas import COMMA_HEADERLESS, COMMA_WITH_HEADER, DIMENSION_NAMES, REGISTRY, SEMICOLON_WITH_HEADER
-from regspark.session import staging_path
+from regspark.session import cut_lineage, staging_path
 from regspark.sinks.reports import preview, schema_report
-from regspark.sinks.writers import EXPORT_DIALECT, conversion_file_status, csv_to_parquet, export_csv, write_parquet, write_shards
+from regspark.sinks.writers import EXPORT_DIALECT, FILE_ERROR_SCHEMA, conversion_file_status, csv_to_parquet, export_csv, write_parquet, write_shards
 from regspark.sources.archives import first_member_per_archive, read_archive_members, read_archives
 from regspark.sources.delimited import (
-    read_delimited, read_inferred, read_positional, read_split_malformed, read_with_header,
-    rename_positional,
+    read_delimited, read_inferred, read_positional, read_quoted_records, read_split_malformed,
+    read_with_header, rename_positional,
 )
 from regspark.sources.shards import scan_shards, scan_snapshots
 from regspark.operators.dims import load_dimension
-from regspark.streaming.incremental import ingest_new_archives, ingest_new_shards
+from regspark.streaming.incremental import (
+    follow_shards, followed_shards, ingest_new_archives, ingest_new_shards, ingested_archives,
+)
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -588,7 +593,7 @@ def _job_archives(spark: SparkSession, sf_dir: str) -> str:
 
 def q_registry_job_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job from zip archives in one folder; a truncated archive does not lose a snapshot."""
-    return spark.read.parquet(_job_archives(spark, sf_dir)).select(*JOB_COLUMNS)
+    return registry_output(spark, _job_archives(spark, sf_dir)).select(*JOB_COLUMNS)
 
 
 def q_registry_job_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,7 +680,153 @@ def q_listing_to_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_plan(wanted, names, present)
 
 
+# --- inputs that change, or that cannot be read ------------------------------------------------
+
+BOTH_SNAPSHOTS = ["2023-05", "2025-01"]
+
+
+def q_changed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards whose rows follow their files: a broken one is repaired under its name, one comes
+    late, one is removed between two runs; a third run finds nothing to do."""
+    part = table(spark, sf_dir, "part")
+    landing, held = staging_path(spark, "shard-landing"), staging_path(spark, "shard-table")
+    labelled, shard = label_shards(part, "Part", PART_SNAPSHOT_COL), F.pmod(F.col(PART_SNAPSHOT_COL), F.lit(10))
+    broken = F.when(shard == 3, F.lit(0.0)).otherwise(F.col("p_retailprice"))
+    publish_shards(spark, labelled.where(shard != 5).withColumn("p_retailprice", broken), landing)
+    follow_shards(spark, f"{landing}/*/*.csv", part.schema, held)
+    publish_shards(spark, labelled.where(shard.isin(3, 5)), landing)
+    remove_files(spark, f"{landing}/*/Part9.csv")
+    for _ in range(2):
+        follow_shards(spark, f"{landing}/*/*.csv", part.schema, held)
+    return followed_shards(spark, held, part.schema).select(*part.columns, "snapshot")
+
+
+def q_republished_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of archives: truncated ones are rejected, then replaced under their names by whole
+    ones, which carry an older modification time; another is removed."""
+    part = table(spark, sf_dir, "part")
+    landing, sink, ckpt = (staging_path(spark, n) for n in ("zip-landing", "zip-sink", "zip-ckpt"))
+    text = staging_path(spark, "zip-again")
+    stage_text(part, "Part", PART_SNAPSHOT_COL, text)
+    own = stage_archives(spark, text, landing, corrupt_shards=("Part7", "Part9"))
+    for shard in ("Part7", "Part9"):
+        move_file(spark, f"{own}/{shard}-2025-01.zip", f"{text}/{shard}.zip")
+        move_file(spark, f"{own}/{shard}-2025-01-truncated.zip", f"{own}/{shard}-2025-01.zip")
+    ingest_new_archives(spark, landing, part.schema, sink, ckpt)
+    move_file(spark, f"{text}/Part9.zip", f"{own}/Part9-2025-01.zip")
+    remove_files(spark, f"{own}/Part1-*.zip")
+    for _ in range(2):
+        ingest_new_archives(spark, landing, part.schema, sink, ckpt)
+    return ingested_archives(spark, sink, part.schema).select(*part.columns)
+
+
+def _job_files(spark: SparkSession, inputs: dict[str, DataFrame], root: str) -> None:
+    """Job inputs as one file for each of four shards, dealt by the first column."""
+    for label, df in inputs.items():
+        shard = F.pmod(F.xxhash64(df.columns[0]), F.lit(4)).cast("string")
+        publish_shards(spark, df.withColumn("shard_name", F.concat(F.lit(label), shard)), root)
+
+
+def q_registry_job_repaired_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partner shards with broken names are repaired under their file names; the incremental run
+    finds their versions changed and does the snapshots again."""
+    inputs, root, out = _job_inputs(spark, sf_dir), staging_path(spark, "job-repair-src"), staging_path(spark, "job-repair-out")
+    schemas = _job_schemas(inputs)
+    _job_files(spark, {**inputs, "Socios": inputs["Socios"].withColumn("nome_socio", F.lit("broken"))}, root)
+    run = lambda: run_registry_job(spark, root, out, schemas=schemas, snapshots=BOTH_SNAPSHOTS, incremental=True)
+    run()
+    _job_files(spark, {"Socios": inputs["Socios"]}, root)
+    run()
+    return run().select(*JOB_COLUMNS)
+
+
+def q_registry_job_emptied_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot is run again after its establishments changed so that none joins: its old rows go."""
+    inputs, root, out = _job_inputs(spark, sf_dir), staging_path(spark, "job-empty-src"), staging_path(spark, "job-empty-out")
+    schemas = _job_schemas(inputs)
+    _job_files(spark, inputs, root)
+    run_registry_job(spark, root, out, schemas=schemas)
+    nobody = inputs["Estabelecimentos"].where("snapshot = '2025-01'").withColumn("fantasia", F.lit("nobody"))
+    _job_files(spark, {"Estabelecimentos": nobody}, root)
+    return run_registry_job(spark, root, out, schemas=schemas, snapshots=["2025-01"]).select(*JOB_COLUMNS)
+
+
+def q_registry_job_mended_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected lines before and after the file that held them was mended."""
+    inputs, root, out = _job_inputs(spark, sf_dir), staging_path(spark, "job-mend-src"), staging_path(spark, "job-mend-out")
+    schemas = _job_schemas(inputs)
+    _job_files(spark, inputs, root)
+    counts = []
+    for phase in ("before", "after"):
+        again = inputs["Socios"].withColumn("shard_name", F.lit("Socios9"))
+        publish_shards(spark, again.withColumn("extra", F.lit("too many")) if phase == "before" else again, root)
+        run_registry_job(spark, root, out, schemas=schemas, snapshots=BOTH_SNAPSHOTS, incremental=True)
+        n = registry_rejects(spark, out).groupBy().agg(F.count(F.lit(1)).alias("n"))
+        counts.append(cut_lineage(n.select(F.lit(phase).alias("phase"), "n"), spark, "rejects"))
+    return counts[0].unionByName(counts[1])
+
+
+def q_indexed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard of every snapshot concatenated, rows numbered anew in (path, offset) order."""
+    part, root = table(spark, sf_dir, "part"), staging_path(spark, "index-src")
+    publish_shards(spark, label_shards(part, "Part", PART_SNAPSHOT_COL), root, order=["p_partkey"])
+    frames = [read_delimited(spark, f"{root}/{snap}/*.csv", part.schema) for snap in BOTH_SNAPSHOTS]
+    return indexed_union(frames).select("index", *part.columns)
+
+
+def q_scan_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text as ``scan_latin1_csv``, its quoted line breaks found by quote parity instead
+    of ``multiLine``, so that its files are split."""
+    d = table(spark, sf_dir, "documents")
+    dialect = SEMICOLON_WITH_HEADER.with_(multi_line=True)
+    root = staging_path(spark, "quoted")
+    d.write.options(**dialect.write_options()).csv(root)
+    return read_quoted_records(spark, root, d.schema, dialect)
+
+
+def q_conversion_unreadable_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a file that cannot be read (named as gzip, but it is not): the others are converted."""
+    part, root = table(spark, sf_dir, "part"), staging_path(spark, "unreadable-src")
+    labelled = label_shards(part, "Part", PART_SNAPSHOT_COL)
+    publish_shards(spark, labelled.where("shard_name <> 'Part7'"), root)
+    publish_shards(spark, labelled.where("shard_name = 'Part7'"), root, suffix=".csv.gz")
+    errors: list = []
+    out = staging_path(spark, "unreadable-out")
+    status = csv_to_parquet(spark, root, out, {"part": ("Part", part.schema)}, errors=errors)
+    failed = spark.createDataFrame(errors, FILE_ERROR_SCHEMA).groupBy("table_name").agg(F.count(F.lit(1)).alias("n_failed"))
+    stored = spark.read.parquet(f"{out}/part").agg(F.count(F.lit(1)).alias("n_stored"), F.lit("part").alias("table_name"))
+    return status.select("table_name", "status", "n_rows").join(failed, "table_name").join(stored, "table_name")
+
+
+def q_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of codes resolved by a dimension, in order; codes that it lacks are marked."""
+    p = table(spark, sf_dir, "part")
+    lists = p.select("p_partkey", F.concat_ws(",", F.col("p_size") % 25, F.col("p_size") * 7 % 30).alias("codes"))
+    dim = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("description"))
+    named = lookup_list(lists, dim, "codes", "names")
+    return named.withColumn("names", F.array_join("names", "|", "?"))
+
+
+def q_segment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity codes by a rule table with two levels (sections, and three-digit exceptions made
+    from the suppliers): rows per level that decided."""
+    p = table(spark, sf_dir, "part").select(F.format_string("%07d", F.col("p_partkey") * 7919 % 10000000).alias("code"))
+    deep = table(spark, sf_dir, "supplier").select(
+        F.format_string("%03d", F.col("s_suppkey") * 37 % 1000).alias("prefix"), F.format_string("S%02d", F.col("s_nationkey")).alias("segment"))
+    return segment_level_counts(p, section_rules(spark).unionByName(deep), "code")
+
+
 QUERIES = {
+    "changed_shards": q_changed_shards,
+    "republished_archives": q_republished_archives,
+    "registry_job_repaired_shard": q_registry_job_repaired_shard,
+    "registry_job_emptied_snapshot": q_registry_job_emptied_snapshot,
+    "registry_job_mended_rejects": q_registry_job_mended_rejects,
+    "indexed_union": q_indexed_union,
+    "scan_quoted_breaks": q_scan_quoted_breaks,
+    "conversion_unreadable_file": q_conversion_unreadable_file,
+    "code_lists": q_code_lists,
+    "segment_levels": q_segment_levels,
     "registry_job_archives": q_registry_job_archives,
     "registry_job_rejects": q_registry_job_rejects,
     "registry_job_rerun_snapshot": q_registry_job_rerun_snapshot,

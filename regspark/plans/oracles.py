@@ -134,6 +134,27 @@ _SECTION = """case when d between 1 and 3 then 'A' when d between 5 and 9 then '
     when d between 94 and 96 then 'S' when d = 97 then 'T' when d = 99 then 'U' end"""
 
 ORACLES: dict[str, str] = {
+    "changed_shards": f"select * from ({_PART_SNAP}) where p_size % 10 <> 9",
+    # of the odd sizes' shards Part1 is removed and Part7 stays truncated
+    "republished_archives": "select * from part where p_size % 10 not in (1, 7)",
+    "registry_job_repaired_shard": JOINED_BY_SNAPSHOT,
+    "registry_job_emptied_snapshot": f"select * from ({JOINED_BY_SNAPSHOT}) where snapshot = '2023-05'",
+    "registry_job_mended_rejects": "select 'before' as phase, count(*) as n from supplier union all select 'after', 0",
+    "indexed_union": """select row_number() over (order by p_size % 2, p_size % 10, p_partkey) - 1 as index, * from part""",
+    "scan_quoted_breaks": "select * from documents",
+    "conversion_unreadable_file": """select 'part' as table_name, 'partial' as status, count(*) as n_rows,
+          cast(1 as bigint) as n_failed, count(*) as n_stored from part where p_size % 10 <> 7""",
+    "code_lists": """select p_partkey, concat(p_size % 25, ',', p_size * 7 % 30) as codes,
+          concat(coalesce(a.n_name, '?'), '|', coalesce(b.n_name, '?')) as names
+        from part left join nation a on a.n_nationkey = p_size % 25 left join nation b on b.n_nationkey = p_size * 7 % 30""",
+    "segment_levels": f"""with deep as (select printf('%03d', s_suppkey * 37 % 1000) as prefix, min(printf('S%02d', s_nationkey)) as s
+            from supplier group by 1),
+          codes as (select code, cast(substring(code, 1, 2) as integer) as d from
+            (select printf('%07d', p_partkey * 7919 % 10000000) as code from part)),
+          named as (select code, {_SECTION} as section from codes)
+        select case when s is not null then 3 when section is not null then 2 end as level,
+          coalesce(s, section) as segment, count(*) as n
+        from named left join deep on prefix = substring(code, 1, 3) group by 1, 2""",
     "registry_job_archives": JOINED_BY_SNAPSHOT,
     "registry_job_rerun_snapshot": JOINED_BY_SNAPSHOT,
     "registry_job_rejects": f"""select 'socios' as table_name, snapshot, 'MalformedLine' as error_class, count(*) as n

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
-from regspark.session import qualified, staging_path
+from regspark.session import _hadoop_path, qualified, staging_path
 from regspark.sinks.writers import write_shards
 from regspark.sources.archives import _ship_by_value
 
@@ -42,6 +42,36 @@ def stage_text(df: DataFrame, table_name: str, col: str, root: str,
     return write_shards(labelled, root, dialect=dialect, mode="append")
 
 
+def publish_shards(spark: SparkSession, df: DataFrame, root: str, dialect: Dialect = REGISTRY,
+                   order: list[str] | tuple = (), suffix: str = ".csv") -> str:
+    """``df`` with ``snapshot`` and ``shard_name`` as ``<root>/<snapshot>/<shard>.csv``, one file for each
+    shard; a file of that name is replaced."""
+    draft = staging_path(spark, "publish")
+    out = df.repartition("snapshot", "shard_name")
+    write_shards(out.sortWithinPartitions("snapshot", "shard_name", *order) if order else out, draft, dialect=dialect)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(draft)
+             .select("path", F.regexp_extract("path", "snapshot=([^/]*)/", 1).alias("snapshot"),
+                     F.regexp_extract("path", "shard_name=([^/]*)/", 1).alias("shard")).collect())
+    for f in files:
+        move_file(spark, f["path"], f"{root}/{f['snapshot']}/{f['shard']}{suffix}")
+    return root
+
+
+def move_file(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, replacing what is there."""
+    (a, fs), (b, _) = _hadoop_path(spark, source), _hadoop_path(spark, target)
+    fs.mkdirs(b.getParent())
+    fs.delete(b, False)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def remove_files(spark: SparkSession, pattern: str) -> None:
+    p, fs = _hadoop_path(spark, pattern)
+    for found in fs.globStatus(p):
+        fs.delete(found.getPath(), True)
+
+
 _STAGED: dict[tuple, str] = {}
 
 

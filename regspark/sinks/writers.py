@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
 from regspark.sources.delimited import CORRUPT_COL
-from regspark.sources.shards import scan_shards
+from regspark.session import _hadoop_path
+from regspark.sources.shards import list_shards, scan_shards, snapshot_from_path
 
 EXPORT_DIALECT = Dialect(sep=",", header=True, encoding="UTF-8")
 
@@ -69,29 +70,70 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
+FILE_ERROR_SCHEMA = "table_name string, file string, error string"
+
+
+def _convert(files: list[str], job) -> list[tuple[str, str]]:
+    """Run ``job(files)``; if it fails, on halves, down to single files.  [(file, error)] of those
+    that fail alone: with b of n files unreadable, about b log2(n) jobs more."""
+    try:
+        job(files)
+        return []
+    except Exception as e:  # noqa: BLE001 — reported per file, as data
+        if len(files) == 1:
+            return [(files[0], f"{type(e).__name__}: {str(e).splitlines()[0][:300]}")]
+    half = len(files) // 2
+    return _convert(files[:half], job) + _convert(files[half:], job)
+
+
 def csv_to_parquet(spark: SparkSession, src_root: str, out_root: str,
                    tables: dict[str, tuple[str, T.StructType]], dialect: Dialect = REGISTRY,
-                   partition_by: tuple = ("snapshot",)) -> DataFrame:
+                   partition_by: tuple = ("snapshot",), errors: list | None = None) -> DataFrame:
     """Convert every shard of every table to Parquet, one Spark job per table.
 
-    A table that fails (missing input, unreadable text, write error) does not stop the
-    others; the result is one status row per table with the row count read back from the
-    written Parquet.
+    A table that fails (missing input, write error) does not stop the others, and a file that cannot be
+    read does not stop its table: the other files are converted, and the table's status is
+    ``partial``.  The result is one status row per table with the rows written, which the writing job
+    itself counts.  ``errors`` (a list) receives (table_name, file, error) of every such file; see
+    ``FILE_ERROR_SCHEMA``.
     """
     status = []
     for name, (keyword, schema) in tables.items():
+        path, counted = f"{out_root.rstrip('/')}/{name}", []
+
+        def job(files, schema=schema, path=path, counted=counted):
+            full = T.StructType([*schema.fields, T.StructField(CORRUPT_COL, T.StringType(), True)])
+            df = (spark.read.schema(full).options(**dialect.read_options()).option("columnNameOfCorruptRecord", CORRUPT_COL)
+                  .option("columnPruning", "false").csv(files))
+            rows = df.select("*", snapshot_from_path(F.col("_metadata.file_path")).alias("snapshot"))
+            seen = Observation()
+            good = rows.where(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL).observe(seen, F.count(F.lit(1)).alias("n"))
+            write_parquet(good, path, partition_by, mode="append")                      # bad lines are skipped
+            counted.append(seen.get["n"])
         try:
-            df = scan_shards(spark, src_root, keyword, schema, dialect, with_source=True, corrupt=True)
-            path = f"{out_root.rstrip('/')}/{name}"
-            good = df.where(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL, "source_file")   # bad lines are skipped
-            write_parquet(good, path, partition_by)
-            n = spark.read.parquet(path).count()
-            status.append((name, "ok", n, None))
+            files = list_shards(spark, src_root, keyword)
+            if not files:
+                raise FileNotFoundError(f"no shard matching {keyword!r} under {src_root!r}")
+            _start_over(spark, path)
+            failed = _convert(files, job)
+            if errors is not None:
+                errors.extend((name, f, e) for f, e in failed)
+            n = sum(counted)
+            if len(failed) == len(files):
+                status.append((name, "failed", None, failed[0][1]))
+            else:
+                status.append((name, "partial" if failed else "ok", n, "; ".join(f"{f}: {e}" for f, e in failed[:3]) or None))
         except Exception as e:  # noqa: BLE001 — reported per table, as data
             status.append((name, "failed", None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
     return spark.createDataFrame(status, STATUS_SCHEMA)
 
 
+def _start_over(spark: SparkSession, path: str) -> None:
+    """A converted table is written anew, as ``overwrite`` does."""
+    p, fs = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def conversion_file_status(spark: SparkSession, src_root: str, tables: dict[str, tuple[str, T.StructType]],
                            dialect: Dialect = REGISTRY) -> DataFrame:
     """One row per shard file: rows that convert, malformed lines (skipped), and a status

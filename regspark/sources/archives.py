@@ -1,14 +1,13 @@
 """Zip archive ingestion.
 
-``binaryFile`` lists and reads the archives (one row per archive, one task per archive
-since zip is not splittable); a ``mapInPandas`` step — the only Python stage of the
-library — verifies each archive, unpacks its members and emits their text records in
-bounded Arrow batches; the records are then parsed JVM-side with ``from_csv``.  A corrupt
-archive becomes one row with an ``error`` (and no lines) and never fails the job.
-
-An archive larger than a binary cell is listed without its content; its task opens it where
-it lies and streams the members.  If the task cannot open it, the job fails: none of its
-rows are left out.
+Spark lists the archives.  Where tasks can open them, the ``registry_zip`` data source reads
+them, a task for each member (or for several small ones), and inflates each once, checking its
+CRC meanwhile.  Archives in other stores are read whole by ``binaryFile`` and verified and unpacked by
+one task each.  Text records come in bounded Arrow batches and are parsed JVM-side with
+``from_csv``.  A corrupt archive becomes rows with an ``error``; ``split_rejects`` takes all lines of
+such an archive away, and it never fails the job.
+
+If a task cannot open an archive, the job fails: none of its rows are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regspark.schemas import REGISTRY, Dialect
+from regspark.session import cut_lineage
 from regspark.sources.delimited import CORRUPT_COL
 
 LINES_SCHEMA = T.StructType([
@@ -141,8 +141,17 @@ def read_archive_lines(spark: SparkSession, path: str, member_suffix: str | None
     """``(archive, member, line_no, line, error)`` for every record of every member.
 
     With ``multi_line_quote`` (the dialect's quote character), a record continues across
-    line breaks inside quoted fields; otherwise every physical line is a record.
+    line breaks inside quoted fields; otherwise every physical line is a record.  A damaged
+    archive has rows with an ``error``, perhaps beside lines: see ``split_rejects``.
     """
+    from regspark.sources.zip_source import OPENED, zip_lines
+    bins = spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).load(path)
+    files = [[r["path"], r["modified"]] for r in
+             bins.select("path", F.unix_micros("modificationTime").alias("modified")).collect()]    # a file list
+    if all(p.partition(":")[0] in OPENED for p, _ in files):
+        options = {"encoding": encoding, "firstMemberOnly": str(first_member_only).lower(), "batchRows": str(batch_rows),
+                   "memberSuffix": member_suffix or "", "quote": multi_line_quote or ""}
+        return zip_lines(spark, sorted(files), **options).select(*_COLS)
     fn = _unzip_lines(member_suffix, encoding, first_member_only, batch_rows, multi_line_quote)
     small, large = _archive_files(spark, path, glob_filter)
     return small.mapInPandas(fn, LINES_SCHEMA).unionByName(large.mapInPandas(fn, LINES_SCHEMA))
@@ -181,11 +190,11 @@ def read_archive_members(spark: SparkSession, path: str, glob_filter: str = "*.z
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good_lines, rejected_archives)``; rejects carry the archive and its error.
 
-    Archives are verified before any of their lines is emitted, so a damaged archive has
-    an error row and no lines: the split is two filters over one pass.
+    A member's damage may show after some of its lines: no line of a rejected archive is good.
+    Both outputs read ``lines``, so pass a written table of them.
     """
-    good = lines.where(F.col("error").isNull())
-    bad = lines.where(F.col("error").isNotNull()).select("archive", "error")
+    bad = lines.where(F.col("error").isNotNull()).select("archive", "error").groupBy("archive").agg(F.min("error").alias("error"))
+    good = lines.where(F.col("error").isNull()).join(bad.select("archive"), "archive", "left_anti").select(*lines.columns)
     return good, bad
 
 
@@ -220,7 +229,7 @@ def read_archives(spark: SparkSession, path: str, schema: T.StructType,
     """Typed rows of every archive member plus the rejected archives."""
     lines = read_archive_lines(spark, path, member_suffix, dialect.encoding, first_member_only,
                                multi_line_quote=dialect.quote if dialect.multi_line else None)
-    good, bad = split_rejects(lines)
+    good, bad = split_rejects(cut_lineage(lines, spark, "archive-lines"))       # unzipped once
     return parse_lines(good, schema, dialect, dialect.header, spread_partitions=spread_partitions), bad
 
 

@@ -46,43 +46,69 @@ def ingest_new_shards(spark: SparkSession, source_glob: str, schema: T.StructTyp
 
 def ingest_new_archives(spark: SparkSession, archive_dir: str, schema: T.StructType,
                         sink_path: str, checkpoint_path: str, dialect: Dialect = REGISTRY,
-                        member_suffix: str | None = ".csv",
-                        max_files_per_trigger: int | None = 64,
-                        spread_partitions: int | None = None) -> dict:
-    """Unpack and load zip archives not seen before (a ``binaryFile`` file-source stream).
-
-    Every micro-batch is split into rows and rejected archives (whole-archive rejection,
-    as in batch reads) and written to ``<sink>/good/batch=<id>`` and
-    ``<sink>/rejects/batch=<id>`` with overwrite: a batch replayed after a failure
-    rewrites the same folder, so the result stays exactly-once.  Read ``<sink>/good``.
-    A backlog is worked off in batches of ``max_files_per_trigger`` archives, and their
-    lines are spread over ``spread_partitions`` tasks (default: the shuffle partitions).
+                        member_suffix: str | None = ".csv", spread_partitions: int | None = None) -> dict:
+    """Unpack and load zip archives of a folder not seen before (a ``registry_zip`` stream, a task
+    for each member, archives of any size).
+
+    Every micro-batch is split into rows and rejected archives (whole-archive rejection, as in batch
+    reads) and written to ``<sink>/good/batch=<id>``, ``<sink>/rejects/batch=<id>`` and, with the versions of
+    the archives, ``<sink>/versions/batch=<id>``, each with overwrite: a batch replayed after a
+    failure rewrites the same folders, so the result stays exactly-once.  An archive that is published
+    again under its name, or removed, comes in a later batch; read ``ingested_archives``, which holds
+    the rows of the newest version of each.  Lines are spread over ``spread_partitions`` tasks (default: the
+    shuffle partitions) before parsing.
     """
-    from regspark.sources.archives import LINES_SCHEMA, _unzip_lines, parse_lines, split_rejects
+    from regspark.session import cut_lineage, qualified
+    from regspark.sources.archives import parse_lines, split_rejects
+    from regspark.sources.zip_source import zip_line_stream
 
-    r = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip")
-         .schema("path string, modificationTime timestamp, length bigint, content binary"))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    bins = r.load(archive_dir).select("path", "content")
-    fn = _unzip_lines(member_suffix, dialect.encoding, False, 10_000,
-                      dialect.quote if dialect.multi_line else None)
-    lines = bins.mapInPandas(fn, LINES_SCHEMA)
+    lines = zip_line_stream(spark, qualified(spark, archive_dir), f"{qualified(spark, checkpoint_path)}/listings", encoding=dialect.encoding, memberSuffix=member_suffix or "",
+                            quote=dialect.quote if dialect.multi_line else "")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # written twice; unpack each archive once
-        try:
-            good, bad = split_rejects(batch)
-            spread = spread_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = parse_lines(good, schema, dialect, dialect.header, spread_partitions=spread)
-            rows.write.mode("overwrite").parquet(f"{sink_path}/good/batch={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{sink_path}/rejects/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    q = (lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
-         .trigger(availableNow=True).start())
+        staged = cut_lineage(batch, batch.sparkSession, "zip-batch")      # unpacked once
+        good, bad = split_rejects(staged)
+        spread = spread_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = parse_lines(good, schema, dialect, dialect.header, keep=["archive", "member", "version"], spread_partitions=spread)
+        versions = staged.groupBy("archive").agg(F.max("version").alias("version"))
+        for df, name in ((rows, "good"), (bad, "rejects"), (versions, "versions")):
+            df.write.mode("overwrite").parquet(f"{sink_path}/{name}/batch={batch_id}")
+
+    return _finished(lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+                     .trigger(availableNow=True).start())
+
+
+def ingested_archives(spark: SparkSession, sink_path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the newest version of every archive, with ``archive`` and ``member``; an archive
+    whose newest version was rejected has none."""
+    full = T.StructType([T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
+                         T.StructField("version", T.LongType()), *schema.fields])
+    newest = (spark.read.parquet(f"{sink_path}/versions").groupBy("archive").agg(F.max("version").alias("version")))
+    rows = spark.read.schema(full).parquet(f"{sink_path}/good")
+    return rows.join(newest, ["archive", "version"], "left_semi").select("archive", "member", *schema.fieldNames())
+
+
+def _finished(q) -> dict:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return q.lastProgress or {}
+
+
+def follow_shards(spark: SparkSession, source_glob: str, schema: T.StructType, table: str,
+                  dialect: Dialect = REGISTRY) -> dict[str, int]:
+    """One incremental run over text shards whose rows follow their files: new shards are added, a
+    shard republished under its name replaces its own rows, a removed one takes them away.
+
+    Unlike ``ingest_new_shards``, whose file source knows paths only, this keeps a ledger of file
+    versions (``sources.ledger``); run it again at any time, nothing is read twice.  Read the
+    rows with ``followed_shards``."""
+    from regspark.sources.ledger import read_shard_files, sync_files
+    return sync_files(spark, source_glob, table, read_shard_files(spark, schema, dialect))
+
+
+def followed_shards(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``follow_shards`` holds, with ``snapshot`` and ``source_file``."""
+    from regspark.sources.ledger import read_synced
+    rows = read_synced(spark, table, schema)
+    return rows.withColumn("snapshot", snapshot_from_path("source_file"))

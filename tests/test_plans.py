@@ -10,7 +10,7 @@ PYTHON_NODES = ("MapInPandas", "BatchEvalPython", "ArrowEvalPython", "FlatMapGro
                 "PythonMapInArrow")
 # queries that unpack or pack zip archives
 ARCHIVE_QUERIES = {"scan_zip_archives", "zip_rejects", "first_member_per_archive", "incremental_archives",
-                   "registry_job_archives", "registry_job_rejects"}
+                   "registry_job_archives", "registry_job_rejects", "republished_archives"}
 
 
 @pytest.fixture
@@ -48,3 +48,9 @@ def test_pair_free_counts_never_join_partners_row_by_row(spark, sf_dir):
     p = plan(E.queries()["joined_row_count"](spark, sf_dir))
     # partners reach the join only as one aggregated row per prefix
     assert p.count("HashAggregate") >= 6 and "Generate" not in p
+
+
+def test_row_numbers_and_quoted_records_need_no_single_task(spark, sf_dir, inner_plans):
+    for name in ("indexed_union", "scan_quoted_breaks"):
+        inner_plans.append(plan(E.queries()[name](spark, sf_dir)))
+    assert not any("SinglePartition" in p for p in inner_plans)
