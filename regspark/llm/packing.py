@@ -27,7 +27,8 @@ from regspark.llm.words import _ship_by_value, binary_list, worker_store
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 100_000
+#: words, and pieces of words, that a worker keeps in each of two generations
+CACHED_WORDS, CACHED_PIECES = 200_000, 150_000
 
 PIECES = "doc_id long, doc_key long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -45,6 +46,26 @@ def byte_letters() -> dict:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+class Recent(dict):
+    """A cache of two generations: when it is full it becomes the older one, from which what is
+    asked for again is taken over; what is not goes with the next change.  Words that recur stay,
+    those that come once do not push them out."""
+
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self.limit, self.make, self.older = limit, make, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class WordTokens:
     """Token ids of texts, word by word: the vocabulary's pre-tokenizer never joins words
     across white space, so a word's ids do not depend on its neighbours.
@@ -60,8 +81,8 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict = {}
-        self.pieces: dict = {}
+        self.words = Recent(CACHED_WORDS, self.word)
+        self.pieces = Recent(CACHED_PIECES, self.piece)
         self.letters = byte_letters()
         # The pre-tokenizer's pattern, for these characters.
         self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -70,31 +91,18 @@ class WordTokens:
     def piece(self, piece: str) -> bytes:
         import numpy as np
         written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
-        return ids
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
         import numpy as np
         text = word.decode("utf-8", "replace")
         if self.plain.fullmatch(text) and "<|" not in text:
-            return b"".join([self.pieces.get(p) or self.piece(p) for p in self.cut(text.lower())])
+            return b"".join([self.pieces[p] for p in self.cut(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, texts: list) -> list:
         """Little-endian unsigned 32-bit ids of each text (bytes)."""
-        from itertools import islice
-        for held in (self.words, self.pieces):              # what came first is mostly what is frequent
-            if len(held) > CACHED_WORDS:
-                for k in list(islice(held, CACHED_WORDS // 2, None)):
-                    del held[k]
-        words, out = self.words, []
-        for t in texts:
-            split = t.split()
-            for w in split:
-                if w not in words:
-                    words[w] = self.word(w)
-            out.append(b"".join(map(words.__getitem__, split)))
-        return out
+        return [b"".join([self.words[w] for w in t.split()]) for t in texts]
 
 
 def texts_in_parts(texts: list, n: int = 128, most_bytes: int = 1 << 20):
