@@ -7,8 +7,12 @@ makes sketches mergeable, and equal registers become likelier with the Jaccard s
 
 1. Documents with equal sets form a class; one document speaks for it.
 2. Bands of ``ROWS`` registers are hashed; classes that share a band value are candidates.
-   Each is tied to the least class of its bucket, and connected components of these ties are
-   clusters: every link lies inside a cluster.
+   Each is tied to the least class of its bucket, if their sketches say so: the share of equal
+   registers estimates the similarity, whose complement is a metric, so two linked classes
+   are almost equally similar to the least one.  Sorted by that, a bucket is cut at the first gap that
+   is wider than a link and both errors allow; what is below it has met by chance and looks
+   for a least class of its own, ``ROUNDS`` times, after which it is tied without looking.
+   Connected components of the ties are clusters: every link lies inside a cluster.
 3. Inside clusters, pairs are estimated jointly from the two sketches and the set sizes by
    maximum likelihood; pairs near or over the threshold are confirmed on the full sets.
    Clusters of up to ``SMALL`` classes are one cell.  Larger ones are cut into chunks, each
@@ -40,6 +44,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 MARGIN = 5.0            # standard deviations that the estimate may lie below the threshold
 SMALL, CHUNK, PIVOTS, REST = 128, 96, 32, 64
+ROUNDS = 4
 
 SKETCHES = "did long, dkey long, n long, f1 long, f2 long, sketch binary"
 
@@ -169,6 +174,51 @@ def forest(rows: list, shingle: int, similarity: float) -> list:
     return links
 
 
+def equal_share(a, b):
+    """Hundredths of equal registers of pairs of sketches (Arrow binary columns)."""
+    import numpy as np
+    import pyarrow as pa
+    if not len(a):
+        return pa.array([], pa.int32())
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), -1) for c in (a, b))
+    return pa.array(((x == y).mean(axis=1) * 100).astype(np.int32))
+
+
+def first_gap(shares, gap: int):
+    """Of the hundredths in an array: the least before the first gap from 100 down that is wider
+    than ``gap``."""
+    return F.aggregate(F.sort_array(shares, asc=False), F.struct(F.lit(100).alias("last"), F.lit(False).alias("cut")),
+                       lambda acc, x: F.when(acc["cut"] | (acc["last"] - x > gap), F.struct(acc["last"].alias("last"), F.lit(True).alias("cut")))
+                       .otherwise(F.struct(x.alias("last"), F.lit(False).alias("cut"))), lambda acc: acc["last"])
+
+
+def ties_of(classes: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): classes (``f1``) tied to the least of their buckets, without those that met by chance."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                        lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
+    left = classes.select("f1", F.explode(bands).alias("band"))
+    # a link's two similarities to a third class differ by 1 - similarity at most; both are estimates
+    gap = round(100 * (1 - similarity + 2 * MARGIN * (0.25 / REGISTERS) ** 0.5)) + 1
+    ties = None
+    for i in range(rounds + 1):
+        least = left.groupBy("band").agg(F.min("f1").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+        pairs = written(left.join(least, "band").where("f1 <> least"), "pairs")
+        if i < rounds:
+            sketch = lambda name, as_name: classes.select(F.col("f1").alias(name), F.col("sketch").alias(as_name))
+            both = (pairs.select("f1", "least").distinct().join(sketch("f1", "sa"), "f1").join(sketch("least", "sb"), "least"))
+            share = written(both.select("f1", "least", F.arrow_udf(equal_share, "int")("sa", "sb").alias("share")), "shares")
+            pairs = pairs.join(share, ["f1", "least"])
+            cuts = pairs.groupBy("band").agg(first_gap(F.collect_set("share"), gap).alias("cut"))
+            pairs = written(pairs.join(cuts, "band").select("band", "f1", "least", (F.col("share") >= F.col("cut")).alias("near")), "pairs")
+            left = pairs.where("not near").select("f1", "band")
+            pairs = pairs.where("near")
+        own = pairs.select(F.col("f1").alias("a"), F.col("least").alias("b")).distinct()
+        ties = own if ties is None else ties.unionByName(own)
+        if left.isEmpty():
+            break
+    return ties
+
+
 def _cells(shingle: int, similarity: float):
     def run(batches):
         import pyarrow as pa
@@ -210,12 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similarity: float = 0.8)
                .select("f1", "f2", "n", F.col("rep.did").alias("did"), F.col("rep.dkey").alias("dkey"),
                        F.col("rep.sketch").alias("sketch")))
     classes = written(classes, "classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                        lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
-    buckets = classes.select("f1", F.explode(bands).alias("band"))
-    least = buckets.groupBy("band").agg(F.min("f1").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    ties = buckets.join(least, "band").where("f1 <> least").select(F.col("f1").alias("a"), F.col("least").alias("b"))
-    clusters = components(ties).select(F.col("node").alias("f1"), F.col("label").alias("cluster"))
+    clusters = components(ties_of(classes, similarity)).select(F.col("node").alias("f1"), F.col("label").alias("cluster"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = (classes.join(clusters.join(size, "cluster"), "f1")
                .join(base, ["did", "dkey"])

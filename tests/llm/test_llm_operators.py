@@ -499,3 +499,26 @@ def test_pipeline_against_plain_python(spark, monkeypatch):
                     leaked.add(d)
     assert got[3] == {d: t for d, t in got[2].items() if d not in leaked} and leaked
     assert last == set(got[3])
+
+
+def test_buckets_are_cut_only_where_no_link_can_cross(spark):
+    from pyspark.sql import functions as F
+    from regspark.llm.near_dedup import BANDS, REGISTERS, ROWS, equal_share, first_gap, ties_of
+    rows = [([98, 97, 60, 55, 4, 2],), ([30, 2],), ([100],), ([80, 31],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s array<int>").select(first_gap(F.col("s"), 49)).collect()]
+    assert got == [55, 100, 100, 31]
+    import pyarrow as pa
+    x = np.arange(2 * REGISTERS, dtype=np.uint16).reshape(2, -1)
+    y = x.copy()
+    y[0, :75] += 1
+    assert equal_share(*(pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, y))).to_pylist() == [75, 100]
+    # four sketches share one band: 2 and 3 are near each other, none is near 1, and 4 is alone
+    rng = np.random.default_rng(5)
+    sketches = rng.integers(0, 60000, (4, REGISTERS)).astype(np.uint16)
+    sketches[2] = sketches[1]
+    sketches[2, :60] = 1
+    sketches[:, ROWS * (BANDS - 1):] = 7
+    table = spark.createDataFrame([(i + 1, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "f1 long, sketch binary")
+    assert {tuple(r) for r in ties_of(table, 0.8).collect()} == {(3, 2)}
+    assert {tuple(r) for r in ties_of(table, 0.8, rounds=0).collect()} >= {(2, 1), (3, 1), (4, 1)}
+    assert ties_of(table.limit(0), 0.8).count() == 0
