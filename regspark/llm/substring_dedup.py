@@ -107,8 +107,8 @@ def _windows(window: int, anchor: int):
 
         for batch in batches:
             parts, n = [], 0
-            for data, seeds, did, check in zip(binary_list(batch["text"]), longs(batch["seeds"]),
-                                               batch["did"].to_pylist(), batch["check"].to_pylist()):
+            for data, seeds, did, check in zip(binary_list(batch["text"]), longs(batch["__seeds"]),
+                                               batch["__did"].to_pylist(), batch["__check"].to_pylist()):
                 if seeds is None or not len(seeds):
                     continue
                 h = word_hashes(data.split())
@@ -206,9 +206,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
              .groupBy(*key).agg(F.collect_set("a").alias("__seeds")))
     seeded = base.join(copies, key, "left").join(seeds, key, "left")
     seeded = seeded.withColumn("__seeds", F.when(F.col("__copy"), F.lit(None)).otherwise(F.col("__seeds")))
-    windows = (seeded.select(F.col("__did").alias("did"), F.col("__check").alias("check"), "text",
-                             F.col("__copy").alias("copy"), F.col("__seeds").alias("seeds"))
-               .mapInArrow(_windows(window, anchor), WINDOWS))
+    # all columns, as in the last join: both then read the same shuffled texts
+    windows = seeded.mapInArrow(_windows(window, anchor), WINDOWS)
     firsts = (windows.groupBy("w1", "w2").agg(F.min("place").alias("place"))
               .select(F.arrow_udf(_unplaced, "did long, check int, start long")("place").alias("o"))
               .groupBy(F.col("o.did").alias("__did"), F.col("o.check").alias("__check"))
