@@ -794,7 +794,8 @@ def q_conversion_unreadable_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = staging_path(spark, "unreadable-out")
     status = csv_to_parquet(spark, root, out, {"part": ("Part", part.schema)}, errors=errors)
     failed = spark.createDataFrame(errors, FILE_ERROR_SCHEMA).groupBy("table_name").agg(F.count(F.lit(1)).alias("n_failed"))
-    stored = spark.read.parquet(f"{out}/part").agg(F.count(F.lit(1)).alias("n_stored"), F.lit("part").alias("table_name"))
+    folder = F.regexp_extract("_metadata.file_path", "/([^/]*)/snapshot=", 1)
+    stored = spark.read.parquet(f"{out}/part").groupBy(folder.alias("table_name")).agg(F.count(F.lit(1)).alias("n_stored"))
     return status.select("table_name", "status", "n_rows").join(failed, "table_name").join(stored, "table_name")
 
 
