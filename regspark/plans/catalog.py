@@ -19,6 +19,7 @@ from regspark.operators.dedup import dedup_effect, dedup_full_row
 from regspark.operators.dims import (
     load_dimensions, lookup, lookup_list, section_rules, segment_counts, segment_level_counts, segment_of,
 )
+from regspark.operators.incremental_dedup import distinct_rows
 from regspark.operators.joins import equi_join, name_join, prefix_left_join
 from regspark.operators.manifest import (
     ingest_plan, manifest_available, manifest_missing, route_archives, wanted_manifest,
@@ -32,6 +33,7 @@ from regspark.plans.staging import (
 )
 from regspark.schemas import COMMA_HEADERLESS, COMMA_WITH_HEADER, DIMENSION_NAMES, REGISTRY, SEMICOLON_WITH_HEADER
 from regspark.session import cut_lineage, staging_path
+from regspark.sinks.bucketed import read_bucketed_join, write_bucketed_pair
 from regspark.sinks.reports import preview, schema_report
 from regspark.sinks.writers import EXPORT_DIALECT, FILE_ERROR_SCHEMA, conversion_file_status, csv_to_parquet, export_csv, write_parquet, write_shards
 from regspark.sources.archives import first_member_per_archive, read_archive_members, read_archives
@@ -39,10 +41,11 @@ from regspark.sources.delimited import (
     read_delimited, read_inferred, read_positional, read_quoted_records, read_split_malformed,
     read_with_header, rename_positional,
 )
+from regspark.sources.footers import footer_column_counts, footer_row_counts
 from regspark.sources.shards import scan_shards, scan_snapshots
 from regspark.operators.dims import load_dimension
 from regspark.streaming.incremental import (
-    follow_shards, followed_shards, ingest_new_archives, ingest_new_shards, ingested_archives,
+    follow_shards, followed_shards, ingest_new_archives, ingest_distinct_shards, ingest_new_shards, ingested_archives,
 )
 
 TEST_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -95,6 +98,7 @@ def q_join_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # partners of a third of all suppliers share one key prefix; far above this threshold
 SKEW_HOT_ROWS = 16
+BUCKETS, BUCKET_HOT_ROWS = 16, 100
 
 
 def q_skewed_partner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -817,7 +821,51 @@ def q_segment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_level_counts(p, section_rules(spark).unionByName(deep), "code")
 
 
+def q_incremental_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all of lineitem, landing in two folders, deduplicated file by file against what earlier files held;
+    both land once more under other names, which adds nothing."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    root, out, ckpt = (staging_path(spark, n) for n in ("distinct-src", "distinct", "distinct-ckpt"))
+    for i in (1, 2):
+        for flagged, status in ((F.col("l_returnflag") == "R", "returned"), (~F.col("l_returnflag").eqNullSafe("R"), "other")):
+            lines.where(flagged).repartition(2).write.options(**REGISTRY.write_options()).csv(f"{root}/{status}-{i}")
+            ingest_distinct_shards(spark, f"{root}/*/*.csv", lines.schema, out, ckpt, max_files_per_trigger=1)
+    return distinct_rows(spark, out, lines.schema)
+
+
+def q_bucketed_partner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix left join of ``prefix_left_join`` from stored buckets; prefixes with more than a hundred
+    orders are hot and kept out of the buckets."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = write_bucketed_pair(c, o, prefix_key("c_custkey", 7, 8), prefix_key("o_custkey", 7, 8),
+                               staging_path(spark, "bucketed"), BUCKETS, BUCKET_HOT_ROWS)
+    return read_bucketed_join(spark, path, "left")
+
+
+def q_footer_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts as ``row_counts``, from Parquet footers."""
+    return footer_row_counts(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TEST_TABLES})
+
+
+def q_footer_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each snapshot of a written table, from the footers below its folders."""
+    part = table(spark, sf_dir, "part")
+    out = write_parquet(part.select("*", snapshot_of_size("p_size")), staging_path(spark, "by-snapshot"))
+    return footer_row_counts(spark, {"part": out}, by="snapshot")
+
+
+def q_footer_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and values of every column of every table, from Parquet footers where they can tell."""
+    return footer_column_counts(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TEST_TABLES})
+
+
 QUERIES = {
+    "incremental_distinct": q_incremental_distinct,
+    "bucketed_partner_join": q_bucketed_partner_join,
+    "footer_row_counts": q_footer_row_counts,
+    "footer_snapshot_counts": q_footer_snapshot_counts,
+    "footer_column_counts": q_footer_column_counts,
     "changed_shards": q_changed_shards,
     "republished_archives": q_republished_archives,
     "registry_job_repaired_shard": q_registry_job_repaired_shard,

@@ -140,6 +140,16 @@ ORACLES: dict[str, str] = {
     "registry_job_repaired_shard": JOINED_BY_SNAPSHOT,
     "registry_job_emptied_snapshot": f"select * from ({JOINED_BY_SNAPSHOT}) where snapshot = '2023-05'",
     "registry_job_mended_rejects": "select 'before' as phase, count(*) as n from supplier union all select 'after', 0",
+    "incremental_distinct": "select distinct l_suppkey, l_linenumber, l_returnflag, l_linestatus from lineitem",
+    "bucketed_partner_join": f"""select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice
+        from customer left join orders
+        on substring({_padded('c_custkey')}, 1, 7) = substring({_padded('o_custkey')}, 1, 7)""",
+    "footer_row_counts": "\nunion all\n".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in _TABLES),
+    "footer_snapshot_counts": f"""select 'part' as table_name, snapshot, count(*) as n_rows
+        from (select p_partkey{_snap('p_size')} from part) group by snapshot""",
+    "footer_column_counts": "\nunion all\n".join(
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as n_rows, count({c}) as n_values from {t}"
+        for t in _TABLES for c in _COLUMNS[t]),
     "indexed_union": """select row_number() over (order by p_size % 2, p_size % 10, p_partkey) - 1 as index, * from part""",
     "scan_quoted_breaks": "select * from documents",
     "conversion_unreadable_file": """select 'part' as table_name, 'partial' as status, count(*) as n_rows,

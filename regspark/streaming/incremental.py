@@ -112,3 +112,17 @@ def followed_shards(spark: SparkSession, table: str, schema: T.StructType) -> Da
     from regspark.sources.ledger import read_synced
     rows = read_synced(spark, table, schema)
     return rows.withColumn("snapshot", snapshot_from_path("source_file"))
+
+
+def ingest_distinct_shards(spark: SparkSession, source_glob: str, schema: T.StructType, table: str,
+                           checkpoint_path: str, dialect: Dialect = REGISTRY,
+                           max_files_per_trigger: int | None = None) -> dict:
+    """Add the rows of not-yet-seen shards that no earlier shard had to a distinct table
+    (``operators.incremental_dedup``), whose rows are not read again for it; returns the last progress.
+
+    After every batch the table equals the full-row distinct of all shards so far.  A batch that is
+    replayed after a failure adds nothing.  Read the rows with ``distinct_rows``."""
+    from regspark.operators.incremental_dedup import add_new_rows
+    stream = shard_stream(spark, source_glob, schema, dialect, max_files_per_trigger).select(*[F.col(f"`{c}`") for c in schema.fieldNames()])
+    return _finished(stream.writeStream.foreachBatch(lambda batch, _: add_new_rows(batch, table) and None)
+                     .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
