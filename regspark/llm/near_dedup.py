@@ -192,19 +192,33 @@ def first_gap(shares, gap: int):
                        .otherwise(F.struct(x.alias("last"), F.lit(False).alias("cut"))), lambda acc: acc["last"])
 
 
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(a, b): as connected as ``pairs`` (f1, least) with ``least < f1``, which hold a class once a band.
+
+    Each class keeps the smallest of its at most ``BANDS`` least ones, which the others of them are tied to
+    instead: in a large group these are the same few pairs for all its classes."""
+    each = pairs.groupBy("f1").agg(F.collect_set("least").alias("all")).withColumn("first", F.array_min("all"))
+    return each.select(F.explode(F.array_union("all", F.array("f1"))).alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+
+
 def ties_of(classes: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): classes (``f1``) tied to the least of their buckets, without those that met by chance."""
+    """(a, b): ties that connect the classes (``f1``) with the least of their buckets, without those that met by chance."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
     left = classes.select("f1", F.explode(bands).alias("band"))
+    near = None                                             # classes that share a band with another
     # a link's two similarities to a third class differ by 1 - similarity at most; both are estimates
     gap = round(100 * (1 - similarity + 2 * MARGIN * (0.25 / REGISTERS) ** 0.5)) + 1
     ties = None
     for i in range(rounds + 1):
+        left = left.where("f1 is not null and band is not null").repartition("band")   # dealt once, for both uses
         least = left.groupBy("band").agg(F.min("f1").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
         pairs = written(left.join(least, "band").where("f1 <> least"), "pairs")
         if i < rounds:
-            sketch = lambda name, as_name: classes.select(F.col("f1").alias(name), F.col("sketch").alias(as_name))
+            if near is None:
+                met = written(pairs.select(F.explode(F.array("f1", "least")).alias("f1")).distinct(), "met")
+                near = written(classes.join(met, "f1", "left_semi").select("f1", "sketch"), "near")
+            sketch = lambda name, as_name: near.select(F.col("f1").alias(name), F.col("sketch").alias(as_name))
             both = (pairs.select("f1", "least").distinct().join(sketch("f1", "sa"), "f1").join(sketch("least", "sb"), "least"))
             share = written(both.select("f1", "least", F.arrow_udf(equal_share, "int")("sa", "sb").alias("share")), "shares")
             pairs = pairs.join(share, ["f1", "least"])
@@ -212,7 +226,7 @@ def ties_of(classes: DataFrame, similarity: float, rounds: int = ROUNDS) -> Data
             pairs = written(pairs.join(cuts, "band").select("band", "f1", "least", (F.col("share") >= F.col("cut")).alias("near")), "pairs")
             left = pairs.where("not near").select("f1", "band")
             pairs = pairs.where("near")
-        own = pairs.select(F.col("f1").alias("a"), F.col("least").alias("b")).distinct()
+        own = _stars(pairs)
         ties = own if ties is None else ties.unionByName(own)
         if left.isEmpty():
             break
@@ -262,9 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similarity: float = 0.8)
     classes = written(classes, "classes")
     clusters = components(ties_of(classes, similarity)).select(F.col("node").alias("f1"), F.col("label").alias("cluster"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = (classes.join(clusters.join(size, "cluster"), "f1")
-               .join(base, ["did", "dkey"])
-               .select("f1", "did", "dkey", "n", "sketch", "text", "cluster", "size"))
+    clustered = written(classes.join(clusters.join(size, "cluster"), "f1"), "clustered")
+    texts = base.join(clustered.select("did", "dkey").distinct(), ["did", "dkey"], "left_semi").dropDuplicates(["did", "dkey"])
+    members = clustered.join(texts, ["did", "dkey"]).select("f1", "did", "dkey", "n", "sketch", "text", "cluster", "size")
     members = written(members, "members").dropDuplicates(["f1", "did"])
     none = [F.col("did").alias("label"), F.lit(False).alias("rest")]
     small = members.where(F.col("size") <= SMALL).select("*", F.xxhash64("cluster").alias("cell"), *none)

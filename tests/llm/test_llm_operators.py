@@ -522,3 +522,40 @@ def test_buckets_are_cut_only_where_no_link_can_cross(spark):
     assert {tuple(r) for r in ties_of(table, 0.8).collect()} == {(3, 2)}
     assert {tuple(r) for r in ties_of(table, 0.8, rounds=0).collect()} >= {(2, 1), (3, 1), (4, 1)}
     assert ties_of(table.limit(0), 0.8).count() == 0
+
+
+def test_a_group_of_near_copies_has_about_one_tie_a_class(spark):
+    """Classes meet the group's few least ones in many bands: as ties these are not listed for each class."""
+    from regspark.llm.components import components
+    from regspark.llm.near_dedup import REGISTERS, ties_of
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 60000, (3, REGISTERS))
+    sketches = np.repeat(base, 200, axis=0)
+    changed = rng.random(sketches.shape) < 0.1
+    sketches[changed] = rng.integers(0, 60000, changed.sum())
+    rows = [(i + 1, bytearray(s.tobytes())) for i, s in enumerate(sketches.astype(np.uint16))]
+    ties = ties_of(spark.createDataFrame(rows, "f1 long, sketch binary"), 0.8).collect()
+    assert len(ties) < 2 * len(rows) and all(r.b < r.a for r in ties)
+    got = components(spark.createDataFrame(ties, "a long, b long")).collect()
+    assert {r.node: r.label for r in got} == {i + 1: 1 + i // 200 * 200 for i in range(600)}
+
+
+def test_near_dedup_of_the_pipeline_deals_the_texts_once(spark):
+    import corpus_pipeline
+    rows = [(None, "a b c d e f g"), (0, "a b c d e f g"), (0, "a b c d e f g"), (3, "other words all of them here"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, table, "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(None, "a b c d e f g"), (0, "a b c d e f g"), (3, "other words all of them here"), (None, None)], key=repr)
+    with_text = [x for x in _initial_plan(spark, kept).splitlines() if "Exchange hashpartitioning" in x and "xxhash64" not in x]
+    assert len([x for x in with_text if "__id" in x]) == 2 and not [x for x in with_text if "doc_id" in x]
+
+
+def _initial_plan(spark, df):
+    """The physical plan of ``df`` without broadcasts, before it runs."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
