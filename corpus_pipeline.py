@@ -55,7 +55,12 @@ def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     kept = near_duplicates(docs, SHINGLE, SIMILARITY).where("kept").select("doc_id", "doc_key")
-    return _matched(docs, kept, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    # the same plain keys for the rows' first ones and for the match: the texts are dealt once
+    own = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
+    keyed = docs.select("*", *own, text_key(F.col("text")).alias("__key"))
+    kept = kept.select(*own, F.col("doc_key").alias("__key"))
+    keys = ["__id", "__none", "__key"]
+    return keyed.dropDuplicates(keys).join(kept, keys, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
