@@ -559,3 +559,23 @@ def _initial_plan(spark, df):
         return df.select("*")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_lm_state_is_kept_as_bytes(spark):
+    """A word's lists reach the tasks whole, also when its customers lie in several batches."""
+    import pyarrow as pa
+    from regspark.llm.language_model import CONTEXTS, STATE, _first_seats, _held, _row, _tops, learn
+    table = spark.createDataFrame([("the cat of the hat and the rat",), ("of cat and of dog",)], "text string")
+    state = learn(table).state
+    assert {f.dataType.simpleString() for f in state.schema.fields} == {"bigint", "binary"} and ", n binary" in STATE
+    rows = [(-5, 3, 2), (-5, 17, 4), (1, 40, 1), (1, 2, 9), (1, 18, 7), (8, 0, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i:i + 2])], ["wid", "room", "n"]) for i in (0, 2, 4)]
+    got = {}
+    for batch in _first_seats(batches):
+        row, rooms, n, t, ts, _ = _row(batch)
+        tops = _tops(batch, _held(row, rooms.astype(int), batch.num_rows))
+        for i, w in enumerate(batch["wid"].to_pylist()):
+            got[w] = [x[row == i].tolist() for x in (rooms, n, t, ts)] + [np.flatnonzero(tops[i]).tolist()]
+    assert got == {-5: [[3, 17], [2, 4], [2, 1], [0, 0], [1, 3]], 1: [[2, 18, 40], [9, 7, 1], [9, 1, 1], [0, 0, 0], [2, 8]],
+                   8: [[0], [1], [1], [0], [0]]}
+    assert tops.shape[1] == CONTEXTS
