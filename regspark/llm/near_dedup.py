@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.llm.components import components
-from regspark.llm.tables import documents, text_key, written
+from regspark.llm.tables import documents, sieved, text_key, written
 from regspark.llm.words import _ship_by_value, binary_list, mix, shingle_hashes
 
 BANDS, ROWS = 50, 6
@@ -217,7 +217,7 @@ def ties_of(classes: DataFrame, similarity: float, rounds: int = ROUNDS) -> Data
         if i < rounds:
             if near is None:
                 met = written(pairs.select(F.explode(F.array("f1", "least")).alias("f1")).distinct(), "met")
-                near = written(classes.join(met, "f1", "left_semi").select("f1", "sketch"), "near")
+                near = written(sieved(classes.select("f1", "sketch"), met, ["f1"]).join(met, "f1"), "near")
             sketch = lambda name, as_name: near.select(F.col("f1").alias(name), F.col("sketch").alias(as_name))
             both = (pairs.select("f1", "least").distinct().join(sketch("f1", "sa"), "f1").join(sketch("least", "sb"), "least"))
             share = written(both.select("f1", "least", F.arrow_udf(equal_share, "int")("sa", "sb").alias("share")), "shares")
@@ -276,10 +276,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, similarity: float = 0.8)
     classes = written(classes, "classes")
     clusters = components(ties_of(classes, similarity)).select(F.col("node").alias("f1"), F.col("label").alias("cluster"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    clustered = written(classes.join(clusters.join(size, "cluster"), "f1"), "clustered")
-    texts = base.join(clustered.select("did", "dkey").distinct(), ["did", "dkey"], "left_semi").dropDuplicates(["did", "dkey"])
+    # sketches and texts are dealt only of classes in clusters
+    clustered = sieved(classes, clusters, ["f1"]).join(clusters.join(size, "cluster"), "f1").dropDuplicates(["f1", "did"])
+    clustered = written(clustered, "clustered")
+    keys = clustered.select("did", "dkey").distinct()
+    texts = sieved(base, keys, ["did", "dkey"]).join(keys, ["did", "dkey"]).dropDuplicates(["did", "dkey"])
     members = clustered.join(texts, ["did", "dkey"]).select("f1", "did", "dkey", "n", "sketch", "text", "cluster", "size")
-    members = written(members, "members").dropDuplicates(["f1", "did"])
+    members = written(members, "members")
     none = [F.col("did").alias("label"), F.lit(False).alias("rest")]
     small = members.where(F.col("size") <= SMALL).select("*", F.xxhash64("cluster").alias("cell"), *none)
     # large clusters: chunks with common pivots

@@ -540,6 +540,51 @@ def test_a_group_of_near_copies_has_about_one_tie_a_class(spark):
     assert {r.node: r.label for r in got} == {i + 1: 1 + i // 200 * 200 for i in range(600)}
 
 
+def test_near_dedup_deals_sketches_and_texts_of_clusters_only(spark, monkeypatch):
+    from regspark.llm import near_dedup
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(40))) for i in range(300)]
+    rows += [(1000, rows[7][1] + " more"), (1001, "x " + rows[8][1]), (7, "z " + rows[9][1]), (None, rows[7][1]), (1002, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    passed = []
+
+    def counted(df, keys, names):
+        got = sieved(df, keys, names)
+        passed.append((df.count(), got.count(), keys.join(got, names, "left_anti").count()))
+        return got
+    sieved = near_dedup.sieved
+    monkeypatch.setattr(near_dedup, "sieved", counted)
+    plans, written = {}, near_dedup.written
+
+    def seen(df, name):
+        plans[name] = _initial_plan(spark, df)
+        return written(df, name)
+    monkeypatch.setattr(near_dedup, "written", seen)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, 2).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {1000: 7, 1001: 8, 9: 7}
+    assert len(passed) == 3 and all(before > 300 and after < 20 and not lost for before, after, lost in passed)
+    for name, at, wide in (("near", "f1", "sketch"), ("clustered", "f1", "sketch"), ("members", "did", "text")):
+        lines = plans[name].splitlines()
+        dealt = [x for x in lines if "hashpartitioning(" + at in x]
+        # from an exchange down to the scan of the wide column, the bitmap is asked in between
+        wide_scans = [i for i, x in enumerate(lines) if "Scan" in x and wide + "#" in x and "__map" not in x]
+        asked = [i for i, x in enumerate(lines) if "getbit" in x or "bit_get" in x]
+        assert dealt and asked and wide_scans, (name, plans[name])
+        first = next(i for i, x in enumerate(lines) if "hashpartitioning(" + at in x and i < asked[0] and asked[0] - i < 5)
+        assert first < asked[0] < max(wide_scans), (name, plans[name])
+
+
+def test_a_sieve_loses_no_key(spark):
+    from regspark.llm.tables import sieved
+    table = spark.range(-5000, 5000).selectExpr("id as a", "nullif(id, 3) as b", "cast(id as string) as text")
+    keys = table.where("a % 10 = 0 or a = 3").select("a", "b")
+    for bits in (1 << 25, 70_001, 9, 1):                   # few bits: rows pass, none is lost
+        got = {r.a: r.text for r in sieved(table, keys, ["a", "b"], bits).collect()}
+        assert set(got) >= {r.a for r in keys.collect()} and all(t == str(a) for a, t in got.items())
+        assert len(got) < 1100 if bits == 1 << 25 else len(got) == 10_000 if bits == 1 else True
+    assert sieved(table, keys.limit(0), ["a", "b"]).count() == 0
+    assert sieved(table, keys, ["a"]).columns == table.columns
+
+
 def test_near_dedup_of_the_pipeline_deals_the_texts_once(spark):
     import corpus_pipeline
     rows = [(None, "a b c d e f g"), (0, "a b c d e f g"), (0, "a b c d e f g"), (3, "other words all of them here"), (None, None)]
