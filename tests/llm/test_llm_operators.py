@@ -624,3 +624,34 @@ def test_lm_state_is_kept_as_bytes(spark):
     assert got == {-5: [[3, 17], [2, 4], [2, 1], [0, 0], [1, 3]], 1: [[2, 18, 40], [9, 7, 1], [9, 1, 1], [0, 0, 0], [2, 8]],
                    8: [[0], [1], [1], [0], [0]]}
     assert tops.shape[1] == CONTEXTS
+
+
+@pytest.mark.parametrize("head", [100_000, 12])
+def test_lm_rare_preceding_words_have_restaurants(spark, monkeypatch, head):
+    """What follows a word is learned also of words under one token in 10,000, listed or not; a context's
+    probabilities sum to one."""
+    import regspark.llm.language_model as lm
+    monkeypatch.setattr(lm, "HEAD", head)
+    filler = [f"fill{i % 10}" for i in range(60_000)]
+    np.random.default_rng(3).shuffle(filler)
+    train = [" ".join(filler), *["alpha betaa"] * 2, *["gamma delta"] * 2, "alpha delta", "gamma sigma", "gamma sigma"]
+    words = sorted({w for t in train for w in t.split()}) + ["unseen", ""]
+    probes = [" ".join(x for x in (p, w) if x) for p in ("alpha", "gamma", "fill3", "") for w in words]
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1], [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [*zip(ids[0], train), *zip(ids[1], probes)]
+    kept = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda t: kept.append(learn(t)) or kept[-1])
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    score = {t: got[i] for i, t in zip(ids[1], probes)}
+    assert score["alpha betaa"] > score["gamma betaa"] + 1 and score["gamma sigma"] > score["alpha sigma"] + 1
+    # a word's probability at a text's start, in class 0: all words here are long
+    lexicon, models = kept[0].lexicon, kept[0].models
+    at_start = {r.key: 10 ** r.logs[list(r.contexts).index(0)] for r in lm.model_table(kept[0]).collect()}
+    at_start = {w: at_start[int(n)] for w, n in zip(words, lexicon.numbers([w.encode() for w in words])) if w != "unseen"}
+    at_start["unseen"] = sum(m.unseen()[0] for m in models) / len(models)
+    assert sum(at_start.values()) == pytest.approx(1, rel=1e-4)
+    for p in ("alpha", "gamma", "fill3"):
+        # score(p w) = start(p) + after(p, w) + after(w, end), and score(w) = start(w) + after(w, end)
+        after = [10 ** (score[f"{p} {w}"] - score[w] + math.log10(at_start[w] / at_start[p])) for w in words if w]
+        assert sum(after) + 10 ** (score[p] - math.log10(at_start[p])) == pytest.approx(1, rel=1e-3)
